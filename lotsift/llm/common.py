@@ -115,7 +115,7 @@ class WindowHashes:
 
 
 def batches(docs: DataFrame, key: str, text: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """(key, text, g) partitioned by g, and the number of batches g; each holds about batch_bytes of text.
+    """(id, text, g) partitioned by g, and the number of batches g; each holds about batch_bytes of text; id is the key as text.
 
     The number follows the bytes of text, so that a batch stays small at any size. All uses
     of the result in one query share one shuffle of the text.
@@ -124,7 +124,7 @@ def batches(docs: DataFrame, key: str, text: str, batch_bytes: int = BATCH_BYTES
     n = max(1, math.ceil(max((total[0] or 0) / batch_bytes, total[1] / 50_000)))
     parts = min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 8)))
     g = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), g.alias("g")).repartition(parts, "g"), n
+    return docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), g.alias("g")).repartition(parts, "g"), n
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def planes(values: np.ndarray, width: int = 4) -> bytes:
 
 
 def unplanes(data: bytes, width: int = 4) -> np.ndarray:
-    cut = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
+    cut = np.frombuffer(data, dtype=np.uint8).reshape(width, len(data) // width).T
     out = np.zeros((len(cut), 8), dtype=np.uint8)
     out[:, :width] = cut
     return out.view("<u8").ravel()

@@ -7,8 +7,9 @@ confirmed on the full shingle sets of both texts.
 
 Buckets are never expanded into all pairs. Documents with equal sets form one class. In each
 bucket a hub (the document that shares most buckets) is held against the others; where documents
-that are still unconnected remain, a second hub is taken; pairs of unconnected documents that
-remain after that are compared in blocks, by their signatures and then by their sets.
+that are still unconnected remain, a second hub is taken. Of what remains, small buckets give their
+unconnected pairs; large ones are cut into blocks that hold the sets, and a block confirms its
+pairs where they first meet and sends on no more links than join its groups.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ PERMUTATIONS = 64
 BAND_ROWS = 4
 #: Of the 128 one-byte sketch values, so many agree for all but 3e-7 of pairs of similarity 0.75.
 SKETCH_LEAST = 72
-#: Buckets of more documents than this are compared block by block.
+#: Buckets of more documents than this are compared block by block; a block's half holds so many documents or shingles.
 SMALL_BUCKET = 48
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, size=(2, PERMUTATIONS), dtype=np.int64).astype(_U)
 _MULTIPLIERS, _XORS = _seeds[0] | _U(1), _seeds[1]
@@ -120,12 +121,12 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _undecided(buckets: DataFrame) -> DataFrame:
-    """Rows of the buckets whose documents aren't yet all connected, with the bucket's size."""
+    """Rows of the buckets whose documents aren't yet all connected, with the bucket's size and its number of shingles."""
     mixed = (
         buckets.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        .agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo != hi")
-        .select("key", "size")
+        .select("key", "size", "mass")
     )
     return buckets.join(mixed, "key")
 
@@ -135,41 +136,69 @@ def _hub_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     rows = buckets.join(degree, "id")
     hubs = rows.groupBy("key").agg(F.max_by(F.struct("id", "label"), F.struct("degree", "id")).alias("hub"))
-    rows = rows.drop("degree", "size").join(hubs, "key").where("id != hub.id")
+    rows = rows.drop("degree", "size", "mass").join(hubs, "key").where("id != hub.id")
     pairs = rows.where("label != hub.label").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     return pairs, rows.drop("hub")
 
 
-def _block_pairs(key, left):
-    """Pairs of one block (two chunks of one bucket) that differ in label and agree in enough of the sketch."""
-    i, j = key[1], key[2]
-    one, two = left[left["chunk"] == i], left[left["chunk"] == j]
-    x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(len(p), -1) for p in (one, two))
-    xl, yl, xi, yi = one["label"].to_numpy(), two["label"].to_numpy(), one["id"].to_numpy(), two["id"].to_numpy()
-    out = []
-    for r in range(len(x)):
-        near = (x[r] == y).sum(axis=1) >= SKETCH_LEAST
-        near &= (yl != xl[r]) & ((yi > xi[r]) | (i != j))
-        out.append(np.stack([np.full(near.sum(), xi[r]), yi[near]], axis=1))
-    out = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
-
-
-def _rest_pairs(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs of one bucket that aren't connected, without those whose sketches are too far apart."""
+def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
+    for part in parts:
+        yield pd.DataFrame({"id": part["id"], "shingles": [shingle_set(t, hashes).tobytes() for t in part["text"]]})
+
+
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    found = one[np.minimum(at, len(one) - 1)] == flat
+    return np.add.reduceat(found, np.cumsum([0] + [len(o) for o in others[:-1]]), dtype=np.int64)
+
+
+def _block_links(key, rows):
+    """Links of one block (two chunks of one bucket) that join documents of different labels, no more than join them."""
+    band_key, i, j = key
+    rows = rows.sort_values(["chunk", "id"], ignore_index=True)
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+    bands = np.stack(rows["bands"].to_numpy())
+    here = (bands == band_key).argmax(axis=1)
+    sets = [np.frombuffer(b, dtype=_U) for b in rows["shingles"]]
+    ids, chunk, label = (rows[c].to_numpy() for c in ("id", "chunk", "label"))
+    label = label.copy()
+    links = []
+    for r in range(len(rows) if i == j else int((chunk == i).sum())):
+        other = np.arange(r + 1, len(rows)) if i == j else np.flatnonzero(chunk == j)
+        other = other[label[other] != label[r]]
+        other = other[(sketch[other] == sketch[r]).sum(axis=1) >= SKETCH_LEAST]
+        # A pair that meets in more than one bucket is confirmed in the first.
+        other = other[(bands[other] == bands[r]).argmax(axis=1) == here[r]]
+        for s in range(0, len(other), 256):
+            part = other[s : s + 256]
+            both = _overlaps(sets[r], [sets[k] for k in part])
+            sizes = np.array([len(sets[k]) for k in part])
+            for k in part[100 * both >= PERCENT * (len(sets[r]) + sizes - both)]:
+                if label[k] != label[r]:
+                    links.append((ids[r], ids[k]))
+                    label[label == label[k]] = label[r]
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def _rest_links(buckets: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among documents of one bucket that aren't connected yet."""
     small, large = buckets.where(F.col("size") <= SMALL_BUCKET), buckets.where(F.col("size") > SMALL_BUCKET)
     left, right = (small.select("key", F.col("id").alias(i), F.col("label").alias(f"l{i}")) for i in "ab")
-    few = left.join(right, "key").where("a < b and la != lb").select("a", "b")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    few = left.join(right, "key").where("a < b and la != lb").select("a", "b").distinct()
+    large = checkpoint(large)
+    kind = buckets.schema["id"].dataType.simpleString()
+    sets = texts.join(large.select("id").distinct(), "id", "left_semi").mapInPandas(_sets, f"id {kind}, shingles binary")
+    n = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("int")
     chunk = F.pmod(F.xxhash64("id", "key"), n).cast("int")
     spread = (
-        large.join(sketches, "id")
-        .select("key", "id", "label", "sketch", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+        large.join(known.select("id", "bands", "sketch").join(sets, "id"), "id")
+        .select("key", "id", "label", "sketch", "bands", "shingles", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
         .select("*", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     )
-    kind = buckets.schema["id"].dataType.simpleString()
-    many = spread.groupBy("key", "i", "j").applyInPandas(_block_pairs, f"a {kind}, b {kind}")
-    return few.union(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return confirm(few, texts).union(spread.groupBy("key", "i", "j").applyInPandas(_block_links, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,33 +208,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     share an id count as one document and get the same component; a null id gives a null
     component and is kept. Other columns are ignored. An empty table gives an empty result.
     """
-    base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    base = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
     signed = checkpoint(
-        base.mapInPandas(
-            _sign, f"id {base.schema['id'].dataType.simpleString()}, n bigint, set_key binary, bands array<bigint>, sketch binary"
-        )
+        base.mapInPandas(_sign, "id string, n int, set_key binary, bands array<bigint>, sketch binary").withColumn("id", F.col("id").cast(kind))
     )
     usable = signed.where("n > 0 and id is not null")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
     firsts = usable.join(classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"]).dropDuplicates(["id", "set_key"])
-    rows = firsts.select("id", F.explode("bands").alias("key"))
+    rows = firsts.select("id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
-    buckets = checkpoint(rows.join(shared, "key").select("key", "id"))
+    buckets = checkpoint(rows.join(shared, "key").select("key", "id", "n"))
     wanted = buckets.select("id").distinct()
-    texts = stored(base.join(wanted, "id", "left_semi"))
+    texts = stored(base.withColumn("id", F.col("id").cast(kind)).join(wanted, "id", "left_semi"))
 
     links, labels = None, None
     for _ in range(2):
         open_rows = checkpoint(_undecided(_labelled(buckets, labels)))
         pairs, buckets = _hub_pairs(open_rows)
-        buckets = checkpoint(buckets.select("key", "id"))
+        buckets = checkpoint(buckets.select("key", "id", "n"))
         found = confirm(pairs, texts)
         links = checkpoint(found if links is None else links.union(found))
         labels = components(links)
-    sketches = firsts.select("id", "sketch")
     open_rows = checkpoint(_undecided(_labelled(buckets, labels)))
-    found = confirm(_rest_pairs(open_rows, sketches), texts)
-    labels = components(links.union(found))
+    labels = components(links.union(_rest_links(open_rows, firsts, texts)))
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "set_key", F.coalesce("label", "rep").alias("component")
@@ -215,7 +241,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .join(named, "set_key", "left")
         .select(
             F.col("id").alias(doc_id),
-            F.col("n").alias("n_shingles"),
+            F.col("n").cast("bigint").alias("n_shingles"),
             F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component_id"),
         )
         .withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))

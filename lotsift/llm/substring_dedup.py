@@ -189,8 +189,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     told = hits.withColumn("round", F.lit(1)).union(runs.withColumn("round", F.lit(2)))
     kind = docs.schema[doc_id].dataType.simpleString()
     out = rows.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(
-        _cut(buckets), f"id {kind}, n_words bigint, n_removed bigint, kept_text string"
+        _cut(buckets), "id string, n_words bigint, n_removed bigint, kept_text string"
     )
-    return out.withColumnRenamed("id", doc_id)
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
 
 
