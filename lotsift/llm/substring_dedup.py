@@ -126,10 +126,10 @@ def _candidates(texts, answers: pd.DataFrame, buckets: int):
         places, index = _blocks(h, buckets)
         held.append((words, h, places[index]))
     asked = np.unique(np.concatenate([x[2] for x in held]))
-    hit = asked[_told(asked, asked >> _U(32), answers, buckets)]
+    hit = _told(asked, asked >> _U(32), answers, buckets)
     for words, h, blocks in held:
         n = max(0, len(h) - RUN_WORDS + 1)
-        found = np.nonzero(np.isin(blocks, hit))[0] if n and len(hit) else np.empty(0, dtype=np.int64)
+        found = np.flatnonzero(hit[np.searchsorted(asked, blocks)]) if n else np.empty(0, dtype=np.int64)
         starts = np.nonzero(_around(found, n))[0] if len(found) else found
         yield words, starts, _windows.of(h, RUN_WORDS)[starts] if len(starts) else np.empty(0, dtype=_U)
 
@@ -152,11 +152,11 @@ def _cut(buckets: int):
         first, second = (answers[answers["round"] == r] for r in (1, 2))
         held = list(_candidates(docs["text"], first, buckets))
         keys = np.unique(np.concatenate([h for _, _, h in held])) if held else np.empty(0, dtype=_U)
-        twice = keys[_told(keys, _owner(keys, buckets), second, buckets)]
+        twice = _told(keys, _owner(keys, buckets), second, buckets)
         rows = []
         for i, (words, starts, h) in zip(docs["id"], held, strict=True):
             edge = np.zeros(len(words) + 1, dtype=np.int32)
-            again = starts[np.isin(h, twice)] if len(starts) else starts
+            again = starts[twice[np.searchsorted(keys, h)]] if len(starts) else starts
             np.add.at(edge, again, 1)
             np.add.at(edge, again + RUN_WORDS, -1)
             kept = np.nonzero(np.cumsum(edge[:-1]) == 0)[0] if len(again) else range(len(words))
