@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .rules import CANON_A, CANON_B, DWELLING_INDICATOR, NON_DWELLING_GUARD, STOP_STEMS, TYPE_QUALIFIER
 from .stemmer import stem
@@ -64,7 +65,7 @@ def rewritten_b(x: Column | str) -> Column:
     return F.regexp_replace(_rewritten(t, CANON_B), " +", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stems(words: pd.Series) -> pd.Series:
     return words.map(lambda w: stem("индивидуальный" if w == "ижс" else w))
 
@@ -89,7 +90,7 @@ def stemmed(words: Column | str) -> Column:
     return _stem_arrays(_c(words))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stem_arrays(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [s for s in (stem("индивидуальный" if w == "ижс" else w) for w in ws) if s])
 
@@ -120,7 +121,7 @@ def exactish(left: Column | str, right: Column | str) -> Column:
     return (a != "") & (b != "") & ((a == b) | start | ((o["overlap"] >= 2) & (o["jaccard"] >= 0.55)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """2 M / T of the matching blocks of two texts; 0 if either is empty."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)])

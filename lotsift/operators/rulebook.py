@@ -91,6 +91,6 @@ def first_match(c: Column, rules: list[tuple[str, str]], default: str = "unknown
 
 def evidence(text: Column, pattern: str, block: str, least: int = 10, most: int = 220) -> Column:
     """First phrase of a text, cut at stops, semicolons and line ends, that holds the pattern; null where the block pattern occurs."""
-    phrases = F.transform(F.split(text, r"[\n.;]"), F.trim)
+    phrases = F.transform(F.split(text, r"[\n.;]"), lambda p: F.trim(p))
     good = F.filter(phrases, lambda p: (F.length(p) >= least) & search(p, pattern))
     return F.when(~search(text, block), F.substring(F.get(good, F.lit(0)), 1, most))

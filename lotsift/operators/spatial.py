@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 from ..functions.geometry import box_overlap, contains, inside_point, overlap_area
 
@@ -89,16 +90,16 @@ def containing(points: DataFrame, zones: DataFrame, side: float | None = None) -
     return points.join(first, "pid", "left").select(*points.columns, F.col("z.zid").alias("zid"), F.col("z.code").alias("code"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def intersection_area(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(a, b) for a, b in zip(one, two, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def representative(geometry: pd.Series) -> pd.Series:
     return geometry.map(lambda g: None if (p := inside_point(g)) is None else list(p))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def holds(geometry: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([contains(g, a, b) for g, a, b in zip(geometry, x, y, strict=True)], dtype="bool")

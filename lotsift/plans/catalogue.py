@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import spatial_lookup
+from . import ledgers, spatial_lookup, texts, vectors
 
-QUERIES = {**spatial_lookup.QUERIES}
-ORACLES = {**spatial_lookup.ORACLES}
+_PARTS = (spatial_lookup, texts, vectors, ledgers)
+QUERIES = dict(sorted((name, query) for part in _PARTS for name, query in part.QUERIES.items()))
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
