@@ -35,7 +35,7 @@ def recall(queries: DataFrame, entries: DataFrame, most: int, key: str = "query"
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
         scored = entries.hint("shuffle_replicate_nl").join(F.broadcast(part)).select(key, code, dot("vector", "qvector").alias("score"))
         w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(code))
-        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+        top = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= most)
         out = top if out is None else out.union(top)
     return out
 
@@ -53,7 +53,7 @@ def near_equal(query: Column, name: Column) -> Column:
 
 def ranked(rows: DataFrame, key: str, *by: Column) -> DataFrame:
     """rows with `place` from 1 in each key's order."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by)).cast("bigint"))
 
 
 def needs_model(top: DataFrame, key: str = "query", gap: float = 0.16, least_rank: int = 85) -> DataFrame:

@@ -209,8 +209,8 @@ def q52_catalog_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return _sane(spark, d).select(*names)
 
 
-@_query(f"""select count(distinct zone_code) as zones_total, count(*) as items_total, count_if(moved or renamed or described or coded) as items_repaired, count_if(coded) as code_filled, count_if(renamed) as name_aligned,
-count_if(described) as description_filled, count_if(moved) as description_moved, count_if(aligned) as alignments from {_SANE} s""")
+@_query(f"""select count(distinct zone_code) as zones_total, count(*) as items_total, count(*) filter (where moved or renamed or described or coded) as items_repaired, count(*) filter (where coded) as code_filled, count(*) filter (where renamed) as name_aligned,
+count(*) filter (where described) as description_filled, count(*) filter (where moved) as description_moved, count(*) filter (where aligned) as alignments from {_SANE} s""")
 def q92_sanitation_stats(spark: SparkSession, d: str) -> DataFrame:
     counts = {"items_repaired": "repaired", "code_filled": "coded", "name_aligned": "renamed", "description_filled": "described", "description_moved": "moved", "alignments": "aligned"}
     return _sane(spark, d).agg(
@@ -384,7 +384,7 @@ def q79_text_renderers(spark: SparkSession, d: str) -> DataFrame:
 @_query("""select n_nationkey, 'Zone ' || n_name || ':' || chr(10) || string_agg(r || '. ' || vri || ' — ' || case when length(p_name) > 12 then rtrim(substr(p_name, 1, 11)) || '…' else p_name end, chr(10) order by r) as prompt
 from (select p_partkey % 25 as k, row_number() over (partition by p_partkey % 25 order by p_partkey) as r, (p_size % 9) || '.' || (p_partkey % 4) as vri, p_name from part) p join nation on k = n_nationkey where r <= 8 group by 1, n_name""")
 def q80_prompt_rows(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey % 25 as n_nationkey", "p_partkey", "concat(p_size % 9, '.', p_partkey % 4) as vri", "p_name")
+    p = table(spark, d, "part").selectExpr("cast(p_partkey % 25 as int) as n_nationkey", "p_partkey", "concat(p_size % 9, '.', p_partkey % 4) as vri", "p_name")
     top = ranking.ranked(p, "n_nationkey", F.col("p_partkey")).where("place <= 8")
     line = F.format_string("%d. %s — %s", "place", "vri", T.truncated("p_name", 12))
     lists = top.groupBy("n_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("l")))), lambda s: s["l"]), "\n").alias("lines"))
