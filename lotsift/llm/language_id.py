@@ -219,13 +219,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     usable = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         (fold != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(counts)
     start = F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
+    hashed = usable.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     segments, labels = [], []
     for k, language in enumerate(languages):
+        # Only hashes that can be among the lowest are sorted, so tasks send about the sample and no more.
+        most = min(1.0, (1.5 * SAMPLE_DOCS + 100) / counts[language])
         sample = (
-            usable.where(F.col("lang") == language)
-            .select(F.xxhash64("id").alias("h"), "id", F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("part"))
+            hashed.where((F.col("lang") == language) & (F.col("h") <= int(most * (1 << 40))))
+            .select("h", "id", F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("part"))
             .orderBy("h", "id", "part")
             .limit(SAMPLE_DOCS)
         )
