@@ -7,8 +7,9 @@ text of both pieces gives just these two, and is infinite otherwise. A sequence
 merge result of its text exactly if each neighbouring pair is, so the one finite path through
 the composition with an input is its encoding. Arcs are compiled when an input first reaches them.
 
-Shortest paths are taken in the tropical semiring, segment by segment: no piece holds the word
-mark after another character, so paths of segments that start at word marks don't affect each other.
+Shortest paths are taken in the tropical semiring, segment by segment: a text is cut wherever no
+piece has two such characters side by side (before a word mark, between a word and its
+punctuation), so paths of its segments don't affect each other.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Segments whose path a worker keeps; it starts anew when it has as many.
-KEPT_SEGMENTS = 400_000
+#: Segments whose path, and arcs whose weight, a worker keeps; it starts anew when it has as many.
+KEPT_SEGMENTS = 800_000
+KEPT_ARCS = 1_000_000
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -88,15 +90,37 @@ class Transducer:
         self.out[self.unknown] = " ⁇ ".encode()
         for value, i in self.bytes.items():
             self.out[i] = bytes([value])
-        if any(MARK in name.lstrip(MARK) for name in self.ids):
-            self.segments = None
-        else:
-            joined = set("".join(name for name in self.ids if len(name) > 1))
-            alone = re.escape("".join(c for c in map(chr, range(32)) if c not in joined))
-            self.segments = re.compile(f" *[^ {alone}]+| +|[{alone}]").findall
+        self.segments = self._cutter()
+        #: For each piece the longest other one that starts it, or -1, and all starts of pieces.
+        self.shorter = [-1] * len(names)
+        self.starts = {name[:k] for name in self.ids for k in range(1, len(name) + 1)}
+        for name, i in self.ids.items():
+            self.shorter[i] = next((self.ids[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in self.ids), -1)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.paths: dict[str, bytes] = {}
 
+    def _cutter(self):
+        """A function that cuts a text with spaces for marks between characters that no piece has side by side; None if a mark can follow."""
+        if any(MARK in name.lstrip(MARK) for name in self.ids):
+            return None
+        group: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while group.setdefault(c, c) != c:
+                c = group[c]
+            return c
+
+        for name in self.ids:
+            name = name.lstrip(MARK)
+            for x, y in zip(name, name[1:], strict=False):
+                group[root(x)] = root(y)
+        members: dict[str, list[str]] = {}
+        for c in group:
+            members.setdefault(root(c), []).append(c)
+        classes = ["".join(map(re.escape, m)) for m in sorted(members.values(), key=len, reverse=True) if len(m) > 1]
+        rest = "".join(classes)
+        return re.compile("|".join([*(f" *[{c}]+" for c in classes), f" *[^ {rest}]" if rest else " *[^ ]", " +"]), re.S).findall
+
     def _merged(self, symbols: list[str]) -> list[str]:
         """The highest-scoring neighbours whose concatenation is a piece merge, leftmost first, until none are left."""
         symbols = list(symbols)
@@ -114,6 +138,8 @@ class Transducer:
         """Whether piece b may follow piece a; a is -1 at the start, where b needs only to be its own encoding."""
         ok = self.arcs.get((a, b))
         if ok is None:
+            if len(self.arcs) > KEPT_ARCS:
+                self.arcs.clear()
             left = [self.names[a]] if a >= 0 else []
             ok = self.arcs[a, b] = self._merged(list("".join(left) + self.names[b])) == [*left, self.names[b]]
         return ok
@@ -122,33 +148,62 @@ class Transducer:
         data = char.encode("utf-8", "replace")
         return [self.bytes[b] for b in data] if self.bytes else [self.unknown]
 
+    def _longest(self, text: str, begin: int) -> int:
+        """The longest piece that starts at a place of the text, or -1."""
+        found, end, n = -1, begin + 1, len(text)
+        starts, find = self.starts, self.ids.get
+        while end <= n and (part := text[begin:end]) in starts:
+            found = find(part, found)
+            end += 1
+        return found
+
+    def _finite_path(self, segment: str) -> list[int]:
+        """The one path of finite weight through a merge model, searched depth first from long pieces to short.
+
+        Each place has one finite path to it, so a place that was left again is never entered anew.
+        A character that is no piece takes the fallback, entered as the bitwise complement of its place.
+        """
+        n, names, shorter, arc = len(segment), self.names, self.shorter, self._arc
+        path: list[int] = []
+        left: set[int] = set()
+        at, last, piece = 0, -1, self._longest(segment, 0)
+        while at < n:
+            while piece >= 0 and (at + len(names[piece]) in left or not arc(last, piece)):
+                piece = shorter[piece]
+            if piece < 0 and segment[at] not in self.ids and at + 1 not in left:
+                path.append(~at)
+                at, last = at + 1, -1
+            elif piece >= 0:
+                path.append(piece)
+                at, last = at + len(names[piece]), piece
+            else:
+                left.add(at)
+                piece = path.pop()
+                at = ~piece if piece < 0 else at - len(names[piece])
+                last = path[-1] if path and path[-1] >= 0 else -1
+                piece = -1 if piece < 0 else shorter[piece]
+                continue
+            piece = self._longest(segment, at) if at < n else -1
+        return [i for x in path for i in ([x] if x >= 0 else self._fallback(segment[~x]))]
+
     def shortest_path(self, segment: str) -> bytes:
         """Ids along the path of least weight through the composition of the segment with the transducer."""
+        if self.merges:
+            return np.array(self._finite_path(segment), dtype="<i4").tobytes()
         n = len(segment)
-        # Of each end: least weight, the last piece's id (-1 after a fallback), its start and its ids.
-        weight, last, start = [0.0] + [float("inf")] * n, [-1] * (n + 1), [0] * (n + 1)
-        single: list[list[int] | None] = [None] * (n + 1)
-        find = self.ids.get
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                piece = find(segment[begin:end])
-                if piece is None or weight[begin] == float("inf"):
-                    continue
-                if self.merges:
-                    if self._arc(last[begin], piece):
-                        weight[end], last[end], start[end], single[end] = 0.0, piece, begin, None
-                        break
-                else:
-                    w = weight[begin] - self.scores[piece]
-                    if w < weight[end]:
-                        weight[end], last[end], start[end], single[end] = w, piece, begin, None
-            if find(segment[end - 1]) is None and (not self.merges or weight[end] == float("inf")):
-                w = weight[end - 1] + (0.0 if self.merges else self.unknown_cost)
-                if w < weight[end]:
-                    weight[end], last[end], start[end], single[end] = w, -1, end - 1, self._fallback(segment[end - 1])
+        # Of each end: least weight, the last arc's ids and its start.
+        weight, start = [0.0] + [float("inf")] * n, [0] * (n + 1)
+        ids: list[list[int]] = [[]] * (n + 1)
+        for begin in range(n):
+            ways = [(end, self.ids[part]) for end in range(begin + 1, min(n, begin + self.longest) + 1) if (part := segment[begin:end]) in self.ids]
+            for end, piece in ways:
+                if (w := weight[begin] - self.scores[piece]) < weight[end]:
+                    weight[end], ids[end], start[end] = w, [piece], begin
+            if segment[begin] not in self.ids and (w := weight[begin] + self.unknown_cost) < weight[begin + 1]:
+                weight[begin + 1], ids[begin + 1], start[begin + 1] = w, self._fallback(segment[begin]), begin
         parts, end = [], n
         while end:
-            parts.append(single[end] or [last[end]])
+            parts.append(ids[end])
             end = start[end]
         return np.array([i for part in reversed(parts) for i in part], dtype="<i4").tobytes()
 
