@@ -30,7 +30,8 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 @F.udf(ArrayType(ArrayType(ArrayType(ArrayType(DoubleType())))))
 def _shape(geometry: str | None):
-    return polygonal(json.loads(geometry)) if geometry else None
+    shape = polygonal(json.loads(geometry)) if geometry else None
+    return shape and [[[[float(v) for v in p[:2]] for p in ring] for ring in polygon] for polygon in shape]
 
 
 def geometry_of(feature: Column) -> Column:
