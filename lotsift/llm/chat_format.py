@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 ROLES = ("system", "user", "assistant")
 #: State 2r is the first line of role r's turn, state 2r + 1 a further line of it.
@@ -110,7 +112,10 @@ class Model:
             with np.errstate(divide="ignore"):
                 return np.log(c / c.sum(axis=-1, keepdims=True))
 
-        return Model(logs(first, start), logs(following, allowed), logs(symbol, np.ones_like(symbol, dtype=bool)))
+        # Marker and ending are taken as independent, so a marker counts with an ending that its state never had.
+        parts = symbol.reshape(STATES, -1, 3)
+        marks, endings = (logs(parts.sum(axis=k), np.array(True)) for k in (2, 1))
+        return Model(logs(first, start), logs(following, allowed), (marks[:, :, None] + endings[:, None, :]).reshape(STATES, -1))
 
 
 def path(model: Model, symbols: list[int]) -> list[int]:
@@ -189,24 +194,24 @@ def fit(labelled: DataFrame, transcript: str = "transcript", turns: str = "turns
     return Model.of(tables["first"][:, 0], tables["next"], tables["symbol"])
 
 
-def recover(transcripts: DataFrame, model: Model, key: str = "conv_id", transcript: str = "transcript") -> DataFrame:
-    """One row per row of transcripts: key, roles (array, in order), rendered (canonical JSON), n_turns.
+def recover(transcripts: DataFrame, model: Model, transcript: str = "transcript") -> DataFrame:
+    """transcripts with roles (array, in order), rendered (canonical JSON) and n_turns in place of the transcript.
 
-    A null or blank transcript has no turns and renders as []. Rows are independent, so repeated rows get equal results.
+    All other columns stay, but for those with the results' names. A null or blank transcript has no
+    turns and renders as []. Rows are independent, so repeated rows get equal results.
     """
-    kind = transcripts.schema[key].dataType.simpleString()
+    made = {"roles": pa.list_(pa.string()), "rendered": pa.string(), "n_turns": pa.int32()}
+    kept = [c for c in transcripts.columns if c not in (*made, transcript)]
+    schema = transcripts.select(*kept).schema.add("roles", ArrayType(StringType())).add("rendered", "string").add("n_turns", IntegerType())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = []
-            for k, text in zip(part["k"], part["t"], strict=True):
-                turns = parse(model, text)
-                rows.append((k, [r for r, _ in turns], render(turns), len(turns)))
-            yield pd.DataFrame(rows, columns=["k", "roles", "rendered", "n_turns"])
+            turns = [parse(model, t) for t in part.column(transcript).to_pylist()]
+            new = [[[r for r, _ in t] for t in turns], [render(t) for t in turns], [len(t) for t in turns]]
+            columns = [pa.array(v, k) for v, k in zip(new, made.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], names=[*kept, *made])
 
-    source = transcripts.select(F.col(key).cast("string").alias("k"), F.col(transcript).alias("t"))
-    out = source.mapInPandas(run, "k string, roles array<string>, rendered string, n_turns int")
-    return out.withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)
+    return transcripts.select(*kept, transcript).mapInArrow(run, schema)
 
 
 #: How each style marks the roles of ROLES.
@@ -219,11 +224,16 @@ STYLES = (
 )
 
 
+#: Turn numbers of one part of a conversation; a longer one is a row for each part.
+PART_TURNS = 256
+
+
 def transcripts_of(messages: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, transcript, turns) of a table of messages: each conversation as one raw text in a style that its key picks.
+    """(key, part, transcript, turns) of a table of messages: each conversation as raw text in a style that its key picks.
 
     Turns stand in order of number, then role and text; every seventh turn of a key's cycle has lost its
-    marker and only a blank line precedes it. A conversation is one row, so it must fit a task.
+    marker and only a blank line precedes it. Part k holds the turn numbers from 256 k, so that no
+    conversation needs to fit one task; messages without a number are in part 0.
     """
     place = F.create_map(*[x for i, r in enumerate(ROLES) for x in (F.lit(r), F.lit(i))])
     styles = F.array(*[F.array(*map(F.lit, s)) for s in STYLES])
@@ -233,11 +243,14 @@ def transcripts_of(messages: DataFrame, key: str = "conv_id", turn: str = "turn"
     mark = F.when(lost, F.lit("")).otherwise(F.element_at(F.element_at(styles, style + 1), number + 1))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = messages.select(
-        F.col(key).alias("key"), F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), body.alias("text"), F.concat(mark, body).alias("line")).alias("m")
+        F.col(key).alias("key"),
+        F.coalesce(F.floor(F.col(turn) / PART_TURNS), F.lit(0)).cast("bigint").alias("part"),
+        F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), body.alias("text"), F.concat(mark, body).alias("line")).alias("m"),
     )
-    held = rows.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    held = rows.groupBy("key", "part").agg(F.array_sort(F.collect_list("m")).alias("m"))
     return held.select(
         F.col("key").alias(key),
+        "part",
         F.array_join(F.transform("m", lambda m: m["line"]), "\n\n").alias("transcript"),
         F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("turns"),
     )

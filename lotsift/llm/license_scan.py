@@ -28,7 +28,7 @@ LEVEL = 3
 #: Lines of a block: it ends there and the next begins, so a block stays small in any text.
 BLOCK_LINES = 400
 
-CUE = r"(?i)licen[sc]|copyright|\(c\) ?\d{4}|©|spdx|permission is hereby|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -](?:by|0)\b|warrant(?:y|ies)"
+CUE = r"(?i)licen[sc]|copyright|\(c\) ?\d{4}|©|spdx|permission is hereby|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -]?(?:by|0)\b|warrant(?:y|ies)"
 
 # Public licence notices. * stands for any few words, such as a year and a holder.
 TEMPLATES: dict[str, list[str]] = {

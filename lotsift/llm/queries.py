@@ -66,9 +66,9 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = transcripts_of(_table(spark, sf_dir, "conversations"))
     fold = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(3))
-    out = recover(raw, fit(raw.where(fold != 1)))
+    out = recover(raw.drop("turns"), fit(raw.where(fold != 1)))
     return out.select(
-        "conv_id", "n_turns", F.array_join("roles", ",").alias("roles"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256")
+        "conv_id", "part", "n_turns", F.array_join("roles", ",").alias("roles"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256")
     )
 
 
