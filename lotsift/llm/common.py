@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,20 +129,52 @@ def batches(docs: DataFrame, key: str, text: str, batch_bytes: int = BATCH_BYTES
     return docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), g.alias("g")).repartition(parts, "g"), n
 
 
+def _forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars: each node with the smallest one connected to it here."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    names, kinds = None, None
+    for part in parts:
+        names, kinds = part.schema.names, part.schema.types
+        for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > 500_000:
+            yield _stars(root, find, names, kinds)
+            root.clear()
+    if root:
+        yield _stars(root, find, names, kinds)
+
+
+def _stars(root: dict, find, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    pairs = [(x, find(x)) for x in list(root)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kinds[k]) for k in (0, 1)], names=names)
+
+
+def _is_star_forest(e: DataFrame) -> bool:
+    """Whether each u of the edges (u, v) has one v, and no v is a u: then every node's v is its label."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)")
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the undirected edges (a, b), for nodes with an edge.
 
-    Large-star and small-star rounds: each round joins a node's neighbours to its smallest one,
-    so that chains shrink quickly and a hub's edges stay spread over rows.
+    Partitions first reduce their edges to stars. Large-star and small-star rounds then join a
+    node's neighbours to its smallest one, so that chains shrink quickly and a hub's edges stay spread over
+    rows, until only stars are left.
     """
-    e = (
-        edges.where("a != b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    e = checkpoint(e)
-    before = None
-    while True:
+    e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = checkpoint(e.mapInArrow(_forest, e.schema).distinct())
+    while not _is_star_forest(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -153,10 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = tuple(now)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def planes(values: np.ndarray, width: int = 4) -> bytes:

@@ -6,10 +6,9 @@ the Jaccard similarity. Bands of the signature give candidate buckets, and every
 confirmed on the full shingle sets of both texts.
 
 Buckets are never expanded into all pairs. Documents with equal sets form one class. In each
-bucket a hub (the document that shares most buckets) is held against the others; where documents
-that are still unconnected remain, a second hub is taken. Of what remains, small buckets give their
-unconnected pairs; large ones are cut into blocks that hold the sets, and a block confirms its
-pairs where they first meet and sends on no more links than join its groups.
+bucket a hub (the document that shares most buckets) is held against the others. Of what is still
+unconnected then, small buckets give their pairs; large ones are cut into blocks that hold the
+sets, and a block confirms its pairs where they first meet and sends on no more links than join its groups.
 """
 
 from __future__ import annotations
@@ -113,9 +112,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInPandas(_similar, f"a {kind}, b {kind}")
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("label", F.col("id"))
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     labels = labels.select(F.col("node").alias("id"), "label")
     return buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
@@ -222,15 +219,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = buckets.select("id").distinct()
     texts = stored(base.withColumn("id", F.col("id").cast(kind)).join(wanted, "id", "left_semi"))
 
-    links, labels = None, None
-    for _ in range(2):
-        open_rows = checkpoint(_undecided(_labelled(buckets, labels)))
-        pairs, buckets = _hub_pairs(open_rows)
-        buckets = checkpoint(buckets.select("key", "id", "n"))
-        found = confirm(pairs, texts)
-        links = checkpoint(found if links is None else links.union(found))
-        labels = components(links)
-    open_rows = checkpoint(_undecided(_labelled(buckets, labels)))
+    pairs, rest = _hub_pairs(checkpoint(_undecided(buckets.withColumn("label", F.col("id")))))
+    links = checkpoint(confirm(pairs, texts))
+    open_rows = checkpoint(_undecided(_labelled(rest.select("key", "id", "n"), components(links))))
     labels = components(links.union(_rest_links(open_rows, firsts, texts)))
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
