@@ -62,14 +62,12 @@ def _around(hit: np.ndarray, n_runs: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _packed(g: int, buckets: int, owner: np.ndarray, keys: np.ndarray, width: int, extra: dict) -> pd.DataFrame:
+def _packed(g: int, owner: np.ndarray, keys: np.ndarray, width: int, extra: dict) -> pd.DataFrame:
     """A row for each bucket with the keys (sorted by bucket) that go there and bits about each."""
-    cut = np.searchsorted(owner, np.arange(buckets + 1))
+    present, start, count = np.unique(owner, return_index=True, return_counts=True)
     rows = []
-    for b in range(buckets):
-        i, j = cut[b], cut[b + 1]
-        if i < j:
-            rows.append([b, g, keys[i:j].astype(f"<u{width}").tobytes(), *(_bits(x[i:j]) for x in extra.values())])
+    for b, i, j in zip(present.tolist(), start, start + count, strict=True):
+        rows.append([b, g, keys[i:j].astype(f"<u{width}").tobytes(), *(_bits(x[i:j]) for x in extra.values())])
     return pd.DataFrame(rows, columns=["bucket", "g", "keys", *extra])
 
 
@@ -83,7 +81,7 @@ def _probe(buckets: int):
         keys, counts = np.unique(np.concatenate(rolling), return_counts=True)
         question = np.zeros(len(keys), dtype=bool)
         question[np.searchsorted(keys, np.concatenate(asked))] = True
-        return _packed(int(pdf["g"].iloc[0]), buckets, keys >> _U(32), keys & _U(0xFFFFFFFF), 4, {"many": counts > 1, "asks": question})
+        return _packed(int(pdf["g"].iloc[0]), keys >> _U(32), keys & _U(0xFFFFFFFF), 4, {"many": counts > 1, "asks": question})
 
     return run
 
@@ -108,12 +106,13 @@ def _answer(width: int):
     return run
 
 
-def _told(keys: np.ndarray, owner: np.ndarray, answers: pd.DataFrame, buckets: int) -> np.ndarray:
+def _told(keys: np.ndarray, owner: np.ndarray, answers: pd.DataFrame) -> np.ndarray:
     """Flags of the sorted keys from the answers of their buckets."""
-    cut = np.searchsorted(owner, np.arange(buckets + 1))
+    asked = answers["bucket"].to_numpy().astype(owner.dtype)
+    first, after = np.searchsorted(owner, asked), np.searchsorted(owner, asked, side="right")
     out = np.zeros(len(keys), dtype=bool)
-    for b, data in zip(answers["bucket"], answers["bits"], strict=True):
-        out[cut[b] : cut[b + 1]] = _flags(data, cut[b + 1] - cut[b])
+    for i, j, data in zip(first, after, answers["bits"], strict=True):
+        out[i:j] = _flags(data, j - i)
     return out
 
 
@@ -126,7 +125,7 @@ def _candidates(texts, answers: pd.DataFrame, buckets: int):
         places, index = _blocks(h, buckets)
         held.append((words, h, places[index]))
     asked = np.unique(np.concatenate([x[2] for x in held]))
-    hit = _told(asked, asked >> _U(32), answers, buckets)
+    hit = _told(asked, asked >> _U(32), answers)
     for words, h, blocks in held:
         n = max(0, len(h) - RUN_WORDS + 1)
         found = np.flatnonzero(hit[np.searchsorted(asked, blocks)]) if n else np.empty(0, dtype=np.int64)
@@ -142,7 +141,7 @@ def _extend(buckets: int):
     def run(key, docs, answers):
         runs = [h for _, _, h in _candidates(docs["text"], answers, buckets)]
         keys, counts = np.unique(np.concatenate(runs) if runs else np.empty(0, dtype=_U), return_counts=True)
-        return _packed(key[0], buckets, _owner(keys, buckets), keys, 8, {"many": counts > 1, "asks": np.ones(len(keys), bool)})
+        return _packed(key[0], _owner(keys, buckets), keys, 8, {"many": counts > 1, "asks": np.ones(len(keys), bool)})
 
     return run
 
@@ -152,7 +151,7 @@ def _cut(buckets: int):
         first, second = (answers[answers["round"] == r] for r in (1, 2))
         held = list(_candidates(docs["text"], first, buckets))
         keys = np.unique(np.concatenate([h for _, _, h in held])) if held else np.empty(0, dtype=_U)
-        twice = _told(keys, _owner(keys, buckets), second, buckets)
+        twice = _told(keys, _owner(keys, buckets), second)
         rows = []
         for i, (words, starts, h) in zip(docs["id"], held, strict=True):
             edge = np.zeros(len(words) + 1, dtype=np.int32)
@@ -192,5 +191,3 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         _cut(buckets), "id string, n_words bigint, n_removed bigint, kept_text string"
     )
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
-
-
