@@ -1,9 +1,10 @@
-"""Licence scan by conditional compression.
+"""Licence scan by seeds, word differences and conditional compression.
 
-Blocks of lines that talk of a licence are compressed with zstandard, plainly and with each
-template as raw dictionary. A template that says what the block says saves most of its bytes; the
-templates are ranked by the share saved, and the best ones are confirmed by the exact differences
-of wording between template and block.
+A template with k differing words allowed is cut into k + 1 pieces, and a passage that is like it
+holds one of them word for word. From each such place the passage is aligned to both sides, so every
+template is confirmed or ruled out at every place, in any line and any surroundings. Passages are then
+compressed with zstandard, plainly and with the template as raw dictionary; the share of bytes saved
+ranks the licences.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -19,14 +19,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least share of the plainly compressed bytes that the dictionary must save, and how many ranks are confirmed.
-LEAST_SAVED = 0.2
-RANKS = 4
 #: Most words of a template that may differ, as a share of its words.
 MOST_DIFFERENT = 0.12
+#: Most words that a * takes without a difference.
+STAR = 12
 LEVEL = 3
-#: Lines of a block: it ends there and the next begins, so a block stays small in any text.
-BLOCK_LINES = 400
 
 CUE = r"(?i)licen[sc]|copyright|\(c\) ?\d{4}|©|spdx|permission is hereby|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -]?(?:by|0)\b|warrant(?:y|ies)"
 
@@ -95,16 +92,27 @@ class Template:
         return ["*" if w == "*" else w for part in self.text.split() for w in ([part] if part == "*" else _words(part))]
 
 
+def _pieces(words: list[str], wanted: int) -> list[tuple[int, int]]:
+    """(begin, end) of at least so many pieces without *, none of which overlap, as long as they can be."""
+    stars = [-1, *(i for i, w in enumerate(words) if w == "*"), len(words)]
+    runs = [(a + 1, b) for a, b in zip(stars, stars[1:], strict=False) if b > a + 1]
+    length = next(n for n in range(len(words), 0, -1) if sum((b - a) // n for a, b in runs) >= wanted)
+    return [(i, i + length) for a, b in runs for i in range(a, b - length + 1, length)]
+
+
 @lru_cache(maxsize=1)
-def _compiled() -> tuple[list[tuple[Template, list[str], zstandard.ZstdCompressor]], frozenset[str]]:
-    out, vocabulary = [], set()
+def _compiled() -> tuple[list[tuple[Template, list[str], zstandard.ZstdCompressor]], dict[str, list[tuple[int, int, list[str]]]]]:
+    """Templates, and by its first word each piece of them: template's number, piece's place in it, piece."""
+    out, seeds = [], {}
     for license_id, texts in TEMPLATES.items():
         for text in texts:
             t = Template(license_id, text)
             held = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((t, t.words, zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False)))
-            vocabulary |= set(t.words)
-    return out, frozenset(vocabulary)
+            words = t.words
+            for a, b in _pieces(words, int(MOST_DIFFERENT * len(words)) + 1):
+                seeds.setdefault(words[a], []).append((len(out), a, words[a:b]))
+            out.append((t, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False)))
+    return out, seeds
 
 
 _plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
@@ -112,77 +120,121 @@ _cue = re.compile(CUE)
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(first line's number, text) of runs of lines that speak mostly in the templates' words and hold a cue."""
-    vocabulary = _compiled()[1]
-    run, first = [], 0
-    for n, line in enumerate([*text.split("\n"), ""]):
-        words = _words(line)
-        cue = bool(_cue.search(line))
-        if words and len(run) < BLOCK_LINES and (cue or sum(w in vocabulary for w in words) >= 0.7 * len(words)):
-            first = first if run else n
-            run.append((line, cue))
-            continue
-        if any(c for _, c in run):
-            yield first, "\n".join(x for x, _ in run)
-        run, first = ([(line, cue)], n) if words and cue else ([], n)
-    if any(c for _, c in run):
-        yield first, "\n".join(x for x, _ in run)
+    """(first line's number, text) of what is scanned in one piece: a text with a cue, else nothing."""
+    if _cue.search(text):
+        yield 0, text
+
+
+def _align(template: list[str], words: list[str], anywhere: bool = False) -> tuple[int, list[int]]:
+    """Fewest words added, removed or changed between the template and a passage that begins with the words (or anywhere); places of the words met."""
+    n = len(words)
+    rows = [[0] * (n + 1) if anywhere else list(range(n + 1))]
+    for w in template:
+        last = rows[-1]
+        if w == "*":
+            row = [min(last[max(0, j - STAR) : j + 1]) for j in range(n + 1)]
+        else:
+            row = [last[0] + 1, *(min(last[j] + (words[j] != w), last[j + 1] + 1) for j in range(n))]
+        for j in range(n):
+            if row[j] + 1 < row[j + 1]:
+                row[j + 1] = row[j] + 1
+        rows.append(row)
+    wrong = min(rows[-1])
+    i, j, met = len(template), rows[-1].index(wrong), []
+    while i:
+        here, last, w = rows[i][j], rows[i - 1], template[i - 1]
+        if w == "*":
+            back = next((s for s in range(min(STAR, j) + 1) if last[j - s] == here), None)
+            i, j = (i, j - 1) if back is None else (i - 1, j - back)
+        elif j and words[j - 1] == w and last[j - 1] == here:
+            i, j = i - 1, j - 1
+            met.append(j)
+        elif j and last[j - 1] + 1 == here:
+            i, j = i - 1, j - 1
+        elif last[j] + 1 == here:
+            i -= 1
+        else:
+            j -= 1
+    return wrong, met[::-1]
 
 
 def differences(template: list[str], block: list[str]) -> tuple[int, int]:
     """Words added, removed or changed between the template and the block's passage that fits it best; words of the template met.
 
-    The passage reaches from the first word matched to the last; * takes up to 12 words.
+    * takes up to 12 words.
+    """
+    wrong, met = _align(template, block, anywhere=True)
+    return wrong, len(met)
+
+
+def _confirmed(words: list[str]) -> Iterator[tuple[int, int, list[int]]]:
+    """(template's number, words different, places of the words met) of passages that are like a template."""
+    templates, seeds = _compiled()
+    for i, word in enumerate(words):
+        for number, at, piece in seeds.get(word, ()):
+            if words[i : i + len(piece)] != piece:
+                continue
+            template = templates[number][1]
+            most = int(MOST_DIFFERENT * len(template))
+            before, after = template[:at][::-1], template[at + len(piece) :]
+            left, right = (len(x) + most + STAR * x.count("*") for x in (before, after))
+            end = i + len(piece)
+            wrong_before, met_before = _align(before, words[max(0, i - left) : i][::-1])
+            if wrong_before > most:
+                continue
+            wrong_after, met_after = _align(after, words[end : end + right])
+            if wrong_before + wrong_after > most:
+                continue
+            met = [*(i - 1 - x for x in reversed(met_before)), *range(i, end), *(end + x for x in met_after)]
+            yield number, wrong_before + wrong_after, met
+
+
+def passages(text: str) -> list[tuple[int, str, float, int, str]]:
+    """(line, license, share saved, words different, template) of the licences of a text, by place, best first.
+
+    Of passages of one licence that share words, the one with most words met stands for all. One whose words are
+    mostly those of another licence's passage with fewer differences is only its look-alike.
     """
-    parts = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    equal = [p for p in parts if p[0] == "equal"]
-    if not equal:
-        return len(template), 0
-    lo, hi = equal[0][3], equal[-1][4]
-    wrong = met = 0
-    for kind, a, b, c, d in parts:
-        if kind == "equal":
-            met += b - a
-            continue
-        missing = template[a:b]
-        stars = missing.count("*")
-        extra = max(0, min(d, hi) - max(c, lo)) if c < hi and d > lo else 0
-        wrong += max(len(missing) - stars, max(0, extra - 12 * stars))
-    return wrong, met
+    templates = _compiled()[0]
+    spans = [(m, w.lower()) for m, w in ((m, m.group().strip(".+-")) for m in _WORD.finditer(text)) if w]
+    found = {}
+    for number, wrong, met in _confirmed([w for _, w in spans]):
+        found.setdefault((number, met[0], met[-1]), (number, wrong, met))
+    kept = {}
+    for number, wrong, met in sorted(found.values(), key=lambda x: (-len(x[2]), x[1], x[0])):
+        same = kept.setdefault(templates[number][0].license_id, [])
+        places = set(met)
+        if all(places.isdisjoint(other) for _, _, other in same):
+            same.append((number, wrong, places))
+    out = []
+    for license_id, same in kept.items():
+        for number, wrong, places in same:
+            if any(w < wrong and 2 * len(places & other) > len(places) for k, x in kept.items() if k != license_id for _, w, other in x):
+                continue
+            template, _, compressor = templates[number]
+            first = spans[min(places)][0].start()
+            data = text[first : spans[max(places)][0].end()].lower().encode("utf-8", "replace")
+            saved = 1 - len(compressor.compress(data)) / len(_plain.compress(data))
+            out.append((first, saved, (text.count("\n", 0, first), license_id, saved, wrong, template.text)))
+    return [x for _, _, x in sorted(out, key=lambda x: (x[0], -x[1], x[2][1]))]
 
 
 def scan(block: str) -> list[tuple[str, float, int, str]]:
-    """(license, share saved, words different, template) of confirmed licences of a block, best first."""
-    data = block.lower().encode("utf-8", "replace")
-    plain = len(_plain.compress(data))
-    ranked = []
-    for template, words, compressor in _compiled()[0]:
-        saved = 1 - len(compressor.compress(data)) / plain
-        if saved >= LEAST_SAVED:
-            ranked.append((saved, template, words))
-    ranked.sort(key=lambda x: (-x[0], x[1].license_id, x[1].text))
-    own, out = _words(block), {}
-    for saved, template, words in ranked[:RANKS]:
-        wrong, met = differences(words, own)
-        if met and wrong <= MOST_DIFFERENT * len(words):
-            out.setdefault(template.license_id, (template.license_id, saved, wrong, template.text))
-    # A notice that fits one template word for word isn't also another with a word changed.
-    least = min((x[2] for x in out.values()), default=0)
-    return sorted((x for x in out.values() if x[2] == least), key=lambda x: (-x[1], x[0]))
+    """(license, share saved, words different, template) of a block's passages."""
+    return [x[1:] for x in passages(block)]
 
 
 def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each licence found in a block: id, line (of the block's start, from 0), license_id, saved, differences, template.
+    """A row for each licence and passage: id, line (of the passage's start, from 0), license_id, saved, differences, template.
 
-    Only documents with a cue leave the JVM, and of these only blocks with a cue are
-    compressed. Null and blank texts have no rows; repeated rows have theirs each. Ties rank by name.
+    Only documents with a cue leave the JVM; these are read whole. Null and blank texts have no rows; repeated rows have theirs each. Ties rank by name.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [
-                (i, line, *found) for i, t in zip(part["id"], part["text"], strict=True) for line, block in blocks(t) for found in scan(block)
+                (i, first + line, *found) for i, t in zip(part["id"], part["text"], strict=True) for first, block in blocks(t) for line, *found in passages(block)
             ]
             yield pd.DataFrame(rows, columns=["id", "line", "license_id", "saved", "differences", "template"])
 

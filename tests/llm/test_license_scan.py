@@ -59,3 +59,22 @@ def test_nulls_repeats_and_columns(spark):
     rows = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "Licensed under the MIT License.", 1), (3, "Licensed under the MIT License.", 1), (None, "Licensed under the ISC License.", 1)], "doc_id long, text string, line int")
     assert sorted((r.doc_id or 0, r.license_id) for r in S.licences(rows).collect()) == [(0, "ISC"), (3, "MIT"), (3, "MIT")]
     assert S.licences(rows.where("false")).count() == 0
+
+
+def test_lines_together_and_inside_prose():
+    two = "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."
+    assert [(x[0], x[1]) for x in S.passages(two)] == [(0, "Apache-2.0"), (1, "MIT")]
+    for n in (50, 100, 1000, 20000):
+        prose = (PROSE + " ") * (n // len(PROSE) + 1)
+        for license_id in ("MIT", "GPL-3.0", "AGPL-3.0"):
+            text = f"{prose}{S.TEMPLATES[license_id][0]} {prose}"
+            assert [x[0] for _, b in S.blocks(text) for x in S.scan(b)] == [license_id]
+    every = [(k, t) for k, ts in S.TEMPLATES.items() for t in ts if "*" not in t]
+    found = [x[1] for x in S.passages(f" {PROSE}\n".join(t for _, t in every))]
+    assert [found.count(k) for k in S.TEMPLATES] == [sum(x == k for x, _ in every) for k in S.TEMPLATES]
+
+
+def test_passage_begins_in_one_line_and_ends_far_below():
+    mit = S.TEMPLATES["MIT"][-1].split()
+    text = f"{PROSE} {mit[0]}\n" + "\n\n".join(mit[1:])
+    assert [(x[0], x[1], x[3]) for x in S.passages("\n" * 7 + text)] == [(7, "MIT", 0)]
