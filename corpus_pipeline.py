@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotsift.llm.common import shared_folder
@@ -26,11 +26,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id; of rows that share a doc_id the first by text."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("first", first).where("first = 1")
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    """Of each group of near-duplicate rows the one of smallest doc_id, of equal ones the first row; a null doc_id comes last.
+
+    Rows are told apart by their place, so an id that different texts share, or that is missing, decides nothing else.
+    """
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    groups = near_duplicates(rows, "row").select("row", F.coalesce("component_id", "row").alias("component"))
+    named = rows.select("row", "doc_id").join(groups, "row")
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

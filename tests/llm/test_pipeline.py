@@ -87,3 +87,13 @@ def test_nulls_repeats_and_empty(spark, sf_dir):
 def test_run_gives_the_same(spark, sf_dir, steps):
     got = {r.doc_id: r for r in P.run(spark, sf_dir).collect()}
     assert got == steps[-1][1]
+
+
+def test_near_duplicates_with_shared_and_missing_ids(spark, sf_dir, tmp_path):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(7, one), (7, two), (5, one), (None, two), (None, three), (None, three), (9, None), (9, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).write.parquet(f"{tmp_path}/docs")
+    got = P.near_dedup(spark, spark.read.parquet(f"{tmp_path}/docs"), sf_dir).collect()
+    key = {one: "one", two: "two", three: "three", None: "null", "": "empty"}
+    assert sorted((str(r.doc_id), key[r.text]) for r in got) == [("5", "one"), ("7", "two"), ("9", "empty"), ("9", "null"), ("None", "three")]
