@@ -1,23 +1,29 @@
 """Encoding and decoding by a SentencePiece model as a weighted finite-state transducer.
 
-The model compiles to a normaliser (dummy prefix, spaces to the word mark), a piece transducer
-and a byte fallback. Its states are the piece read last. An arc to the next piece weighs minus
-the piece's score in a unigram model; in a merge (BPE) model it weighs nothing if merging the
-text of both pieces gives just these two, and is infinite otherwise. A sequence of pieces is the
-merge result of its text exactly if each neighbouring pair is, so the one finite path through
-the composition with an input is its encoding. Arcs are compiled when an input first reaches them.
-
-Shortest paths are taken in the tropical semiring, segment by segment: a text is cut wherever no
-piece has two such characters side by side (before a word mark, between a word and its
-punctuation), so paths of its segments don't affect each other.
+The model compiles to three machines. The normaliser has two states, within a gap and outside, and arcs that
+read a character and write it, a word mark or nothing. The pieces are arcs that read a piece's characters;
+the byte fallback has an arc for each character that is no piece. An input is composed with all
+three, and its encoding is the shortest path through the composition in the tropical semiring
+(weights add up along a path, the least one counts).
+
+In a unigram model the arc of a piece weighs minus its score. In a merge (BPE) model the states
+are the piece read last, and an arc to the next piece weighs nothing if merging the text of both
+gives just these two, else infinity. A sequence of pieces is the merge result of its text
+exactly if each neighbouring pair is, so every start of an input has one path of finite weight, its own encoding,
+and one state a place suffices.
+
+Paths are taken segment by segment: a text is cut wherever no piece has two such characters
+side by side (before a word mark, between a word and its punctuation), so paths of its segments don't affect each other.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +33,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Segments whose path, and arcs whose weight, a worker keeps; it starts anew when it has as many.
-KEPT_SEGMENTS = 800_000
-KEPT_ARCS = 1_000_000
+#: Bytes that a worker's kept segments take, about.
+KEPT_BYTES = 40 << 20
+#: A longer segment is worked out each time.
+KEPT_LONGEST = 64
+INFINITE = float("inf")
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -56,6 +64,55 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class Normaliser:
+    """The machine that turns spaces into word marks; where the model squeezes, a run of them into one mark, and none at the end.
+
+    arcs: (state, whether a space or mark is read) to (state, what is written), where None stands for the character itself.
+    A squeezing machine writes the mark of a gap when it reads the character after it.
+    """
+
+    OUTSIDE, GAP = 0, 1
+
+    def __init__(self, squeeze: bool):
+        out, gap = self.OUTSIDE, self.GAP
+        if squeeze:
+            self.arcs = {(out, True): (gap, ()), (gap, True): (gap, ()), (out, False): (out, (None,)), (gap, False): (out, (MARK, None))}
+        else:
+            self.arcs = {(out, True): (out, (MARK,)), (out, False): (out, (None,))}
+
+    def write(self, raw: str) -> str:
+        state, written = self.OUTSIDE, []
+        for c in raw:
+            state, symbols = self.arcs[state, c == " " or c == MARK]
+            written += [c if x is None else x for x in symbols]
+        return "".join(written)
+
+
+#: What stands at one end of a piece as merging goes on, and the score of what it is merged into next.
+Spine = list[tuple[str, float]]
+
+
+class Kept(dict):
+    """Results of a function by text, young ones and old: young ones of half the bytes become the old, and those before go."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old, self.size = make, {}, 0
+
+    def __missing__(self, text: str) -> bytes:
+        if len(text) > KEPT_LONGEST:
+            return self.make(text)
+        value = self.old.get(text)
+        if value is None:
+            value = self.make(text)
+        if self.size >= KEPT_BYTES // 2:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[text] = value
+        self.size += sys.getsizeof(text) + sys.getsizeof(value) + 50
+        return value
+
+
 class Transducer:
     """The compiled model; encode() and decode() map a text to packed little-endian 32-bit ids and back."""
 
@@ -78,6 +135,8 @@ class Transducer:
             raise ValueError("only unigram and merge models without user-defined pieces can be compiled")
         if normaliser.get(2):
             raise ValueError("the model has a character map; only identity normalisers can be compiled")
+        if trainer.get(3, UNIGRAM) == UNIGRAM and max(scores) > 0:
+            raise ValueError("a piece's score is no logarithm of a probability")
         self.prefix, self.squeeze = bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1))
         self.scores = scores
         self.ids = {name: i for i, (name, kind) in enumerate(zip(names, kinds, strict=True)) if kind == NORMAL}
@@ -90,17 +149,19 @@ class Transducer:
         self.out[self.unknown] = " ⁇ ".encode()
         for value, i in self.bytes.items():
             self.out[i] = bytes([value])
+        self.normaliser = Normaliser(self.squeeze)
         self.segments = self._cutter()
-        #: For each piece the longest other one that starts it, or -1, and all starts of pieces.
-        self.shorter = [-1] * len(names)
+        #: All starts of pieces: the states of the machine that reads them.
         self.starts = {name[:k] for name in self.ids for k in range(1, len(name) + 1)}
-        for name, i in self.ids.items():
-            self.shorter[i] = next((self.ids[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in self.ids), -1)
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.paths: dict[str, bytes] = {}
+        #: Of pieces met so far: how merging makes them at their left and right end.
+        self.ends: dict[int, tuple[Spine, Spine] | None] = {}
+        self.paths = Kept(self._segment)
 
     def _cutter(self):
-        """A function that cuts a text with spaces for marks between characters that no piece has side by side; None if a mark can follow."""
+        """A function that cuts a text between characters that no piece has side by side; None if a mark can follow another character.
+
+        A segment takes the spaces and marks before it.
+        """
         if any(MARK in name.lstrip(MARK) for name in self.ids):
             return None
         group: dict[str, str] = {}
@@ -119,118 +180,116 @@ class Transducer:
             members.setdefault(root(c), []).append(c)
         classes = ["".join(map(re.escape, m)) for m in sorted(members.values(), key=len, reverse=True) if len(m) > 1]
         rest = "".join(classes)
-        return re.compile("|".join([*(f" *[{c}]+" for c in classes), f" *[^ {rest}]" if rest else " *[^ ]", " +"]), re.S).findall
+        gap = f"[ {MARK}]"
+        return re.compile("|".join([*(f"{gap}*[{c}]+" for c in classes), f"{gap}*[^ {MARK}{rest}]", f"{gap}+"]), re.S).findall
 
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """The highest-scoring neighbours whose concatenation is a piece merge, leftmost first, until none are left."""
-        symbols = list(symbols)
-        while True:
+    def _merge(self, text: str) -> tuple[Spine, Spine] | None:
+        """How merging makes a piece of its characters: at its left and its right end what stands there and what it is merged into.
+
+        None if merging makes something else of them. The highest-scoring neighbours whose
+        concatenation is a piece merge, leftmost first, until none are left.
+        """
+        symbols = [(c, INFINITE, [c], [c]) for c in text]
+        while len(symbols) > 1:
             best, at = None, -1
             for i in range(len(symbols) - 1):
-                j = self.ids.get(symbols[i] + symbols[i + 1])
+                j = self.ids.get(symbols[i][0] + symbols[i + 1][0])
                 if j is not None and (best is None or self.scores[j] > best):
                     best, at = self.scores[j], i
             if at < 0:
-                return symbols
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-
-    def _arc(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a; a is -1 at the start, where b needs only to be its own encoding."""
-        ok = self.arcs.get((a, b))
-        if ok is None:
-            if len(self.arcs) > KEPT_ARCS:
-                self.arcs.clear()
-            left = [self.names[a]] if a >= 0 else []
-            ok = self.arcs[a, b] = self._merged(list("".join(left) + self.names[b])) == [*left, self.names[b]]
-        return ok
+                return None
+            one, two = symbols[at : at + 2]
+            if best > min(one[1], two[1]):
+                raise ValueError("a piece scores above one that it is merged from")
+            whole = one[0] + two[0]
+            symbols[at : at + 2] = [(whole, best, [*one[2], whole], [*two[3], whole])]
+
+        def spine(names: list[str]) -> Spine:
+            scores = [*(self.scores[self.ids[n]] for n in names[1:]), -INFINITE]
+            return list(zip(names, scores, strict=True))
+
+        return spine(symbols[0][2]), spine(symbols[0][3])
+
+    def _weight(self, a: int, b: int) -> float:
+        """Weight of a merge model's arc from the state of piece a (-1: start, or a character that is no piece) that reads piece b.
+
+        Merging goes by falling scores, and two pieces stay apart unless, on the way, what stands at a's right
+        end and at b's left end makes a piece that comes before either's own next merge.
+        """
+        ends = self.ends
+        for piece in (a, b):
+            if piece >= 0 and piece not in ends:
+                ends[piece] = self._merge(self.names[piece])
+        if ends[b] is None:
+            return INFINITE
+        if a < 0:
+            return 0.0
+        right, left = ends[a][1], ends[b][0]
+        i = j = 0
+        find, scores = self.ids.get, self.scores
+        while True:
+            x, next_x = right[i]
+            y, next_y = left[j]
+            joint = find(x + y)
+            # Of equal scores the leftmost merge comes first.
+            if joint is not None and next_x < scores[joint] >= next_y:
+                return INFINITE
+            if next_x >= next_y:
+                if next_x == -INFINITE:
+                    return 0.0
+                i += 1
+            else:
+                j += 1
 
     def _fallback(self, char: str) -> list[int]:
         data = char.encode("utf-8", "replace")
         return [self.bytes[b] for b in data] if self.bytes else [self.unknown]
 
-    def _longest(self, text: str, begin: int) -> int:
-        """The longest piece that starts at a place of the text, or -1."""
-        found, end, n = -1, begin + 1, len(text)
-        starts, find = self.starts, self.ids.get
-        while end <= n and (part := text[begin:end]) in starts:
-            found = find(part, found)
-            end += 1
-        return found
-
-    def _finite_path(self, segment: str) -> list[int]:
-        """The one path of finite weight through a merge model, searched depth first from long pieces to short.
+    def shortest_path(self, text: str) -> list[int]:
+        """Ids along the path of least weight through the composition of a normal text with pieces and fallback.
 
-        Each place has one finite path to it, so a place that was left again is never entered anew.
-        A character that is no piece takes the fallback, entered as the bitwise complement of its place.
+        No arc weighs less than nothing, so paths are grown lightest first and of equal ones the furthest (Dijkstra). What an arc
+        of a merge model weighs, nothing or infinity, is worked out when its turn comes.
         """
-        n, names, shorter, arc = len(segment), self.names, self.shorter, self._arc
-        path: list[int] = []
-        left: set[int] = set()
-        at, last, piece = 0, -1, self._longest(segment, 0)
-        while at < n:
-            while piece >= 0 and (at + len(names[piece]) in left or not arc(last, piece)):
-                piece = shorter[piece]
-            if piece < 0 and segment[at] not in self.ids and at + 1 not in left:
-                path.append(~at)
-                at, last = at + 1, -1
-            elif piece >= 0:
-                path.append(piece)
-                at, last = at + len(names[piece]), piece
-            else:
-                left.add(at)
-                piece = path.pop()
-                at = ~piece if piece < 0 else at - len(names[piece])
-                last = path[-1] if path and path[-1] >= 0 else -1
-                piece = -1 if piece < 0 else shorter[piece]
+        n, find, starts, lazy = len(text), self.ids.get, self.starts, self.merges
+        #: Of each place reached: where the last arc began and its piece (-1: none).
+        came: dict[int, tuple[int, int]] = {}
+        ahead: list[tuple[float, int, int, int]] = [(0.0, 0, 0, -1)]
+        while n not in came:
+            here, at, begin, piece = heappop(ahead)
+            at = -at
+            if at in came or (lazy and piece >= 0 and self._weight(came[begin][1], piece) == INFINITE):
                 continue
-            piece = self._longest(segment, at) if at < n else -1
-        return [i for x in path for i in ([x] if x >= 0 else self._fallback(segment[~x]))]
-
-    def shortest_path(self, segment: str) -> bytes:
-        """Ids along the path of least weight through the composition of the segment with the transducer."""
-        if self.merges:
-            return np.array(self._finite_path(segment), dtype="<i4").tobytes()
-        n = len(segment)
-        # Of each end: least weight, the last arc's ids and its start.
-        weight, start = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        ids: list[list[int]] = [[]] * (n + 1)
-        for begin in range(n):
-            ways = [(end, self.ids[part]) for end in range(begin + 1, min(n, begin + self.longest) + 1) if (part := segment[begin:end]) in self.ids]
-            for end, piece in ways:
-                if (w := weight[begin] - self.scores[piece]) < weight[end]:
-                    weight[end], ids[end], start[end] = w, [piece], begin
-            if segment[begin] not in self.ids and (w := weight[begin] + self.unknown_cost) < weight[begin + 1]:
-                weight[begin + 1], ids[begin + 1], start[begin + 1] = w, self._fallback(segment[begin]), begin
+            came[at] = begin, piece
+            end = at + 1
+            while end <= n and (part := text[at:end]) in starts:
+                found = find(part)
+                if found is not None and end not in came:
+                    heappush(ahead, (here if lazy else here - self.scores[found], -end, at, found))
+                end += 1
+            if at < n and text[at] not in self.ids:
+                heappush(ahead, (here if lazy else here + self.unknown_cost, -at - 1, at, -1))
         parts, end = [], n
         while end:
-            parts.append(ids[end])
-            end = start[end]
-        return np.array([i for part in reversed(parts) for i in part], dtype="<i4").tobytes()
+            begin, piece = came[end]
+            parts.append([piece] if piece >= 0 else self._fallback(text[begin]))
+            end = begin
+        return [i for part in reversed(parts) for i in part]
 
-    def normalise(self, text: str) -> str:
-        """The text with a space for each word mark, squeezed where the model says so, and the dummy prefix."""
-        text = text.replace(MARK, " ")
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        return " " + text if self.prefix and text else text
+    def _segment(self, raw: str) -> bytes:
+        """Packed ids of a segment as it stands in the text: normaliser, then pieces and fallback."""
+        return np.array(self.shortest_path(self.normaliser.write(raw)), dtype="<i4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        text = self.normalise(text)
-        if not text:
+        if not (text.strip(" " + MARK) if self.squeeze else text):
             return b""
+        if self.squeeze:
+            text = text.lstrip(" " + MARK)
+        if self.prefix:
+            text = " " + text
         if self.segments is None:
-            return self.shortest_path(text.replace(" ", MARK))
-        paths = self.paths
-        if len(paths) > KEPT_SEGMENTS:
-            paths.clear()
-        parts = self.segments(text)
-        try:
-            return b"".join([paths[s] for s in parts])
-        except KeyError:
-            for s in parts:
-                if s not in paths:
-                    paths[s] = self.shortest_path(s.replace(" ", MARK))
-            return b"".join([paths[s] for s in parts])
+            return self._segment(text)
+        return b"".join(map(self.paths.__getitem__, self.segments(text)))
 
     def decode(self, ids: bytes) -> str:
         out = self.out
@@ -271,7 +330,9 @@ def encode_texts(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_
     """docs with ids, the text's piece ids as packed little-endian 32-bit numbers, and on request what they decode to.
 
     The model file is read on the driver and travels with the job. Null text has null ids,
-    an empty one none. All other columns stay; rows are independent of each other.
+    an empty one or one of spaces none. A text of any length is encoded whole. All other columns stay, but for those named as the results,
+    which they replace; rows are independent of each other, so repeated ones get equal results,
+    and an empty table gives an empty one. Of paths of equal weight the one with longer pieces first is taken.
     """
     model = docs.sparkSession.sparkContext.broadcast(_read(model_path))
 
