@@ -18,7 +18,13 @@ BLOCK, ALLOW = "block", "allow"
 def url_host(url: str | Column) -> Column:
     """Host in lower case, without user, port, a leading www. and a trailing dot; null if there is none."""
     host = F.regexp_extract(F.trim(F.col(url) if isinstance(url, str) else url), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.nullif(F.regexp_replace(F.lower(host), r"^www\.|\.$", ""), F.lit(""))
+    return plain_host(host)
+
+
+def plain_host(host: str | Column) -> Column:
+    """A host in lower case without a leading www. and a trailing dot; null if nothing is left."""
+    c = F.col(host) if isinstance(host, str) else host
+    return F.nullif(F.regexp_replace(F.lower(c), r"^www\.|\.$", ""), F.lit(""))
 
 
 def url_path(url: str | Column) -> Column:
@@ -32,10 +38,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     change is `add` or `remove`; valid_until is null while the entry lasts. Days given twice
     count once, the removal first, so a removal and an addition on one day leave the entry in. An
-    addition of what is there or a removal of what isn't changes nothing. Entries without host or day are void.
+    addition of what is there or a removal of what isn't changes nothing. Entries without host or day are void. Hosts
+    are brought to the form of url_host, so that an entry for www.x.org. is one for x.org.
     """
     log = entries.select(
-        "category", "verdict", F.lower("host").alias("host"), F.coalesce("prefix", F.lit("/")).alias("prefix"), "day", (F.col("change") == "add").alias("on")
+        "category", "verdict", plain_host(F.trim("host")).alias("host"), F.coalesce("prefix", F.lit("/")).alias("prefix"), "day", (F.col("change") == "add").alias("on")
     ).where("host is not null and day is not null and on is not null")
     entry = ["category", "verdict", "host", "prefix"]
     states = log.groupBy(*entry, "day").agg(F.max("on").alias("on"))
@@ -53,7 +60,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
 
     An active entry that allows outweighs all that block. Captures without a host or date
     match nothing and aren't blocked. Repeated captures are each evaluated: a row number of their own
-    isn't needed, as rows equal in key, url and date have equal results.
+    isn't needed, as rows equal in key, url and date have equal results. A URL of any length is matched
+    whole. Other columns, whatever their names, are ignored; no captures give no rows, and an empty list blocks nothing.
     """
     base = captures.select(F.col(key).alias("k"), url_host(url).alias("host"), url_path(url).alias("path"), F.col(fetched).alias("at"))
     #: Equal lookups are made once, so a host with a third of all captures is looked up as often as it has paths and dates.

@@ -59,3 +59,9 @@ def test_nulls_repeats_and_columns(spark):
     assert got == [(0, 1, True), (1, 0, False), (2, 0, False), (3, 1, True), (3, 1, True)]
     assert evaluate(rows.where("false"), log).count() == 0
     assert all(not r.blocked for r in evaluate(rows, log.where("false")).collect())
+
+
+def test_hosts_of_the_list_take_the_form_of_captures(spark):
+    log = spark.createDataFrame([("c", "block", "WWW.Bad.com.", "/", day(1), "add")], LOG)
+    rows = spark.createDataFrame([(1, "http://www.bad.com/x", day(2), "q"), (2, "http://a.bad.com/" + "y" * 100_000, day(2), "q"), (3, "http://notbad.com/", day(2), "q")], "page_id int, url string, fetched_on date, domain string")
+    assert {r.page_id: r.blocked for r in evaluate(rows, log).collect()} == {1: True, 2: True, 3: False}
