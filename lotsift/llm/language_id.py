@@ -5,7 +5,8 @@ distribution over the languages, and a document's is the mean over its letters.
 in numpy, by backpropagation through time.
 
 Fitting uses a bounded sample: of each language, the documents of lowest hash of their id, at
-most SAMPLE_DOCS of them, and of each at most SAMPLE_CHARS consecutive characters. Prediction reads every byte.
+most SAMPLE_DOCS of them (less where the languages are so many that SAMPLE_ALL is reached), and of each at most
+SAMPLE_CHARS consecutive characters. Of more than MOST_LANGUAGES labels the most frequent are learned. Prediction reads every byte.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 96
 HIDDEN = 8
 SAMPLE_DOCS = 1200
 SAMPLE_CHARS = 384
+#: Languages that are learned, the most frequent ones, and documents of the sample in all.
+MOST_LANGUAGES = 64
+SAMPLE_ALL = 12_000
 STEPS = 320
 MINIBATCH = 384
 #: Segments that go through the network together.
@@ -219,24 +223,29 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     usable = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         (fold != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(counts)
+    frequent = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in frequent)
+    each = min(SAMPLE_DOCS, SAMPLE_ALL // max(1, len(languages)))
     start = F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
     hashed = usable.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
-    segments, labels = [], []
-    for k, language in enumerate(languages):
-        # Only hashes that can be among the lowest are sorted, so tasks send about the sample and no more.
-        most = min(1.0, (1.5 * SAMPLE_DOCS + 100) / counts[language])
+    # Only hashes that can be among the lowest are ranked, so tasks send about the sample and no more.
+    least = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], int(min(1.0, (1.5 * each + 100) / r["n"]) * (1 << 40)))])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "part"))
+    sample = []
+    if languages:
         sample = (
-            hashed.where((F.col("lang") == language) & (F.col("h") <= int(most * (1 << 40))))
-            .select("h", "id", F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("part"))
-            .orderBy("h", "id", "part")
-            .limit(SAMPLE_DOCS)
+            hashed.where(F.col("h") <= F.element_at(least, F.col("lang")))
+            .select("lang", "h", "id", F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("part"))
+            .withColumn("rank", rank)
+            .where(F.col("rank") <= each)
+            .select("lang", "part", "rank")
+            .collect()
         )
-        for row in sample.collect():
-            own = _segments(row["part"].encode("utf-8", "replace"))
-            segments.append(own)
-            labels += [k] * len(own)
+    segments, labels = [], []
+    for row in sorted(sample, key=lambda r: (r["lang"], r["rank"])):
+        own = _segments(row["part"].encode("utf-8", "replace"))
+        segments.append(own)
+        labels += [languages.index(row["lang"])] * len(own)
     if len(languages) < 2:
         net = _new(languages)
         return net
@@ -265,7 +274,12 @@ def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str =
 
 
 def languages_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per row of docs: id, held_out (not learned from, by its fold), lang_pred and score."""
+    """One row per row of docs: id, held_out (not learned from, by its fold), lang_pred and score.
+
+    A null id is in no held-out fold and isn't learned from. Null, empty and letterless texts are `und` with score 0; a
+    text of any length is read whole. Equally frequent labels rank by name. Repeated rows each have a
+    row, with equal results; an empty table, or one without two labels, gives empty results or `und`'s. Other columns are ignored.
+    """
     net = train(docs, doc_id, text, lang)
     out = identify(docs.select(doc_id, text), net, doc_id, text)
     fold = F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS))

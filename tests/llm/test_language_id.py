@@ -84,3 +84,39 @@ def test_gradients(monkeypatch):
                 down = loss()
                 weights[i, j] = old
                 assert g[i, j] == pytest.approx((up - down) / 2e-2, abs=2e-4)
+
+
+def test_forward_pass_against_plain_loops(net):
+    """Every state and distribution by the network's equations, one number at a time."""
+    data = L._segments("the and der die que, été".encode())
+    x = np.ascontiguousarray(data.T).astype(np.intp)
+    bend = lambda v: v / (1 + abs(v))
+    states = {}
+    for name, d, order in (("ahead", net.ahead, range(L.SEGMENT)), ("back", net.back, range(L.SEGMENT - 1, -1, -1))):
+        h = [0.0] * L.HIDDEN
+        for t in order:
+            b = int(x[t, 0])
+            into = [[sum(h[i] * float(w[i, j]) for i in range(L.HIDDEN)) for j in range(L.HIDDEN)] for w in d.state]
+            r, z = ([0.5 + 0.5 * bend(float(d.bytes[k][b, j]) + into[k][j]) for j in range(L.HIDDEN)] for k in (0, 1))
+            n = [bend(float(d.bytes[2][b, j]) + r[j] * into[2][j]) for j in range(L.HIDDEN)]
+            h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(L.HIDDEN)]
+            states[name, t] = h
+    total = np.zeros(len(net.languages))
+    for t in range(L.SEGMENT):
+        v = np.array([sum(states["ahead", t][i] * float(net.ahead.out[i, k]) + states["back", t][i] * float(net.back.out[i, k]) for i in range(L.HIDDEN)) + float(net.bias[k]) for k in range(len(net.languages))])
+        p = np.exp(v) / np.exp(v).sum()
+        c = int(x[t, 0])
+        if chr(c).isalpha() and c < 128 or c >= 128:
+            total += p
+    assert L._pooled(net, data)[0] == pytest.approx(total, abs=1e-3)
+
+
+def test_many_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    monkeypatch.setattr(L, "SAMPLE_ALL", 9)
+    monkeypatch.setattr(L, "STEPS", 2)
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda x, letters, labels, languages, **k: seen.append((len(labels), languages)) or L._new(languages))
+    rows = [(i, "the and of that", f"l{min(i % 7, 4)}") for i in range(70)]
+    L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen[0][0] == 9 and len(seen[0][1]) == 3 and "l4" in seen[0][1]
