@@ -50,22 +50,28 @@ def empty_like(spark: SparkSession, schema: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept for words seen before; emptied when it holds `limit` words."""
+    """64-bit hash of each word, kept for short words seen before; emptied when it holds `limit` of them (some 15 MB)."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=_U, count=len(words))
 
 
+#: The one that all operators of a worker share.
+WORD_HASHES = WordHashes()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ as UTF-8; bytes.split() without arguments cuts at just these bytes."""
     return text.encode("utf-8", "replace").split() if text else []

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, lower_words_of, mix, planes, unplanes
+from .common import WORD_HASHES, batches, lower_words_of, mix, planes, unplanes
 
 _U = np.uint64
 #: Weight of the unigram in the bigram, in tokens.
@@ -34,7 +34,7 @@ _END = _U(0x5851F42D4C957F2D)
 _START = _U(0x14057B7EF767814F)
 BUCKET_TEXT_BYTES = 12 << 20
 
-_words = WordHashes()
+_words = WORD_HASHES
 
 
 def held_out(doc_id) -> bool:

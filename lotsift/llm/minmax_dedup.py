@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, components, lower_words_of, mix, stored
+from .common import WORD_HASHES, WordHashes, checkpoint, components, lower_words_of, mix, stored
 
 _U = np.uint64
 SHINGLE_WORDS = 5
@@ -76,7 +76,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
+    hashes = WORD_HASHES
     for part in parts:
         rows = []
         for i, text in zip(part["id"], part["text"], strict=True):
@@ -91,7 +91,7 @@ def _sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
+    hashes = WORD_HASHES
     last, held = None, None
     for part in parts:
         keep = []
@@ -139,7 +139,7 @@ def _hub_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
+    hashes = WORD_HASHES
     for part in parts:
         yield pd.DataFrame({"id": part["id"], "shingles": [shingle_set(t, hashes).tobytes() for t in part["text"]]})
 
@@ -198,12 +198,21 @@ def _rest_links(buckets: DataFrame, known: DataFrame, texts: DataFrame) -> DataF
     return confirm(few, texts).union(spread.groupBy("key", "i", "j").applyInPandas(_block_links, f"a {kind}, b {kind}"))
 
 
+def _shared_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of rows that share an id but not their set."""
+    odd = usable.groupBy("id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("two")).where("one != two").select("id", "one")
+    rows = usable.select("id", "set_key").join(odd, "id").where("set_key != one").select("one", "set_key").distinct()
+    reps = rows.join(classes.select(F.col("set_key").alias("one"), F.col("rep").alias("a")), "one")
+    return reps.join(classes.select("set_key", F.col("rep").alias("b")), "set_key").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     A null or blank text has the empty set and links with nothing, so it is kept; rows that
-    share an id count as one document and get the same component; a null id gives a null
-    component and is kept. Other columns are ignored. An empty table gives an empty result.
+    share an id count as one document: those with a set get the same component, which joins what their sets
+    link with. A null id gives a null component and is kept. The set of a text of any length is taken whole. Other
+    columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
@@ -222,7 +231,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs, rest = _hub_pairs(checkpoint(_undecided(buckets.withColumn("label", F.col("id")))))
     links = checkpoint(confirm(pairs, texts))
     open_rows = checkpoint(_undecided(_labelled(rest.select("key", "id", "n"), components(links))))
-    labels = components(links.union(_rest_links(open_rows, firsts, texts)))
+    labels = components(links.union(_rest_links(open_rows, firsts, texts)).union(_shared_ids(usable, classes)))
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "set_key", F.coalesce("label", "rep").alias("component")

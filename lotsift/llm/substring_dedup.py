@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHashes, WordHashes, batches, words_of
+from .common import WORD_HASHES, WindowHashes, batches, words_of
 
 _U = np.uint64
 RUN_WORDS = 35
@@ -30,7 +30,7 @@ BLOCK_WORDS = (RUN_WORDS + 1) // 2
 #: Batches of text whose hashes meet in one bucket come to about this many bytes of text.
 BUCKET_TEXT_BYTES = 12 << 20
 
-_words, _windows = WordHashes(), WindowHashes()
+_words, _windows = WORD_HASHES, WindowHashes()
 
 
 def _bits(flags: np.ndarray) -> bytes:

@@ -105,3 +105,17 @@ def test_overlaps(n):
     one = np.unique(r.integers(0, 50, 30).astype(np.uint64))
     others = [np.unique(r.integers(0, 50, k + 1).astype(np.uint64)) for k in range(n)]
     assert M._overlaps(one, others).tolist() == [len(np.intersect1d(one, o)) for o in others]
+
+
+def test_an_id_joins_what_its_sets_link_with(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, c), (9, None), (5, "")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 26): 1, (5, 26): 1, (7, 26): 1, (8, 26): 8, (9, 0): 9, (5, 0): 5}
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, 1, "x", 2), (2, long + " more", 2, "y", 3), (3, "short", 3, None, 4)]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, id int, set_key string, n int")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {1: (59_996, 1), 2: (59_997, 1), 3: (1, 3)}
