@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,17 +124,59 @@ class WindowHashes:
         return mix((sums[size:] - sums[:-size]) * self.down[: n - size + 1])
 
 
+def _packed(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_batches(parts).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(batch: bytes) -> tuple[list[str | None], list[str | None]]:
+    """Ids and texts of a batch."""
+    table = pa.ipc.open_stream(batch).read_all()
+    return table["id"].to_pylist(), table["text"].to_pylist()
+
+
 def batches(docs: DataFrame, key: str, text: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """(id, text, g) partitioned by g, and the number of batches g; each holds about batch_bytes of text; id is the key as text.
+    """(g, batch): rows as they come, packed and compressed until a batch has batch_bytes of text (or 50,000 rows); and how many there are.
 
-    The number follows the bytes of text, so that a batch stays small at any size. All uses
-    of the result in one query share one shuffle of the text.
+    A batch holds whatever rows lie side by side, so no id or text, however frequent, makes a large one; only a
+    text longer than batch_bytes does. Batches are written once, to the shared folder, so that all passes over them
+    see the same ones, also after executors are lost. The id is the key as text.
     """
-    total = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
-    n = max(1, math.ceil(max((total[0] or 0) / batch_bytes, total[1] / 50_000)))
-    parts = min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 8)))
-    g = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    return docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), g.alias("g")).repartition(parts, "g"), n
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, made = TaskContext.get().partitionId() << 33, 0
+        held: list[pa.RecordBatch] = []
+        size = rows = 0
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([place + made], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["g", "batch"])
+
+        for part in parts:
+            part = pa.RecordBatch.from_arrays(part.columns, names=["id", "text"])
+            lengths = pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy()
+            start = 0
+            for i, length in enumerate(lengths.tolist()):
+                size, rows = size + length, rows + 1
+                if size >= batch_bytes or rows >= 50_000:
+                    held.append(part.slice(start, i + 1 - start))
+                    yield ready()
+                    held, size, rows, made, start = [], 0, 0, made + 1, i + 1
+            if start < len(part):
+                held.append(part.slice(start))
+        if held:
+            yield ready()
+
+    made = stored(docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(pack, "g bigint, batch binary"))
+    return made, made.count()
+
+
+def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+    """df partitioned by a column of n values, some eight of them a task."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 8))
+    return df.repartition(min(max(1, n), parts), by)
 
 
 def _forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +240,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def numbers(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as many bytes as the largest one needs, plane by plane, so that small ones leave zeros, which shuffles compress."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + planes(values, width)
+
+
+def unnumbers(data: bytes) -> np.ndarray:
+    return unplanes(data[1:], data[0])
+
+
 def planes(values: np.ndarray, width: int = 4) -> bytes:
     """Little-endian bytes, plane by plane: small numbers leave planes of zeros, which shuffles compress."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()

@@ -7,7 +7,7 @@ is then extended to the 35-word runs around it, each of which counts only if its
 second start; runs that overlap join to the maximal exact repeats.
 
 Both steps ask the same of the whole corpus, "does this hash occur twice or more?". Batches
-of documents send their hashes, sorted and made distinct, as packed rows to as many buckets
+of documents, packed as they lie side by side, send their hashes, sorted and made distinct, as packed rows to as many buckets
 of the hash space; each bucket answers every batch with one bit per question. A passage that
 a third of all documents hold costs one entry per batch, and no pair of documents is ever formed.
 """
@@ -15,13 +15,14 @@ a third of all documents hold costs one entry per batch, and no pair of document
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, WindowHashes, batches, words_of
+from .common import WORD_HASHES, WindowHashes, batches, dealt, unpacked, words_of
 
 _U = np.uint64
 RUN_WORDS = 35
@@ -72,16 +73,21 @@ def _packed(g: int, owner: np.ndarray, keys: np.ndarray, width: int, extra: dict
 
 
 def _probe(buckets: int):
-    def run(pdf):
+    def one(g: int, batch: bytes) -> pd.DataFrame:
         rolling, asked = [], []
-        for text in pdf["text"]:
+        for text in unpacked(batch)[1]:
             places, index = _blocks(_words.of(words_of(text)), buckets)
             rolling.append(places)
             asked.append(places[index])
         keys, counts = np.unique(np.concatenate(rolling), return_counts=True)
         question = np.zeros(len(keys), dtype=bool)
         question[np.searchsorted(keys, np.concatenate(asked))] = True
-        return _packed(int(pdf["g"].iloc[0]), keys >> _U(32), keys & _U(0xFFFFFFFF), 4, {"many": counts > 1, "asks": question})
+        return _packed(g, keys >> _U(32), keys & _U(0xFFFFFFFF), 4, {"many": counts > 1, "asks": question})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for g, batch in zip(part["g"], part["batch"], strict=True):
+                yield one(g, batch)
 
     return run
 
@@ -139,7 +145,8 @@ def _owner(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _extend(buckets: int):
     def run(key, docs, answers):
-        runs = [h for _, _, h in _candidates(docs["text"], answers, buckets)]
+        texts = unpacked(docs["batch"].iloc[0])[1] if len(docs) else []
+        runs = [h for _, _, h in _candidates(texts, answers, buckets)] if texts else []
         keys, counts = np.unique(np.concatenate(runs) if runs else np.empty(0, dtype=_U), return_counts=True)
         return _packed(key[0], _owner(keys, buckets), keys, 8, {"many": counts > 1, "asks": np.ones(len(keys), bool)})
 
@@ -149,11 +156,12 @@ def _extend(buckets: int):
 def _cut(buckets: int):
     def run(key, docs, answers):
         first, second = (answers[answers["round"] == r] for r in (1, 2))
-        held = list(_candidates(docs["text"], first, buckets))
+        ids, texts = unpacked(docs["batch"].iloc[0])
+        held = list(_candidates(texts, first, buckets))
         keys = np.unique(np.concatenate([h for _, _, h in held])) if held else np.empty(0, dtype=_U)
         twice = _told(keys, _owner(keys, buckets), second)
         rows = []
-        for i, (words, starts, h) in zip(docs["id"], held, strict=True):
+        for i, (words, starts, h) in zip(ids, held, strict=True):
             edge = np.zeros(len(words) + 1, dtype=np.int32)
             again = starts[twice[np.searchsorted(keys, h)]] if len(starts) else starts
             np.add.at(edge, again, 1)
@@ -172,22 +180,20 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     A word goes if it lies in a run of 35 words of one document whose words start anywhere
     else too, in the same document or another; runs are judged on the input. Null or blank text
     has no words and an empty kept_text. Rows that repeat an id are documents of their own, so
-    equal ones repeat each other. Other columns are ignored. An empty table gives an empty result.
+    equal ones repeat each other; of rows that share a run each loses it. A text of any length is read whole. Other
+    columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     rows, n = batches(docs, doc_id, text)
     buckets = max(1, math.ceil(n * (4 << 20) / BUCKET_TEXT_BYTES))
-    packed = "bucket int, g int, keys binary, many binary, asks binary"
-    answer = "g int, bucket int, bits binary"
-    hits = (
-        rows.groupBy("g").applyInPandas(_probe(buckets), packed).groupBy("bucket").applyInPandas(_answer(4), answer)
-    )
-    runs = (
-        rows.groupBy("g").cogroup(hits.groupBy("g")).applyInPandas(_extend(buckets), packed)
-        .groupBy("bucket").applyInPandas(_answer(8), answer)
-    )
+    packed = "bucket int, g bigint, keys binary, many binary, asks binary"
+    answer = "g bigint, bucket int, bits binary"
+    placed = dealt(rows, "g", n)
+    hits = dealt(rows.mapInPandas(_probe(buckets), packed), "bucket", buckets).groupBy("bucket").applyInPandas(_answer(4), answer)
+    extended = placed.groupBy("g").cogroup(hits.groupBy("g")).applyInPandas(_extend(buckets), packed)
+    runs = dealt(extended, "bucket", buckets).groupBy("bucket").applyInPandas(_answer(8), answer)
     told = hits.withColumn("round", F.lit(1)).union(runs.withColumn("round", F.lit(2)))
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = rows.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(
+    out = placed.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(
         _cut(buckets), "id string, n_words bigint, n_removed bigint, kept_text string"
     )
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
