@@ -10,7 +10,7 @@ from .decontaminate import contaminations
 from .embedding_dedup import near_vectors
 from .language_id import languages_of
 from .license_scan import licences
-from .lm_score import score_texts
+from .lm_score import ORDER, score_texts
 from .minmax_dedup import near_duplicates
 from .sentencepiece_fst import encode_texts
 from .substring_dedup import repeated_runs
@@ -60,7 +60,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(_table(spark, sf_dir, "documents"))
+    return score_texts(_table(spark, sf_dir, "documents"), order=ORDER)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

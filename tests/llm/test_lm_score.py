@@ -94,3 +94,71 @@ def test_probabilities_sum_to_one(spark):
     n, v = sum(c.values()), len(c)
     total = sum((b[("start", w)] + MU * (c[w] + ADDED) / (n + ADDED * (v + 1))) / (len(rows) + MU) for w in [*vocabulary, None, "zzz"])
     assert total == pytest.approx(1) and len(ends) == 1
+
+
+def recursive(rows, order, mu, mu_longer):
+    """Scores by the recursive formula over counts of word tuples."""
+    tokens = [(i, (t or "").encode().lower().split() + ["end"]) for i, t in rows]
+    c, starts = Counter(), 0
+    padded = lambda w: ["start"] * (order - 1) + w
+    for i, w in tokens:
+        if not held_out(i):
+            starts += 1
+            for k in range(len(w)):
+                for m in range(1, order + 1):
+                    c[tuple(padded(w)[k + order - m : k + order])] += 1
+    n = sum(v for g, v in c.items() if len(g) == 1)
+    v = sum(len(g) == 1 for g in c)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[gram] + ADDED) / (n + ADDED * (v + 1))
+        of = starts if gram[-2] == "start" else c[gram[:-1]]
+        m = mu if len(gram) == 2 else mu_longer
+        return (c[gram] + m * p(gram[1:])) / (of + m)
+
+    return {i: sum(math.log10(p(tuple(padded(w)[k : k + order]))) for k in range(len(w))) for i, w in tokens}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_chain_of_failure_arcs_against_the_recursive_formula(spark, order, monkeypatch):
+    import random
+
+    from lotsift.llm import common, lm_score
+
+    real = common.batches
+    monkeypatch.setattr(lm_score, "batches", lambda d, k, t: real(d, k, t, 400))
+    r = random.Random(order)
+    rows = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(0, 12)))) for i in range(120)] + [(500, None)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string"), order=order, mu=7.0, mu_longer=0.5).collect()
+    want = recursive(rows, order, 7.0, 0.5)
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.score == pytest.approx(want[x.doc_id], rel=1e-9), (x, want[x.doc_id])
+
+
+def test_longer_histories_help_and_tell_copies_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    two, three = (score_texts(docs, order=k).where("held_out").agg({"score": "sum"}).first()[0] for k in (2, 3))
+    assert three > two
+
+
+def test_counts_beyond_32_bits_and_keys_in_order():
+    from lotsift.llm.common import numbers, unnumbers
+    from lotsift.llm.lm_score import _bucket_cuts, _within
+
+    import numpy as np
+
+    for values in ([2**32 + 5, 0, 7], [], [255], [256], [2**63]):
+        assert unnumbers(numbers(np.array(values, dtype=np.uint64))).tolist() == values
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    cuts = _bucket_cuts(keys, 37)
+    for a, b in zip(cuts, cuts[1:]):
+        own = _within(keys[a:b], 37)
+        assert (np.diff(own.astype(np.int64)) > 0).all()
+
+
+def test_very_long_text_and_hot_id(spark):
+    rows = [(1, "a b c d " * 50_000)] + [(7, "x y z")] * 300
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()
+    assert len(got) == 301 and {r.n_tokens for r in got} == {200_001, 4} and len({r.score for r in got}) == 2
