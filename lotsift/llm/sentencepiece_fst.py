@@ -113,6 +113,12 @@ class Kept(dict):
         return value
 
 
+    def release(self) -> None:
+        """Give back what is kept, as the worker may turn to other stages."""
+        self.clear()
+        self.old, self.size = {}, 0
+
+
 class Transducer:
     """The compiled model; encode() and decode() map a text to packed little-endian 32-bit ids and back."""
 
@@ -308,20 +314,23 @@ def _read(model_path: str) -> bytes:
         return f.read()
 
 
-def _add(docs: DataFrame, names: dict[str, pa.DataType], make) -> DataFrame:
-    """docs with columns that make(batch) gives; columns of docs with their names are replaced."""
+def _add(docs: DataFrame, names: dict[str, pa.DataType], make, release=lambda: None) -> DataFrame:
+    """docs with columns that make(batch) gives; columns of docs with their names are replaced. release() ends a task."""
     kept = [c for c in docs.columns if c not in names]
     schema = docs.select(*kept).schema
     for name, kind in names.items():
         schema = schema.add(name, "binary" if kind == pa.binary() else "string")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in parts:
-            for i in range(0, len(whole), 1000):
-                batch = whole.slice(i, 1000)
-                made = make(batch)
-                new = [pa.array(v, type=t) for v, t in zip(made, names.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, *names])
+        try:
+            for whole in parts:
+                for i in range(0, len(whole), 1000):
+                    batch = whole.slice(i, 1000)
+                    made = make(batch)
+                    new = [pa.array(v, type=t) for v, t in zip(made, names.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, *names])
+        finally:
+            release()
 
     return docs.mapInArrow(run, schema)
 
@@ -341,7 +350,7 @@ def encode_texts(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_
         ids = [None if x is None else t.encode(x) for x in batch.column(text).to_pylist()]
         return [ids, [None if x is None else t.decode(x) for x in ids]] if decoded else [ids]
 
-    return _add(docs, {"ids": pa.binary()} | ({"decoded": pa.string()} if decoded else {}), make)
+    return _add(docs, {"ids": pa.binary()} | ({"decoded": pa.string()} if decoded else {}), make, lambda: compiled(model.value).paths.release())
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", model_path: str = DEFAULT_MODEL) -> DataFrame:

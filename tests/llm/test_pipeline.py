@@ -97,3 +97,31 @@ def test_near_duplicates_with_shared_and_missing_ids(spark, sf_dir, tmp_path):
     got = P.near_dedup(spark, spark.read.parquet(f"{tmp_path}/docs"), sf_dir).collect()
     key = {one: "one", two: "two", three: "three", None: "null", "": "empty"}
     assert sorted((str(r.doc_id), key[r.text]) for r in got) == [("5", "one"), ("7", "two"), ("9", "empty"), ("9", "null"), ("None", "three")]
+
+
+def test_columns_of_any_name_stay(spark, sf_dir):
+    """Columns that stages use themselves, or lack, come back as they were."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).drop("n_chars")
+    odd = ["row", "first", "kept_text", "n_words", "n_removed", "lang_pred", "score", "row_number", "component", "words_kept", "id"]
+    wide = docs.selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in odd])
+    out = spark.createDataFrame(wide.collect(), wide.schema)
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, out, sf_dir)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c}{r.doc_id}" for c in odd), name
+        out = spark.createDataFrame(rows, wide.schema)
+    assert P.tokens(spark, out, sf_dir).count() == out.count()
+
+
+def test_very_long_text(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()
+    long = " ".join(f"the and of that x{i}" for i in range(20_000))
+    out = spark.createDataFrame([*some, (10**8, long, "en", "s", len(long))], schema)
+    for name, stage in P.STAGES:
+        got = stage(spark, out, sf_dir)
+        out = spark.createDataFrame(got.collect(), got.schema)
+        assert out.where(f"doc_id = {10**8}").count() == 1, name
