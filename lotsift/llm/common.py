@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +24,47 @@ _U = np.uint64
 BATCH_BYTES = 4 << 20
 
 
+_trimmed = [0.0]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker outlives its tasks, and what it holds adds up beside the executor's heap."""
+    _trimmed[0] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def frugal(f):
+    """A function of an iterator of parts that gives memory back when the task ends."""
+
+    @functools.wraps(f)
+    def run(parts):
+        try:
+            yield from f(parts)
+        finally:
+            give_back()
+
+    return run
+
+
+def frugal_group(f):
+    """A function of a group that gives memory back after it, once a second at most."""
+    # Spark tells by the number of parameters whether a key is wanted and whether groups come in pairs.
+    n = len(inspect.signature(f).parameters)
+
+    def after(out):
+        if time.monotonic() - _trimmed[0] > 1:
+            give_back()
+        return out
+
+    if n == 1:
+        return lambda a: after(f(a))
+    return (lambda a, b: after(f(a, b))) if n == 2 else (lambda a, b, c: after(f(a, b, c)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only a local session that names none gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -169,7 +214,7 @@ def batches(docs: DataFrame, key: str, text: str, batch_bytes: int = BATCH_BYTES
         if held:
             yield ready()
 
-    made = stored(docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(pack, "g bigint, batch binary"))
+    made = stored(docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(frugal(pack), "g bigint, batch binary"))
     return made, made.count()
 
 
@@ -223,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
     rows, until only stars are left.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = checkpoint(e.mapInArrow(_forest, e.schema).distinct())
+    e = checkpoint(e.mapInArrow(frugal(_forest), e.schema).distinct())
     while not _is_star_forest(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

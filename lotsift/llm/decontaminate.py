@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Edits allowed for each character of an item.
 EDIT_RATE = 0.08
 #: Bytes of item text that go to the tasks at once.
@@ -162,7 +164,7 @@ def contaminations(
                 rows = [(i, *m) for i, t in zip(part["id"], part["text"], strict=True) for m in matcher.matches(t)]
                 yield pd.DataFrame(rows, columns=["id", "item", "distance", "start", "end"])
 
-        found = source.mapInPandas(run, "id string, item string, distance int, start int, end int")
+        found = source.mapInPandas(frugal(run), "id string, item string, distance int, start int, end int")
         out = found if out is None else out.union(found)
     return out.select(
         F.col("id").cast(kinds[0]).alias(doc_id), F.col("item").cast(kinds[1]).alias("item_id"), "distance", "start", "end"

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, frugal_group
 
 COSINE = 0.95
 #: Share of the pairs at just the threshold that counting must keep.
@@ -173,7 +173,7 @@ def near_vectors(
     )
     found = checkpoint(
         blocks.groupBy(*where, "i", "j").applyInPandas(
-            _block(bits, m, least, cosine), f"rep {kind}, links bigint, root {kind}"
+            frugal_group(_block(bits, m, least, cosine)), f"rep {kind}, links bigint, root {kind}"
         )
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 SEGMENT = 96
 HIDDEN = 8
 SAMPLE_DOCS = 1200
@@ -270,7 +272,7 @@ def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str =
                 made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(frugal(run), schema)
 
 
 def languages_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

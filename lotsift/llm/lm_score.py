@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, batches, dealt, lower_words_of, mix, numbers, planes, stored, unnumbers, unpacked, unplanes
+from .common import WORD_HASHES, batches, dealt, frugal, frugal_group, lower_words_of, mix, numbers, planes, stored, unnumbers, unpacked, unplanes
 
 _U = np.uint64
 #: Weight of the next lower order, in tokens, for bigrams and all longer n-grams.
@@ -225,9 +225,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu:
     """
     rows, n = batches(docs, doc_id, text)
     buckets = max(1, math.ceil(n * (4 << 20) / BUCKET_TEXT_BYTES))
-    sent = rows.mapInPandas(_send(buckets, order), "bucket int, g bigint, grams array<binary>, counts array<binary>")
+    sent = rows.mapInPandas(frugal(_send(buckets, order)), "bucket int, g bigint, grams array<binary>, counts array<binary>")
     told = stored(
-        dealt(sent, "bucket", buckets).groupBy("bucket").applyInPandas(_add_up, "g bigint, bucket int, counts array<binary>, known bigint, n bigint")
+        dealt(sent, "bucket", buckets).groupBy("bucket").applyInPandas(frugal_group(_add_up), "g bigint, bucket int, counts array<binary>, known bigint, n bigint")
     )
     # crc32 gives a null for a null id, which Python sees as the text None.
     fold = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("None")).cast("binary")), F.lit(FOLDS))
@@ -236,7 +236,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu:
     mus = [mu, *[mu_longer] * (order - 2)][: order - 1]
     kind = docs.schema[doc_id].dataType.simpleString()
     scored = dealt(rows, "g", n).groupBy("g").cogroup(told.where("g >= 0").select("g", "bucket", "counts").groupBy("g")).applyInPandas(
-        _score(mus, tokens or 0, v or 0, texts),
+        frugal_group(_score(mus, tokens or 0, v or 0, texts)),
         "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
     return scored.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, WordHashes, checkpoint, components, lower_words_of, mix, stored
+from .common import WORD_HASHES, WordHashes, checkpoint, components, frugal, frugal_group, lower_words_of, mix, stored
 
 _U = np.uint64
 SHINGLE_WORDS = 5
@@ -109,7 +109,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     first = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = first.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "ta", "tb").mapInPandas(_similar, f"a {kind}, b {kind}")
+    return both.select("a", "b", "ta", "tb").mapInPandas(frugal(_similar), f"a {kind}, b {kind}")
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _rest_links(buckets: DataFrame, known: DataFrame, texts: DataFrame) -> DataF
     few = left.join(right, "key").where("a < b and la != lb").select("a", "b").distinct()
     large = checkpoint(large)
     kind = buckets.schema["id"].dataType.simpleString()
-    sets = texts.join(large.select("id").distinct(), "id", "left_semi").mapInPandas(_sets, f"id {kind}, shingles binary")
+    sets = texts.join(large.select("id").distinct(), "id", "left_semi").mapInPandas(frugal(_sets), f"id {kind}, shingles binary")
     n = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("int")
     chunk = F.pmod(F.xxhash64("id", "key"), n).cast("int")
     spread = (
@@ -195,7 +195,7 @@ def _rest_links(buckets: DataFrame, known: DataFrame, texts: DataFrame) -> DataF
         .select("key", "id", "label", "sketch", "bands", "shingles", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
         .select("*", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     )
-    return confirm(few, texts).union(spread.groupBy("key", "i", "j").applyInPandas(_block_links, f"a {kind}, b {kind}"))
+    return confirm(few, texts).union(spread.groupBy("key", "i", "j").applyInPandas(frugal_group(_block_links), f"a {kind}, b {kind}"))
 
 
 def _shared_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
     signed = checkpoint(
-        base.mapInPandas(_sign, "id string, n int, set_key binary, bands array<bigint>, sketch binary").withColumn("id", F.col("id").cast(kind))
+        base.mapInPandas(frugal(_sign), "id string, n int, set_key binary, bands array<bigint>, sketch binary").withColumn("id", F.col("id").cast(kind))
     )
     usable = signed.where("n > 0 and id is not null")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"))

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
@@ -332,7 +334,7 @@ def _add(docs: DataFrame, names: dict[str, pa.DataType], make, release=lambda: N
         finally:
             release()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def encode_texts(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_MODEL, decoded: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, WindowHashes, batches, dealt, unpacked, words_of
+from .common import WORD_HASHES, WindowHashes, batches, dealt, frugal, frugal_group, unpacked, words_of
 
 _U = np.uint64
 RUN_WORDS = 35
@@ -188,12 +188,12 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     packed = "bucket int, g bigint, keys binary, many binary, asks binary"
     answer = "g bigint, bucket int, bits binary"
     placed = dealt(rows, "g", n)
-    hits = dealt(rows.mapInPandas(_probe(buckets), packed), "bucket", buckets).groupBy("bucket").applyInPandas(_answer(4), answer)
-    extended = placed.groupBy("g").cogroup(hits.groupBy("g")).applyInPandas(_extend(buckets), packed)
-    runs = dealt(extended, "bucket", buckets).groupBy("bucket").applyInPandas(_answer(8), answer)
+    hits = dealt(rows.mapInPandas(frugal(_probe(buckets)), packed), "bucket", buckets).groupBy("bucket").applyInPandas(frugal_group(_answer(4)), answer)
+    extended = placed.groupBy("g").cogroup(hits.groupBy("g")).applyInPandas(frugal_group(_extend(buckets)), packed)
+    runs = dealt(extended, "bucket", buckets).groupBy("bucket").applyInPandas(frugal_group(_answer(8)), answer)
     told = hits.withColumn("round", F.lit(1)).union(runs.withColumn("round", F.lit(2)))
     kind = docs.schema[doc_id].dataType.simpleString()
     out = placed.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(
-        _cut(buckets), "id string, n_words bigint, n_removed bigint, kept_text string"
+        frugal_group(_cut(buckets)), "id string, n_words bigint, n_removed bigint, kept_text string"
     )
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
