@@ -3,13 +3,15 @@
 Each of M projections sorts the vectors along a random direction, within cells that the signs of a
 few further directions give, so that the rows near a query stay few as the table grows. Two
 vectors collide in a projection if they share its cell and each lies in the window around the
-other. From the chance of a collision at the threshold follow M and the least count that keeps the
-wanted share of true pairs; pairs with that count are verified by cosine in double precision.
+other. The projections come in tables: those of one table share the first signs of their cells, so a vector
+travels once a table, not once a projection. From the chances at the threshold follow the number of tables and the
+largest count of collisions that keeps the wanted share of true pairs; pairs with that count are verified by cosine in
+double precision.
 
 The collisions of a pair in all projections are counted where it is met first, so every pair is
 counted and verified once and none is sent anywhere: a block of vectors sends each vector's
 number of links and its links to one vector of its connected group.
-Equal vectors are one vector with a weight; cells that hold many are compared in blocks.
+Equal vectors are one vector with a weight; groups that hold many are compared in blocks.
 """
 
 from __future__ import annotations
@@ -29,40 +31,75 @@ COSINE = 0.95
 RECALL = 0.9995
 #: Half-width of a window, for directions of standard normal coordinates and unit vectors.
 WINDOW = 0.6
-#: Vectors of a cell, on average, and of a task's group of cells.
-CELL, GROUP = 96, 1536
-BLOCK = 4096
-MOST_BITS = 24
+#: Vectors of a cell, on average, and of a table's group of cells, which one task holds.
+CELL, GROUP = 96, 8192
+#: Projections of a table.
+PER_TABLE = 6
+BLOCK = 16384
+MOST_BITS = 40
+
+
+def _hits(coarse: float, fine: float, tables: int, least: int) -> float:
+    """Chance of fewer than `least` collisions, by those of a table's shared signs and of one projection's rest."""
+    one = np.array([coarse * math.comb(PER_TABLE, k) * fine**k * (1 - fine) ** (PER_TABLE - k) for k in range(PER_TABLE + 1)])
+    one[0] += 1 - coarse
+    total = np.ones(1)
+    for _ in range(tables):
+        total = np.convolve(total, one)[: least + PER_TABLE]
+    return float(total[:least].sum())
+
+
+def shared_bits(n: int, bits: int) -> int:
+    """How many of a cell's sign bits a table's projections have in common, for n vectors."""
+    return min(bits, max(0, round(math.log2(max(1, n) / GROUP))))
 
 
 def plan(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int, int]:
     """Sign bits of a cell, projections, and the least number of collisions, for n vectors."""
     bits = min(MOST_BITS, max(0, round(math.log2(max(1, n) / CELL))))
+    shared = shared_bits(n, bits)
     near = NormalDist(0, math.sqrt(2 - 2 * cosine))
-    p = (1 - math.acos(cosine) / math.pi) ** bits * (near.cdf(WINDOW) - near.cdf(-WINDOW))
-    m = 2
-    while (1 - p) ** m + m * p * (1 - p) ** (m - 1) > 1 - recall:
-        m += 1
-    return bits, m, 2
+    sign = 1 - math.acos(cosine) / math.pi
+    coarse, fine = sign**shared, sign ** (bits - shared) * (near.cdf(WINDOW) - near.cdf(-WINDOW))
+    tables, least = 1, 2
+    while _hits(coarse, fine, tables, least) > 1 - recall:
+        tables += 1
+    while _hits(coarse, fine, tables, least + 1) <= 1 - recall:
+        least += 1
+    return bits, tables * PER_TABLE, least
+
+
+def directions(dim: int, shared: int, own: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines to sort along, and normals of the tables' and of the projections' sign planes."""
+    r = np.random.Generator(np.random.PCG64([17, dim]))
+    m = tables * PER_TABLE
+    return r.normal(size=(m, dim)), r.normal(size=(tables * shared, dim)), r.normal(size=(m * own, dim))
 
 
-def directions(dim: int, bits: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.Generator(np.random.PCG64([17, dim]))
-    return r.normal(size=(m, dim)), r.normal(size=(m * bits, dim))
+def _signs(x: np.ndarray, normals: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers (rows, sets) of the sides of each set of so many planes."""
+    if not bits:
+        return np.zeros((len(x), 1), dtype=np.int64)
+    return (x @ normals.T > 0).reshape(len(x), -1, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def groups(x: np.ndarray, shared: int, own: int, tables: int) -> np.ndarray:
+    """The group (rows, tables) of unit vectors in each table."""
+    return np.broadcast_to(_signs(x, directions(x.shape[1], shared, own, tables)[1], shared), (len(x), tables))
 
 
-def codes(x: np.ndarray, bits: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (rows, m) and positions (rows, m) of unit vectors."""
-    lines, planes = directions(x.shape[1], bits, m)
-    cells = np.zeros((len(x), m), dtype=np.int64)
-    if bits:
-        signs = (x @ planes.T > 0).reshape(len(x), m, bits)
-        cells = signs @ (1 << np.arange(bits, dtype=np.int64))
-    return cells, x @ lines.T
+def codes(x: np.ndarray, shared: int, own: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (rows, projections) and positions (rows, projections) of unit vectors."""
+    lines, _, planes = directions(x.shape[1], shared, own, tables)
+    rest = np.broadcast_to(_signs(x, planes, own), (len(x), len(lines)))
+    return (np.repeat(groups(x, shared, own, tables), PER_TABLE, axis=1) << own) + rest, x @ lines.T
 
 
 def _units(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    # Numbers are brought near 1 first, as squares of very large or small ones can't be held; twice, as the smallest have few digits.
+    for _ in range(2):
+        x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -98,29 +135,30 @@ def _links(x, cells, at, t, least, cosine, first, second):
     return found
 
 
-def _block(bits: int, m: int, least: int, cosine: float):
+def _block(shared: int, own_bits: int, tables: int, least: int, cosine: float):
     def run(key, rows):
-        t, i, j = key[1], key[3], key[4]
+        table, i, j = key[1], key[3], key[4]
         x = _units(rows["vector"])
-        cells, at = codes(x, bits, m)
+        cells, at = codes(x, shared, own_bits, tables)
         ids, weights, chunk = rows["rep"].to_numpy(), rows["weight"].to_numpy(), rows["chunk"].to_numpy()
         counts, parent = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-        order = np.lexsort((at[:, t], cells[:, t]))
-        cut = np.flatnonzero(np.diff(cells[order, t], prepend=-1, append=-1))
-        for lo, hi in zip(cut, cut[1:], strict=False):
-            own = order[lo:hi]
-            along = at[own, t]
-            for s in range(0, len(own), 512):
-                # The cell is sorted: only rows up to the window's end can collide with these.
-                left, right = np.searchsorted(along, [along[s] - WINDOW, along[min(s + 511, len(own) - 1)] + WINDOW], side="left")
-                near = own[left : right + 1]
-                for a, b in _links(x, cells, at, t, least, cosine, own[s : s + 512], near):
-                    if i != j:
-                        across = chunk[a] != chunk[b]
-                        a, b = a[across], b[across]
-                    np.add.at(counts, a, weights[b])
-                    np.add.at(counts, b, weights[a])
-                    parent = _join(parent, a, b)
+        for t in range(table * PER_TABLE, (table + 1) * PER_TABLE):
+            order = np.lexsort((at[:, t], cells[:, t]))
+            cut = np.flatnonzero(np.diff(cells[order, t], prepend=-1, append=-1))
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                own = order[lo:hi]
+                along = at[own, t]
+                for s in range(0, len(own), 512):
+                    # The cell is sorted: only rows up to the window's end can collide with these.
+                    left, right = np.searchsorted(along, [along[s] - WINDOW, along[min(s + 511, len(own) - 1)] + WINDOW], side="left")
+                    near = own[left : right + 1]
+                    for a, b in _links(x, cells, at, t, least, cosine, own[s : s + 512], near):
+                        if i != j:
+                            across = chunk[a] != chunk[b]
+                            a, b = a[across], b[across]
+                        np.add.at(counts, a, weights[b])
+                        np.add.at(counts, b, weights[a])
+                        parent = _join(parent, a, b)
         linked = np.flatnonzero(counts)
         return pd.DataFrame({"rep": ids[linked], "links": counts[linked], "root": ids[parent[linked]]})
 
@@ -133,8 +171,9 @@ def near_vectors(
     """One row per row of vectors: id, n_links, component_id (smallest id reachable over links), kept.
 
     Vectors of equal values link with each other. A vector that is null, empty, zero or holds
-    null or non-finite numbers links with nothing; vectors of different lengths don't either.
-    Rows that repeat an id are vectors of their own. Other columns are ignored.
+    null or non-finite numbers links with nothing; vectors of different lengths don't either. Vectors of
+    any length and of numbers of any size are compared. Rows that repeat an id are vectors of their own. Other
+    columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     number = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
     rows = vectors.select(F.col(vec_id).alias("id"), F.col(vector).cast(f"array<{number}>").alias("vector"))
@@ -147,7 +186,8 @@ def near_vectors(
     classes = checkpoint(same.groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
     n = classes.count()
     bits, m, least = plan(n, cosine, recall)
-    coarse = min(bits, max(0, round(math.log2(max(1, n) / GROUP))))
+    shared, tables = shared_bits(n, bits), m // PER_TABLE
+    own_bits = bits - shared
     kind = vectors.schema[vec_id].dataType.simpleString()
 
     def spread(parts):
@@ -155,10 +195,10 @@ def near_vectors(
             for dim, own in part.groupby(part["vector"].map(len)):
                 for s in range(0, len(own), 2048):
                     piece = own.iloc[s : s + 2048]
-                    cells, _ = codes(_units(piece["vector"]), bits, m)
-                    for t in range(m):
+                    held = groups(_units(piece["vector"]), shared, own_bits, tables)
+                    for t in range(tables):
                         out = piece[["rep", "weight", "vector"]].copy()
-                        out["dim"], out["t"], out["cell"] = dim, t, cells[:, t] & ((1 << coarse) - 1)
+                        out["dim"], out["t"], out["cell"] = dim, t, held[:, t]
                         yield out
 
     dealt = classes.mapInPandas(spread, f"rep {kind}, weight bigint, vector array<{number}>, dim int, t int, cell bigint")
@@ -173,7 +213,7 @@ def near_vectors(
     )
     found = checkpoint(
         blocks.groupBy(*where, "i", "j").applyInPandas(
-            frugal_group(_block(bits, m, least, cosine)), f"rep {kind}, links bigint, root {kind}"
+            frugal_group(_block(shared, own_bits, tables, least, cosine)), f"rep {kind}, links bigint, root {kind}"
         )
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -91,3 +91,34 @@ def test_plan_keeps_the_recall(n):
     p = (1 - math.acos(0.95) / math.pi) ** bits * math.erf(E.WINDOW / math.sqrt(2 * 0.1))
     miss = sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(least))
     assert miss <= 1 - E.RECALL
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 5e-324, 1e308])
+def test_numbers_of_any_size(spark, scale):
+    rows = [(1, [scale, scale]), (2, [scale, scale * 1.0]), (3, [scale, 0.0]), (4, [0.0, -scale])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_shared_signs_keep_the_recall():
+    """Simulated pairs at just the threshold, with the tables' shared signs, against the plan's promise."""
+    r = np.random.default_rng(12)
+    for n in (50_000, 10**6):
+        bits, m, least = E.plan(n)
+        shared, tables = E.shared_bits(n, bits), m // E.PER_TABLE
+        a = E._units(r.normal(size=(4000, 64)))
+        w = r.normal(size=a.shape)
+        w = E._units(w - (w * a).sum(axis=1, keepdims=True) * a)
+        b = 0.95 * a + math.sqrt(1 - 0.95**2) * w
+        (ca, pa), (cb, pb) = (E.codes(x, shared, bits - shared, tables) for x in (a, b))
+        hits = ((ca == cb) & (np.abs(pa - pb) <= E.WINDOW)).sum(axis=1)
+        assert (hits < least).mean() <= 0.004
+        met = (E.groups(a, shared, bits - shared, tables) == E.groups(b, shared, bits - shared, tables)).any(axis=1)
+        assert (met | (hits == 0)).all()
+
+
+def test_long_vectors(spark):
+    r = np.random.default_rng(3)
+    rows = list(enumerate([r.normal(size=3000).tolist() for _ in range(20)]))
+    rows += [(100 + i, v) for i, v in rows[:5]]
+    assert found(spark, rows) == exact(rows)
