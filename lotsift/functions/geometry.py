@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .clipping import SHAPES, overlap_areas
+
 Ring = list[tuple[float, float]]
 #: Spark's type of a multipolygon.
 MULTIPOLYGON = "array<array<array<array<double>>>>"
@@ -86,59 +89,9 @@ def _signed(ring: Ring) -> float:
     return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
 
 
-def _clip_to_triangle(ring: Ring, triangle: Ring) -> float:
-    """Signed area of the part of a ring inside a counter-clockwise triangle (Sutherland and Hodgman)."""
-    for k in range(3):
-        (ax, ay), (bx, by) = triangle[k], triangle[(k + 1) % 3]
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in ring]
-        out: Ring = []
-        for i, p in enumerate(ring):
-            q, s, t = ring[i - 1], side[i], side[i - 1]
-            if (s >= 0) != (t >= 0):
-                f = t / (t - s)
-                out.append((q[0] + f * (p[0] - q[0]), q[1] + f * (p[1] - q[1])))
-            if s >= 0:
-                out.append(p)
-        ring = out
-        if len(ring) < 3:
-            return 0.0
-    return _signed(ring)
-
-
-def _fan(ring: Ring) -> list[tuple[int, Ring]]:
-    """Triangles from the first point, with the sign that adds them up to the ring."""
-    out = []
-    for i in range(1, len(ring) - 1):
-        triangle = [ring[0], ring[i], ring[i + 1]]
-        turn = _signed(triangle)
-        if turn:
-            out.append((1 if turn > 0 else -1, triangle if turn > 0 else [triangle[0], triangle[2], triangle[1]]))
-    return out
-
-
 def overlap_area(one: list, two: list) -> float:
-    """Area of the intersection of two multipolygons with holes.
-
-    Both are signed sums of triangles, and so is their intersection: the clipped pieces of every
-    pair of triangles add up to it.
-    """
-
-    def signed_fan(geometry: list) -> list[tuple[int, Ring]]:
-        out = []
-        for polygon in () if geometry is None else geometry:
-            for k, raw in enumerate(polygon):
-                ring = clean_ring(raw)
-                if len(ring) > 2:
-                    turn = (1 if _signed(ring) > 0 else -1) * (1 if k == 0 else -1)
-                    out += [(turn * s, t) for s, t in _fan(ring)]
-        return out
-
-    total = 0.0
-    right = signed_fan(two)
-    for s, a in signed_fan(one):
-        for t, b in right:
-            total += s * t * _clip_to_triangle(a, b)
-    return max(0.0, total)
+    """Area of the intersection of two multipolygons with holes."""
+    return float(overlap_areas(pa.array([one], SHAPES), pa.array([two], SHAPES))[0])
 
 
 def contains(geometry: list, x: float, y: float) -> bool:

@@ -8,11 +8,13 @@ tile's work doesn't grow with the table but with how densely it is covered.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
-from ..functions.geometry import box_overlap, contains, inside_point, overlap_area
+from ..functions.clipping import overlap_areas
+from ..functions.geometry import area, box_overlap, contains, inside_point
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -90,9 +92,36 @@ def containing(points: DataFrame, zones: DataFrame, side: float | None = None) -
     return points.join(first, "pid", "left").select(*points.columns, F.col("z.zid").alias("zid"), F.col("z.code").alias("code"))
 
 
-@F.pandas_udf(DoubleType())
-def intersection_area(one: pd.Series, two: pd.Series) -> pd.Series:
-    return pd.Series([overlap_area(a, b) for a, b in zip(one, two, strict=True)], dtype="float64")
+def _box_of(shape: str) -> list[Column]:
+    """The box of a multipolygon."""
+    points = F.flatten(F.flatten(shape))
+    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+    return [F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")]
+
+
+def polygon_overlaps(parcels: DataFrame, zones: DataFrame, side: float | None = None) -> DataFrame:
+    """(pid, zid, code, area, parcel_area) of every parcel (pid, shape) and zone (zid, code, shape) whose multipolygons overlap."""
+    left = parcels.select("pid", "shape", area(F.col("shape")).alias("own"), *_box_of("shape"))
+    right = zones.select("zid", "code", "shape", *_box_of("shape"))
+    pairs = touching(left, right, side or tile_side(right))
+    cut = pairs.select("pid", F.col("r_zid").alias("zid"), F.col("r_code").alias("code"), intersection_area("shape", "r_shape").alias("area"), F.col("own").alias("parcel_area"))
+    return cut.where("area > 0")
+
+
+def containing_polygons(points: DataFrame, zones: DataFrame, side: float | None = None) -> DataFrame:
+    """points (pid, px, py) with the first zone (zid, code, shape), by order of zid, whose multipolygon holds them strictly inside; null if none does."""
+    boxes = zones.select("zid", "code", "shape", *_box_of("shape"))
+    side = side or tile_side(boxes)
+    at = points.withColumn("tx", F.floor(F.col("px") / side)).withColumn("ty", F.floor(F.col("py") / side))
+    near = at.join(_tiled(boxes, side), ["tx", "ty"]).where("px > x0 and px < x1 and py > y0 and py < y1")
+    hits = near.where(holds("shape", "px", "py"))
+    first = hits.groupBy("pid").agg(F.min_by(F.struct("zid", "code"), "zid").alias("z"))
+    return points.join(first, "pid", "left").select(*points.columns, F.col("z.zid").alias("zid"), F.col("z.code").alias("code"))
+
+
+@F.arrow_udf(DoubleType())
+def intersection_area(one: pa.Array, two: pa.Array) -> pa.Array:
+    return pa.array(overlap_areas(one, two))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

@@ -64,7 +64,26 @@ def _octagon(cut: float = 0.25):
     return F.array(F.array(F.array(*[F.array(*p) for p in points]))).cast(MULTIPOLYGON)
 
 
-@_query()
+# An octagon lies below three lines and above three: of two octagons, the height they share at x is the least of six lines less the
+# greatest of six others. It is straight between the places where two of the lines meet, so trapezoids give its area.
+_CLIP_SQL = f"""(with pairs as (select p.pid, z.zid, z.code, greatest(p.x0,z.x0)*1.0::double as lo, least(p.x1,z.x1)*1.0::double as hi,
+    [p.x0*1.0::double,p.y0,p.x1,p.y1] as a, [z.x0*1.0::double,z.y0,z.x1,z.y1] as b
+    from {PARCELS_SQL} p join {ZONES_SQL} z on p.x0<=z.x1 and z.x0<=p.x1 and p.y0<=z.y1 and z.y0<=p.y1),
+  boxes as (select pid, zid, unnest([a, b]) as v from pairs),
+  sides as (select pid, zid, v[1] as x0, v[2] as y0, v[3] as x1, v[4] as y1, (v[3]-v[1])*0.25 as w, (v[4]-v[2])*0.25 as h from boxes),
+  lines as (select pid, zid, unnest([1,1,1,-1,-1,-1]) as dir, unnest([0.0::double, h/w, -h/w, 0.0::double, -h/w, h/w]) as m,
+    unnest([y1, y1-h-x0*h/w, y1-h+x1*h/w, y0, y0+h+x0*h/w, y0+h-x1*h/w]) as c from sides),
+  cuts as (select distinct l.pid, l.zid, (r.c-l.c)/(l.m-r.m) as x from lines l join lines r on l.pid=r.pid and l.zid=r.zid and l.m<>r.m
+    union select pid, zid, unnest([lo, hi]) from pairs),
+  used as (select cuts.pid, cuts.zid, x from cuts join pairs using (pid, zid) where x between lo and hi),
+  heights as (select u.pid, u.zid, u.x, greatest(0, min(case when dir=1 then m*u.x+c end)-max(case when dir=-1 then m*u.x+c end)) as tall
+    from used u join lines using (pid, zid) group by all),
+  steps as (select pid, zid, x, tall, lead(x) over w as x2, lead(tall) over w as tall2 from heights window w as (partition by pid, zid order by x)),
+  areas as (select pid, zid, sum(coalesce((x2-x)*(tall+tall2)/2, 0)) as area from steps group by all)
+  select pairs.pid, pairs.zid, pairs.code, area, (a[3]-a[1])*(a[4]-a[2])*0.875 as parcel_area from pairs join areas using (pid, zid))"""
+
+
+@_query(f"select pid, zid, round(area, 6) + 0 as area, round(parcel_area, 6) as parcel_area from {_CLIP_SQL} c")
 def q04_polygon_clip_area(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d).withColumn("shape", _octagon())
     z = zones(spark, d).withColumn("shape", _octagon())
@@ -73,6 +92,25 @@ def q04_polygon_clip_area(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("pid", F.col("r_zid").alias("zid"), F.round(clipped, 6).alias("area"), F.round(area(F.col("shape")), 6).alias("parcel_area"))
 
 
+@_query(f"""with c as (select * from {_CLIP_SQL} c where area > 1e-9), r as (select *, row_number() over (partition by pid order by round(area, 6) desc, code, zid) as rn from c)
+select p.pid, r.code as actual_code, coalesce(n, 0) as n_codes, round(r.area, 6) as area, round(r.area/r.parcel_area, 6) as share
+from {PARCELS_SQL} p left join r on p.pid = r.pid and rn = 1 left join (select pid, count(distinct code) as n from c group by pid) a on p.pid = a.pid""")
+def q95_polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """The zone that dominates each parcel, by the areas of real polygons."""
+    p, z = (t.withColumn("shape", _octagon()) for t in (parcels(spark, d), zones(spark, d)))
+    pieces = spatial.polygon_overlaps(p, z).where("area > 1e-9").withColumn("area", F.round("area", 6))
+    out = spatial.dominant(p, pieces)
+    return out.select("pid", "actual_code", F.col("n_codes").cast("bigint").alias("n_codes"), "area", F.round("share", 6).alias("share"))
+
+
+@_query(f"""select c.pid, min(zid) as zid, arg_min(code, zid) as code from {_CENTRES} c left join {ZONES_SQL} z
+on px > x0 and px < x1 and py > y0 and py < y1 and 4*(px-x0)*(y1-y0) + 4*(py-y0)*(x1-x0) > (x1-x0)*(y1-y0) and 4*(x1-px)*(y1-y0) + 4*(py-y0)*(x1-x0) > (x1-x0)*(y1-y0)
+and 4*(px-x0)*(y1-y0) + 4*(y1-py)*(x1-x0) > (x1-x0)*(y1-y0) and 4*(x1-px)*(y1-y0) + 4*(y1-py)*(x1-x0) > (x1-x0)*(y1-y0) group by c.pid""")
+def q96_point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    points = parcels(spark, d).selectExpr("pid", "(x0+x1)/2.0D as px", "(y0+y1)/2.0D as py")
+    return spatial.containing_polygons(points, zones(spark, d).withColumn("shape", _octagon())).select("pid", "zid", "code")
+
+
 @_query(f"select p.pid from {PARCELS_SQL} p where pid not in (select pid from {OVERLAP_SQL} o)")
 def q05_overlay_no_match(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d)

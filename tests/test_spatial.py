@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,72 @@ def test_overlap_of_random_shapes_is_symmetric_and_bounded():
         assert G.overlap_area(a, a) == pytest.approx(abs(G._signed(a[0][0])))
 
 
+def by_triangles(one, two):
+    """The area by clipping every pair of triangles of both, one at a time."""
+
+    def fan(shape):
+        for polygon in shape:
+            for k, ring in enumerate(polygon):
+                way = (1 if G._signed(ring) > 0 else -1) * (-1 if k else 1)
+                for i in range(1, len(ring) - 1):
+                    t = [ring[0], ring[i], ring[i + 1]]
+                    if turn := G._signed(t):
+                        yield way * (1 if turn > 0 else -1), t if turn > 0 else t[::-1]
+
+    def cut(ring, t):
+        for k in range(3):
+            (ax, ay), (bx, by) = t[k], t[(k + 1) % 3]
+            side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in ring]
+            out = []
+            for i, p in enumerate(ring):
+                if (side[i] >= 0) != (side[i - 1] >= 0):
+                    f, q = side[i - 1] / (side[i - 1] - side[i]), ring[i - 1]
+                    out.append((q[0] + f * (p[0] - q[0]), q[1] + f * (p[1] - q[1])))
+                if side[i] >= 0:
+                    out.append(p)
+            ring = out
+            if len(ring) < 3:
+                return 0.0
+        return G._signed(ring)
+
+    return sum(s * t * cut(a, b) for s, a in fan(one) for t, b in fan(two))
+
+
+def test_overlaps_of_a_batch_against_pairs_of_triangles():
+    r = random.Random(11)
+
+    def star(cx, cy, low, n):
+        return [(cx + (low + r.random()) * math.cos(6.283185 * i / n), cy + (low + r.random()) * math.sin(6.283185 * i / n)) for i in range(n)]
+
+    def shape():
+        cx, cy, n = r.random() * 3, r.random() * 3, r.choice([3, 4, 5, 8, 13])
+        polygons = [[star(cx, cy, 0.6, n), *([[(cx + 0.3 * x, cy + 0.3 * y) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))]] if r.random() < 0.4 else [])]]
+        if r.random() < 0.3:
+            polygons.append([star(cx + 6, cy, 0.2, 4)])
+        if r.random() < 0.5:
+            polygons = [[ring[::-1] for ring in p] for p in polygons]
+        return polygons
+
+    one, two = [shape() for _ in range(200)], [shape() for _ in range(200)]
+    got = G.overlap_areas(pa.array([None, *one, one[0]], G.SHAPES), pa.array([two[0], *two, []], G.SHAPES))
+    assert got[0] == got[-1] == 0
+    for a, b, x in zip(one, two, got[1:], strict=False):
+        assert x == pytest.approx(max(0.0, by_triangles(a, b)), abs=1e-9)
+
+
+def test_polygon_overlay_and_containment(spark):
+    shapes = lambda rows, names: spark.createDataFrame(rows, f"{names}, shape {G.MULTIPOLYGON}")
+    plain = lambda s: [[[list(map(float, p)) for p in ring] for ring in polygon] for polygon in s]
+    p = shapes([(1, plain(SQUARE)), (2, plain([[[(20, 20), (21, 20), (21, 21)]]])), (3, None)], "pid int")
+    z = shapes([(1, "A", plain(RING)), (2, "B", plain(L_SHAPE)), (3, "C", plain([[[(4, 0), (9, 0), (9, 9)]]]))], "zid int, code string")
+    got = {(r.pid, r.zid): (r.area, r.parcel_area) for r in spatial.polygon_overlaps(p, z).collect()}
+    assert got == {(1, 1): (pytest.approx(12), 16.0), (1, 2): (pytest.approx(7), 16.0)}
+    best = {r.pid: (r.actual_code, r.intersect_codes) for r in spatial.dominant(p, spatial.polygon_overlaps(p, z)).collect()}
+    assert best == {1: ("A", "A | B"), 2: (None, None), 3: (None, None)}
+    points = spark.createDataFrame([(1, 2.0, 2.0), (2, 0.5, 2.0), (3, 1.0, 1.0), (4, 50.0, 0.0)], "pid int, px double, py double")
+    assert {r.pid: r.code for r in spatial.containing_polygons(points, z).collect()} == {1: None, 2: "A", 3: None, 4: None}
+
+
 def test_points():
     assert G.contains(SQUARE, 1, 1) and not G.contains(SQUARE, 4, 1) and not G.contains(RING, 2, 2)
     for shape in (SQUARE, RING, L_SHAPE):
