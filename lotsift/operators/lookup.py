@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 SECTIONS = ["main", "conditional", "auxiliary"]
 PRIORITY = {"main": 3, "conditional": 2, "auxiliary": 1}
 
@@ -44,42 +46,53 @@ def resolve_zones(rows: DataFrame, zones: DataFrame, code: str = "zone_code") ->
 
 
 def by_prefix(rows: DataFrame, table: DataFrame, code: str, value: str, out: str) -> DataFrame:
-    """rows with the table's value (code, value) of their code, else of its longest prefix that has one."""
+    """rows with the table's value (code, value) of their code, else of its longest prefix that has one; an empty list is none."""
     probes = rows.select(F.col(code).alias("_code")).distinct().select(
         "_code", F.posexplode(F.concat(F.array("_code"), shorter_prefixes("_code"))).alias("_at", "_try")
     )
-    held = table.select(F.col("code").alias("_try"), F.col(value).alias("_value"))
+    held = table.select(F.col("code").alias("_try"), F.col(value).alias("_value")).where("_value is not null")
+    if table.schema[value].dataType.typeName() == "array":
+        held = held.where(F.size("_value") > 0)
     best = probes.join(held, "_try").groupBy("_code").agg(F.min_by("_value", "_at").alias(out))
     return rows.join(best, rows[code] == best["_code"], "left").drop("_code")
 
 
-def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """(code, descendant) for every code of edges (code, parent), itself included; cycles end by themselves."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("lotsift_edges")
-    return spark.sql(
-        f"""
-        with recursive reach(code, descendant, level) max recursion level {depth + 1} as (
-          select code, code, 0 from lotsift_edges
-          union all
-          select r.code, e.code, r.level + 1 from reach r join lotsift_edges e on e.parent = r.descendant where r.level < {depth})
-        select distinct code, descendant from reach"""
-    )
-
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(code, descendant) for every code of edges (code, parent), itself included; cycles end by themselves.
 
-def leaf_paths(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """(code, path) of the leaves of a forest (code, parent); a path joins the codes from the root with >."""
-    edges.createOrReplaceTempView("lotsift_edges")
-    paths = edges.sparkSession.sql(
-        f"""
-        with recursive walk(code, path, level) max recursion level {depth + 1} as (
-          select code, code, 0 from lotsift_edges where parent is null
-          union all
-          select e.code, concat(w.path, '>', e.code), w.level + 1 from walk w join lotsift_edges e on e.parent = w.code where w.level < {depth})
-        select code, path from walk"""
-    )
+    Each round joins the pairs found with themselves, so paths double in length and a tree of any
+    depth takes its logarithm in rounds; a pair is kept once, however many ways lead to it. With a depth, only descendants so many levels down.
+    """
+    nodes = edges.select("code", F.col("code").alias("descendant"), F.lit(0).alias("level"))
+    down = edges.where("parent is not null").select(F.col("parent").alias("code"), F.col("code").alias("descendant"), F.lit(1).alias("level"))
+    codes = edges.select("code").distinct()
+    reach = checkpoint(nodes.union(down.join(codes, "code", "left_semi")).groupBy("code", "descendant").agg(F.min("level").alias("level")))
+    known = reach.count()
+    while True:
+        on = reach.where("level > 0").select(F.col("code").alias("descendant"), F.col("descendant").alias("_to"), F.col("level").alias("_more"))
+        longer = reach.where("level > 0").join(on, "descendant").select("code", F.col("_to").alias("descendant"), (F.col("level") + F.col("_more")).alias("level"))
+        grown = checkpoint(reach.union(longer).groupBy("code", "descendant").agg(F.min("level").alias("level")))
+        n = grown.count()
+        if n == known:
+            break
+        reach, known = grown, n
+    return (reach if depth is None else reach.where(F.col("level") <= depth)).select("code", "descendant")
+
+
+def leaf_paths(edges: DataFrame) -> DataFrame:
+    """(code, path) of the leaves of a forest (code, parent); a path joins the codes from the root with >.
+
+    Each round puts before every path the path of the code that it hangs from, so a forest of any depth takes
+    its logarithm in rounds. Codes on a cycle have no root, so neither they nor what hangs from them have paths.
+    """
     parents = edges.select(F.col("parent").alias("code")).where("code is not null").distinct()
-    return paths.join(parents, "code", "left_anti")
+    paths = checkpoint(edges.select("code", F.col("parent").alias("above"), F.col("code").alias("path")))
+    most, reached = paths.count(), 1
+    while reached <= 2 * most and not paths.where("above is not null").isEmpty():
+        up = paths.select(F.col("code").alias("above"), F.col("above").alias("_next"), F.col("path").alias("_before"))
+        open_paths = paths.where("above is not null").join(up, "above").select("code", F.col("_next").alias("above"), F.concat_ws(">", "_before", "path").alias("path"))
+        paths, reached = checkpoint(paths.where("above is null").union(open_paths)), 2 * reached
+    return paths.where("above is null").select("code", "path").join(parents, "code", "left_anti")
 
 
 def allowing_section(rows: DataFrame, allowed: DataFrame, code: str, zone: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpoint
 from .lookup import resolve_zones, section_priority
 
 
@@ -114,7 +115,7 @@ def cascade(queries: DataFrame, zones: DataFrame, items: DataFrame, vector: Port
     A key without a zone, or with one that isn't known, ends there. What no step decides, and what the
     model port fails to answer, is not allowed: the cascade fails closed.
     """
-    known = resolve_zones(queries, zones, "zone")
+    known, items = checkpoint(resolve_zones(queries, zones, "zone")), checkpoint(items)
     none = known.where("outcome = 'missing'").select("key", F.lit("no_actual_zone").alias("verdict"), F.lit("").alias("code"), F.lit("no_actual_zone").alias("method"))
     lost = known.where("outcome = 'not_found'").select("key", F.lit("no_zone_metadata").alias("verdict"), F.lit("").alias("code"), F.lit("no_zone_metadata").alias("method"))
     open_keys = known.where("outcome in ('exact', 'base_unique')").select(*queries.columns)
@@ -122,6 +123,8 @@ def cascade(queries: DataFrame, zones: DataFrame, items: DataFrame, vector: Port
 
     def settle(found: DataFrame) -> None:
         nonlocal done, open_keys
+        # What a step found is both a result and what the next one leaves out; it is computed, and a port asked, once.
+        found = checkpoint(found)
         done = done.union(found.select("key", "verdict", "code", "method"))
         open_keys = open_keys.join(found.select("key"), "key", "left_anti")
 
@@ -131,6 +134,7 @@ def cascade(queries: DataFrame, zones: DataFrame, items: DataFrame, vector: Port
     settle(best.where(strong_string(best)).select("key", allowed("section").alias("verdict"), "code", F.lit("actual_zone_fast_string").alias("method")))
     for port, method in ((vector, "actual_zone_fast_embed"), (model, "actual_zone_llm")):
         if port is not None:
+            open_keys = checkpoint(open_keys)
             settle(port(open_keys).withColumn("method", F.lit(method)))
     rest = open_keys.select("key", F.lit("not_allowed").alias("verdict"), F.lit("").alias("code"), F.lit("actual_zone_not_allowed").alias("method"))
     return done.union(rest)

@@ -166,9 +166,9 @@ def q90_terminal_report(spark: SparkSession, d: str) -> DataFrame:
 @_query("""select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) as previous from events) where previous is null or previous <> event_type""")
 def q93_stream_status_change(spark: SparkSession, d: str) -> DataFrame:
     """q42 as a stream of files with state for each user, run until all input is read."""
-    return streams.run_to_table(spark, d, streams.status_changes(streams.event_stream(spark, d)), "status_change")
+    return streams.run_to_table(spark, streams.status_changes(streams.event_stream(spark, d)), "status_change")
 
 
 @_query("""select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 2) as total from events group by all""")
 def q94_stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
-    return streams.run_to_table(spark, d, streams.windowed_counts(streams.event_stream(spark, d)), "hourly")
+    return streams.run_to_table(spark, streams.windowed_counts(streams.event_stream(spark, d)), "hourly", "complete")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -32,3 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="lotsift-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut with a copy in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -17,11 +17,8 @@ DELAY = "1 day"
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table read as a stream of files, with an instant for its time."""
     path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema)
-    # A stream reads folders: of a single file, its folder with a filter on the name.
-    folder, name = (path.rsplit("/", 1)[0], "events.parquet")
-    return source.option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    # A stream reads folders; as a pattern, the path also names a single file.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def status_changes(events: DataFrame) -> DataFrame:
@@ -57,12 +54,11 @@ def session_lengths(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), "n")
 
 
-def run_to_table(spark: SparkSession, sf_dir: str, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all input there is and return what it wrote; its files lie in the shared checkpoint folder."""
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all input there is and return what it wrote in the output mode (append or complete); its files lie in the shared folder."""
     from ..session import shared_folder
 
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    mode = "append" if "applyInPandasWithState" in name or name == "status_change" else "complete"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     else:

@@ -66,3 +66,61 @@ def test_unit_vectors(spark):
 def test_scenario_key(spark):
     row = spark.createDataFrame([("sc:5:2024:OSM:type-3:upd-2024-01-01T00:00:m-ab",), ("sc:5",), (None,)], "k string").select(ledger.parsed_key("k").alias("p")).collect()
     assert row[0].p.scenario_id == 5 and row[0].p.updated == "2024-01-01T00:00" and row[1].p is None and row[2].p is None
+
+
+def test_deep_and_tangled_hierarchies(spark):
+    chain = [("n0", None)] + [(f"n{i}", f"n{i - 1}") for i in range(1, 200)]
+    e = spark.createDataFrame(chain, "code string, parent string")
+    got = lookup.closure(e)
+    assert got.count() == 200 * 201 // 2 and got.where("code = 'n0'").count() == 200
+    assert lookup.closure(e, 3).where("code = 'n0'").count() == 4
+    [leaf] = lookup.leaf_paths(e).collect()
+    assert leaf.code == "n199" and leaf.path == ">".join(f"n{i}" for i in range(200))
+    # Diamonds: 2 ** 30 paths from top to bottom.
+    tangled = [("d0", None)] + [(f"{x}{i}", f"d{i - 1}") for i in range(1, 31) for x in "lr"] + [(f"d{i}", f"{x}{i}") for i in range(1, 31) for x in "lr"]
+    assert lookup.closure(spark.createDataFrame(tangled, "code string, parent string")).where("code = 'd0'").count() == 91
+    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("r", None), ("s", "r")], "code string, parent string")
+    assert [tuple(r) for r in lookup.leaf_paths(loop).collect()] == [("s", "r>s")]
+
+
+def test_prefix_falls_back_from_empty_sets(spark):
+    rows = spark.createDataFrame([("1.2.3",), ("1.2",), ("9",)], "zone string")
+    sets = spark.createDataFrame([("1.2.3", []), ("1.2", None), ("1", ["x"])], "code string, allowed array<string>")
+    assert {r.zone: r.found for r in lookup.by_prefix(rows, sets, "zone", "allowed", "found").collect()} == {"1.2.3": ["x"], "1.2": ["x"], "9": None}
+
+
+def test_ports_are_asked_once_a_key(spark, tmp_path):
+    queries = spark.createDataFrame([(f"k{i}", "Z", f"thing {i}", f"thing {i}") for i in range(10)], "key string, zone string, canon string, short string")
+    zones = spark.createDataFrame([("Z", "B")], "zone_code string, base_code string")
+    items = spark.createDataFrame([("Z", "main", "other", "4.0", "other", "", 1)], "zone string, section string, name string, code string, name_canon string, desc_short string, pos int")
+
+    def port(name, answers):
+        def ask(rows):
+            def run(parts):
+                for part in parts:
+                    for key in part["key"]:
+                        with open(f"{tmp_path}/{name}", "a") as f:
+                            f.write(key + "\n")
+                    some = part[part["key"].isin(answers)]
+                    yield some.assign(verdict="allowed_main", code="1")[["key", "verdict", "code"]]
+
+            return rows.mapInPandas(run, "key string, verdict string, code string")
+
+        return ask
+
+    out = matching.cascade(queries, zones, items, vector=port("vector", ["k1", "k2"]), model=ports.failing_closed(port("model", ["k3"])))
+    got = {r.key: r.method for r in out.collect()}
+    assert len(got) == 10 and out.count() == 10 and got["k1"] == "actual_zone_fast_embed" and got["k3"] == got["k9"] == "actual_zone_llm"
+    asked = {n: (tmp_path / n).read_text().split() for n in ("vector", "model")}
+    assert sorted(asked["vector"]) == sorted(f"k{i}" for i in range(10))
+    assert sorted(asked["model"]) == sorted(f"k{i}" for i in range(10) if i not in (1, 2))
+
+
+def test_streams_read_folders_and_single_files(spark, tmp_path):
+    from lotsift.plans.catalogue import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("q93_stream_status_change", "q94_stream_hourly_counts"):
+        want, got = (sorted(map(tuple, QUERIES[name](spark, d).collect())) for d in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert want and got == want
