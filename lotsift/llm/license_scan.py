@@ -1,15 +1,17 @@
-"""Licence scan by seeds, word differences and conditional compression.
-
-A template with k differing words allowed is cut into k + 1 pieces, and a passage that is like it
-holds one of them word for word. From each such place the passage is aligned to both sides, so every
-template is confirmed or ruled out at every place, in any line and any surroundings. Passages are then
-compressed with zstandard, plainly and with the template as raw dictionary; the share of bytes saved
-ranks the licences.
+"""Licence scan by conditional compression, confirmed by word differences.
+
+Around every cue, such as the word licence, blocks of about a template's length are cut, of words without their layout, so
+that a passage like the template lies whole in one of them. Every block is compressed with zstandard, plainly and with the
+template as raw dictionary, and templates are ranked by the bytes saved, as a share of what the template saves on
+its own text. All templates above a share that any passage within the allowed
+differences reaches are winners, and each is confirmed or ruled out by exact word
+differences: with k differing words allowed a passage holds one of k + 1 pieces word for word, from which it is aligned to both sides.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +26,8 @@ MOST_DIFFERENT = 0.12
 #: Most words that a * takes without a difference.
 STAR = 12
 LEVEL = 3
+#: Least share of a template's own saving that makes it a winner; tests hold passages with all differences allowed against it.
+LEAST_SAVED = 0.15
 
 CUE = r"(?i)licen[sc]|copyright|\(c\) ?\d{4}|©|spdx|permission is hereby|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -]?(?:by|0)\b|warrant(?:y|ies)"
 
@@ -74,6 +78,8 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["Copyright * All rights reserved."],
 }
+# Notices that reserve rights and name neither licence nor holder; found on request.
+BARE: dict[str, list[str]] = {"Proprietary": ["All rights reserved."]}
 
 _WORD = re.compile(r"[\w.+-]+")
 
@@ -100,22 +106,41 @@ def _pieces(words: list[str], wanted: int) -> list[tuple[int, int]]:
     return [(i, i + length) for a, b in runs for i in range(a, b - length + 1, length)]
 
 
+_plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+
+
+@dataclass(frozen=True)
+class Compiled:
+    """A template's words, what compresses with it as dictionary, the bytes that saves on its own text, and the words that a passage can have."""
+
+    template: Template
+    words: list[str]
+    compressor: zstandard.ZstdCompressor
+    own: int
+    most: int
+    bare: bool
+
+
 @lru_cache(maxsize=1)
-def _compiled() -> tuple[list[tuple[Template, list[str], zstandard.ZstdCompressor]], dict[str, list[tuple[int, int, list[str]]]]]:
-    """Templates, and by its first word each piece of them: template's number, piece's place in it, piece."""
-    out, seeds = [], {}
-    for license_id, texts in TEMPLATES.items():
+def _compiled() -> tuple[list[Compiled], dict[str, list[tuple[int, int, list[str]]]], dict[int, list[int]]]:
+    """Templates; by its first word each piece of them: template's number, piece's place in it, piece; templates' numbers by the words that a passage can have."""
+    out, seeds, sizes = [], {}, {}
+    for license_id, texts, bare in [*((k, v, False) for k, v in TEMPLATES.items()), *((k, v, True) for k, v in BARE.items())]:
         for text in texts:
             t = Template(license_id, text)
-            held = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words = t.words
-            for a, b in _pieces(words, int(MOST_DIFFERENT * len(words)) + 1):
+            data = " ".join(w for w in words if w != "*").encode()
+            held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False)
+            allowed = int(MOST_DIFFERENT * len(words))
+            for a, b in _pieces(words, allowed + 1):
                 seeds.setdefault(words[a], []).append((len(out), a, words[a:b]))
-            out.append((t, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False)))
-    return out, seeds
+            most = len(words) + allowed + STAR * words.count("*")
+            sizes.setdefault(most, []).append(len(out))
+            out.append(Compiled(t, words, compressor, len(_plain.compress(data)) - len(compressor.compress(data)), most, bare))
+    return out, seeds, sizes
 
 
-_plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 _cue = re.compile(CUE)
 
 
@@ -167,14 +192,41 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int]:
     return wrong, len(met)
 
 
-def _confirmed(words: list[str]) -> Iterator[tuple[int, int, list[int]]]:
-    """(template's number, words different, places of the words met) of passages that are like a template."""
-    templates, seeds = _compiled()
+def ranked(words: list[str], numbers: list[int]) -> list[tuple[float, int]]:
+    """(share saved, template's number) of those of the templates that win a block, best first."""
+    templates = _compiled()[0]
+    data = " ".join(words).encode("utf-8", "replace")
+    plain = len(_plain.compress(data))
+    shares = [((plain - len(templates[k].compressor.compress(data))) / templates[k].own, k) for k in numbers]
+    return sorted((x for x in shares if x[0] >= LEAST_SAVED), key=lambda x: (-x[0], x[1]))
+
+
+def _blocks_around(cues: list[int], most: int) -> list[tuple[int, int]]:
+    """(begin, end) of blocks of words, about a quarter longer than a passage, of which one holds any passage with a cue."""
+    step = max(1, most // 4)
+    return [(s, s + most + step) for s in sorted({s for i in cues for s in range(max(0, i - most + 1) // step * step, i + 1, step)})]
+
+
+def _confirmed(words: list[str], cues: list[int], bare: bool) -> Iterator[tuple[int, int, list[int]]]:
+    """(template's number, words different, places of the words met) of passages that are like a template that won their block."""
+    templates, _, sizes = _compiled()
+    for most, numbers in sizes.items():
+        numbers = [k for k in numbers if bare or not templates[k].bare]
+        for begin, end in _blocks_around(cues, most):
+            block = words[begin:end]
+            if winners := {k for _, k in ranked(block, numbers)}:
+                for number, wrong, met in _alike(block, winners):
+                    yield number, wrong, [begin + x for x in met]
+
+
+def _alike(words: list[str], numbers: set[int]) -> Iterator[tuple[int, int, list[int]]]:
+    """(template's number, words different, places of the words met) of passages of a block that are like one of the templates."""
+    templates, seeds, _ = _compiled()
     for i, word in enumerate(words):
         for number, at, piece in seeds.get(word, ()):
-            if words[i : i + len(piece)] != piece:
+            if number not in numbers or words[i : i + len(piece)] != piece:
                 continue
-            template = templates[number][1]
+            template = templates[number].words
             most = int(MOST_DIFFERENT * len(template))
             before, after = template[:at][::-1], template[at + len(piece) :]
             left, right = (len(x) + most + STAR * x.count("*") for x in (before, after))
@@ -189,20 +241,22 @@ def _confirmed(words: list[str]) -> Iterator[tuple[int, int, list[int]]]:
             yield number, wrong_before + wrong_after, met
 
 
-def passages(text: str) -> list[tuple[int, str, float, int, str]]:
+def passages(text: str, bare: bool = False) -> list[tuple[int, str, float, int, str]]:
     """(line, license, share saved, words different, template) of the licences of a text, by place, best first.
 
     Of passages of one licence that share words, the one with most words met stands for all. One whose words are
-    mostly those of another licence's passage with fewer differences is only its look-alike.
+    mostly those of another licence's passage with fewer differences, or as many on more words, is only its look-alike.
     """
     templates = _compiled()[0]
     spans = [(m, w.lower()) for m, w in ((m, m.group().strip(".+-")) for m in _WORD.finditer(text)) if w]
+    starts = [m.start() for m, _ in spans]
+    cues = sorted({min(bisect_right(starts, m.end() - 1) - 1, len(spans) - 1) for m in _cue.finditer(text)} - {-1}) if spans else []
     found = {}
-    for number, wrong, met in _confirmed([w for _, w in spans]):
+    for number, wrong, met in _confirmed([w for _, w in spans], cues, bare):
         found.setdefault((number, met[0], met[-1]), (number, wrong, met))
     kept = {}
     for number, wrong, met in sorted(found.values(), key=lambda x: (-len(x[2]), x[1], x[0])):
-        same = kept.setdefault(templates[number][0].license_id, [])
+        same = kept.setdefault(templates[number].template.license_id, [])
         places = set(met)
         if all(places.isdisjoint(other) for _, _, other in same):
             same.append((number, wrong, places))
@@ -211,7 +265,7 @@ def passages(text: str) -> list[tuple[int, str, float, int, str]]:
         for number, wrong, places in same:
             if any(w < wrong and 2 * len(places & other) > len(places) for k, x in kept.items() if k != license_id for _, w, other in x):
                 continue
-            template, _, compressor = templates[number]
+            template, compressor = templates[number].template, templates[number].compressor
             first = spans[min(places)][0].start()
             data = text[first : spans[max(places)][0].end()].lower().encode("utf-8", "replace")
             saved = 1 - len(compressor.compress(data)) / len(_plain.compress(data))
@@ -224,17 +278,18 @@ def scan(block: str) -> list[tuple[str, float, int, str]]:
     return [x[1:] for x in passages(block)]
 
 
-def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bare: bool = False) -> DataFrame:
     """A row for each licence and passage: id, line (of the passage's start, from 0), license_id, saved, differences, template.
 
-    Only documents with a cue leave the JVM; these are read whole. Null and blank texts have no rows; repeated rows have theirs each. Ties rank by name.
+    With `bare`, notices that reserve all rights and name neither licence nor holder count as well. Only documents with a cue leave the JVM; these are read whole, however long. Null and blank texts have no rows; repeated rows have
+    theirs each. Passages rank by place, ties by bytes saved and then by name. Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [
-                (i, first + line, *found) for i, t in zip(part["id"], part["text"], strict=True) for first, block in blocks(t) for line, *found in passages(block)
+                (i, first + line, *found) for i, t in zip(part["id"], part["text"], strict=True) for first, block in blocks(t) for line, *found in passages(block, bare)
             ]
             yield pd.DataFrame(rows, columns=["id", "line", "license_id", "saved", "differences", "template"])
 

@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences(_table(spark, sf_dir, "documents"))
+    found = licences(_table(spark, sf_dir, "documents"), bare=True)
     return found.select("doc_id", "line", "license_id", F.round("saved", 6).alias("saved"), "differences")
 
 

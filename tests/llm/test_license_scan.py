@@ -78,3 +78,63 @@ def test_passage_begins_in_one_line_and_ends_far_below():
     mit = S.TEMPLATES["MIT"][-1].split()
     text = f"{PROSE} {mit[0]}\n" + "\n\n".join(mit[1:])
     assert [(x[0], x[1], x[3]) for x in S.passages("\n" * 7 + text)] == [(7, "MIT", 0)]
+
+
+def test_seven_notices_on_seven_lines():
+    names = ["MIT", "Apache-2.0", "BSD-3-Clause", "ISC", "CC-BY-4.0", "CC0-1.0", "MPL-2.0"]
+    assert [(x[0], x[1]) for x in S.passages("\n".join(S.TEMPLATES[k][0] for k in names))] == list(enumerate(names))
+    sixty = "\n".join(["this licence software copyright work is subject to terms"] * 60)
+    assert [x[:2] for x in S.passages(f"{sixty}\n{S.TEMPLATES['MIT'][0]}")] == [(60, "MIT")]
+
+
+def test_bare_notices_on_request(spark):
+    text = f"{PROSE}\nAll rights reserved.\n{PROSE}"
+    assert S.passages(text) == [] and [x[:2] for x in S.passages(text, bare=True)] == [(1, "Proprietary")]
+    full = "Copyright 2020 Some Holder. All rights reserved."
+    assert [x[1] for x in S.passages(full, bare=True)] == ["Proprietary"]
+    assert S.licences(spark.createDataFrame([(1, text)], "doc_id long, text string"), bare=True).count() == 1
+
+
+def every_passage(text):
+    """(template's text, fewest differences) of all templates by aligning each to the whole text, word by word."""
+    words = S._words(text)
+    out = set()
+    for k, ts in S.TEMPLATES.items():
+        for t in ts:
+            template = S.Template(k, t).words
+            wrong, _ = S.differences(template, words)
+            if wrong <= int(S.MOST_DIFFERENT * len(template)):
+                out.add((k, t, wrong))
+    return out
+
+
+def test_compression_loses_nothing_that_differences_confirm():
+    """Each template with as many words changed, dropped or added as may be, in prose and next to other notices, against brute force."""
+    r = random.Random(8)
+    every = [(k, t) for k, ts in S.TEMPLATES.items() for t in ts]
+    cue = S._cue
+    checked = 0
+    for k, t in every * 6:
+        words = [w if w != "*" else "2020 Some Holder" for w in t.split()]
+        most = int(S.MOST_DIFFERENT * len(S.Template(k, t).words))
+        for _ in range(r.randrange(most + 1)):
+            i = r.randrange(len(words))
+            words[i : i + 1] = r.choice([["other"], [], [words[i], "more"]])
+        near = r.choice(every)[1].replace("*", "2021 X") if r.random() < 0.5 else PROSE
+        passage = " ".join(words)
+        if not cue.search(passage):
+            continue
+        want = every_passage(passage)
+        _, starts = None, [m.start() for m in S._WORD.finditer(passage)]
+        spans = [w for w in S._words(f"{PROSE} {passage} {near}")]
+        places = [i for i, w in enumerate(spans) if cue.search(w)] + [i for i in range(len(spans)) if cue.search(" ".join(spans[i : i + 4]))]
+        got = {(S._compiled()[0][n].template.text, wrong) for n, wrong, _ in S._confirmed(spans, sorted(set(places)), False)}
+        for _, text, wrong in want:
+            assert any(x == text and y <= wrong for x, y in got), (text, passage)
+            checked += 1
+    assert checked > 100
+
+
+def test_very_long_text():
+    text = f"{PROSE} " * 40_000 + S.TEMPLATES["MIT"][-1] + f" {PROSE}" * 1000
+    assert [x[1] for x in S.passages(text)] == ["MIT"]
