@@ -10,7 +10,6 @@ are joined, markers dropped, and the turns written in one form.
 from __future__ import annotations
 
 import json
-
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -118,28 +117,61 @@ class Model:
         return Model(logs(first, start), logs(following, allowed), (marks[:, :, None] + endings[:, None, :]).reshape(STATES, -1))
 
 
-def path(model: Model, symbols: list[int]) -> list[int]:
-    """Viterbi's states for the symbols; of equally likely ones, the lowest."""
+def path(model: Model, symbols: list[int], entry: int | None = None, leave: int | None = None) -> list[int]:
+    """Viterbi's states for the symbols, after the state `entry` and up to the state `leave` where these are given; of equally likely ones, the lowest."""
     if not symbols:
         return []
-    score, back = model.first + model.symbol[:, symbols[0]], []
+    score, back = (model.first if entry is None else model.next[entry]) + model.symbol[:, symbols[0]], []
     for s in symbols[1:]:
         ways = score[:, None] + model.next
         came = ways.argmax(axis=0)
         back.append(came)
         score = ways[came, np.arange(STATES)] + model.symbol[:, s]
-    out = [int(score.argmax())]
+    out = [int(score.argmax()) if leave is None else leave]
     for came in reversed(back):
         out.append(int(came[out[-1]]))
     return out[::-1]
 
 
-def parse(model: Model, transcript: str | None) -> list[tuple[str, str]]:
+def transfer(model: Model, symbols: list[int]) -> np.ndarray:
+    """Best log chance of a path through the symbols by the state before them (the last row: none, the start) and the last state."""
+    score = np.vstack([model.next, model.first]) + model.symbol[:, symbols[0]]
+    for s in symbols[1:]:
+        score = (score[:, :, None] + model.next).max(axis=1) + model.symbol[:, s]
+    return score
+
+
+def joints(transfers: list[np.ndarray | None]) -> list[tuple[int | None, int | None]]:
+    """(state before, last state) of each part on the best path through all, in order; None for a part without lines, and before the first."""
+    held = [k for k, t in enumerate(transfers) if t is not None]
+    out: list[tuple[int | None, int | None]] = [(None, None)] * len(transfers)
+    if not held:
+        return out
+    score, back = transfers[held[0]][-1], []
+    for k in held[1:]:
+        ways = score[:, None] + transfers[k][:-1]
+        back.append(ways.argmax(axis=0))
+        score = ways.max(axis=0)
+    last = int(score.argmax())
+    for k, came in zip(reversed(held[1:]), reversed(back), strict=True):
+        out[k] = int(came[last]), last
+        last = out[k][0]
+    out[held[0]] = None, last
+    return out
+
+
+def parse(model: Model, transcript: str | None, entry: int | None = None, leave: int | None = None) -> list[tuple[str, str]]:
     """Turns (role, text) of a transcript; blank lines inside a turn stay, those around it go."""
+    return _turns(model, transcript, entry, leave)[0]
+
+
+def _turns(model: Model, transcript: str | None, entry: int | None, leave: int | None) -> tuple[list[tuple[str, str]], bool]:
+    """Turns of a transcript or a part of one, and whether the first goes on with the turn of the part before."""
     if not transcript:
-        return []
+        return [], False
     lines = lines_of(transcript)
-    states = iter(path(model, [x.symbol for x in lines if not x.blank]))
+    found = path(model, [x.symbol for x in lines if not x.blank], entry, leave)
+    states = iter(found)
     turns: list[tuple[str, list[str]]] = []
     waiting = 0
     for line in lines:
@@ -152,7 +184,7 @@ def parse(model: Model, transcript: str | None) -> list[tuple[str, str]]:
         else:
             turns[-1][1].extend([""] * waiting + [line.text])
         waiting = 0
-    return [(role, "\n".join(text).strip()) for role, text in turns]
+    return [(role, "\n".join(text).strip()) for role, text in turns], entry is not None and bool(found) and found[0] % 2 == 1
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -214,6 +246,46 @@ def recover(transcripts: DataFrame, model: Model, transcript: str = "transcript"
     return transcripts.select(*kept, transcript).mapInArrow(run, schema)
 
 
+def recover_parts(parts: DataFrame, model: Model, key: str = "conv_id", place: str = "part", transcript: str = "transcript") -> DataFrame:
+    """As recover, for conversations in parts (key, place, transcript): Viterbi's path runs through all parts of a conversation.
+
+    Each part of a conversation of several gives its best log chances from any state before it to any last state, a matrix of fixed
+    size; these are chained in order of place, and every part is then parsed between the states that the best path has at its ends. `continued` tells
+    that a part's first turn goes on with the last one of the part before; it isn't counted in n_turns. Parts
+    without a key are transcripts of their own. Of equally likely paths any may be taken. A marker at a part's end without text after it marks nothing.
+    """
+    several = parts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    long = parts.join(several, key, "left_semi").select(F.col(key).alias("key"), F.col(place).alias("place"), F.col(transcript).alias("t"))
+    kinds = {c: parts.schema[c].dataType.simpleString() for c in (key, place)}
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = [[x.symbol for x in lines_of(t or "") if not x.blank] for t in batch.column(2).to_pylist()]
+            made = pa.array([transfer(model, s).tobytes() if s else None for s in symbols], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["key", "place", "chances"])
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place", ignore_index=True)
+        ends = joints([None if b is None else np.frombuffer(b).reshape(-1, STATES) for b in rows["chances"]])
+        return rows[["key", "place"]].assign(**{n: pd.array([e[k] for e in ends], dtype="Int32") for k, n in enumerate(("entry", "leave"))})
+
+    steps = long.mapInArrow(matrices, f"key {kinds[key]}, place {kinds[place]}, chances binary")
+    ends = steps.groupBy("key").applyInPandas(chain, f"key {kinds[key]}, place {kinds[place]}, entry int, leave int")
+    ends = ends.select(F.col("key").alias(key), F.col("place").alias(place), F.col("entry").alias("_entry"), F.col("leave").alias("_leave"))
+    made = {"roles": pa.list_(pa.string()), "rendered": pa.string(), "n_turns": pa.int32(), "continued": pa.bool_()}
+    kept = [c for c in parts.columns if c not in (*made, transcript)]
+    schema = parts.select(*kept).schema.add("roles", ArrayType(StringType())).add("rendered", "string").add("n_turns", IntegerType()).add("continued", "boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_turns(model, *x) for x in zip(*(batch.column(c).to_pylist() for c in (transcript, "_entry", "_leave")), strict=True)]
+            new = [[[r for r, _ in t] for t, _ in found], [render(t) for t, _ in found], [len(t) - c for t, c in found], [c for _, c in found]]
+            columns = [pa.array(v, k) for v, k in zip(new, made.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *made])
+
+    return parts.select(*kept, transcript).join(ends, [key, place], "left").select(*kept, transcript, "_entry", "_leave").mapInArrow(run, schema)
+
+
 #: How each style marks the roles of ROLES.
 STYLES = (
     ("System: ", "User: ", "Assistant: "),
@@ -233,7 +305,8 @@ def transcripts_of(messages: DataFrame, key: str = "conv_id", turn: str = "turn"
 
     Turns stand in order of number, then role and text; every seventh turn of a key's cycle has lost its
     marker and only a blank line precedes it. Part k holds the turn numbers from 256 k, so that no
-    conversation needs to fit one task; messages without a number are in part 0.
+    conversation needs to fit one task; messages without a number are in part 0. A message without a key is a
+    transcript of its own. Repeated messages stand side by side; other columns are ignored, and an empty table gives an empty result.
     """
     place = F.create_map(*[x for i, r in enumerate(ROLES) for x in (F.lit(r), F.lit(i))])
     styles = F.array(*[F.array(*map(F.lit, s)) for s in STYLES])
@@ -245,9 +318,10 @@ def transcripts_of(messages: DataFrame, key: str = "conv_id", turn: str = "turn"
     rows = messages.select(
         F.col(key).alias("key"),
         F.coalesce(F.floor(F.col(turn) / PART_TURNS), F.lit(0)).cast("bigint").alias("part"),
+        F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("own"),
         F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), body.alias("text"), F.concat(mark, body).alias("line")).alias("m"),
     )
-    held = rows.groupBy("key", "part").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    held = rows.groupBy("key", "part", "own").agg(F.array_sort(F.collect_list("m")).alias("m"))
     return held.select(
         F.col("key").alias(key),
         "part",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import fit, recover, transcripts_of
+from .chat_format import fit, recover_parts, transcripts_of
 from .decontaminate import contaminations
 from .embedding_dedup import near_vectors
 from .language_id import languages_of
@@ -64,11 +64,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation parsed by a model counted from those whose crc32(conv_id as text) mod 3 is not 1."""
     raw = transcripts_of(_table(spark, sf_dir, "conversations"))
     fold = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(3))
-    out = recover(raw.drop("turns"), fit(raw.where(fold != 1)))
+    out = recover_parts(raw.drop("turns"), fit(raw.where(fold != 1)))
     return out.select(
-        "conv_id", "part", "n_turns", F.array_join("roles", ",").alias("roles"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256")
+        "conv_id", "part", "n_turns", "continued", F.array_join("roles", ",").alias("roles"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256")
     )
 
 

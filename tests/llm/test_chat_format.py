@@ -75,3 +75,54 @@ def test_long_conversations_come_in_parts(spark, monkeypatch):
     rows = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m {i}") for i in range(10)], "conv_id long, turn long, role string, text string")
     got = {r.part: len(r.turns) for r in C.transcripts_of(rows).collect()}
     assert got == {0: 4, 1: 4, 2: 2}
+
+
+def test_parts_are_parsed_as_one_conversation(spark, model, monkeypatch):
+    """Joined parts against the whole conversation in one piece, and the path's chance against Viterbi's over all lines."""
+    import random
+
+    # Without noise some paths are equally likely, and the whole and the parts may take another of them.
+    noise = np.random.default_rng(1)
+    model = C.Model(*(x + noise.random(x.shape) * 1e-6 for x in (model.first, model.next, model.symbol)))
+    r = random.Random(4)
+    rows = []
+    for c in range(25):
+        for i in range(r.randrange(1, 40)):
+            lines = [f"line {c} {i} {k}{r.choice(['?', '.', ''])}" for k in range(r.randrange(1, 4))]
+            rows.append((c, i, r.choice(["user", "assistant", "system"]), "\n".join(lines)))
+    rows += [(None, 0, "user", "alone"), (None, 0, "user", "alone")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {x.conv_id: json.loads(x.rendered) for x in C.recover(C.transcripts_of(messages), model).where("conv_id is not null").collect()}
+    monkeypatch.setattr(C, "PART_TURNS", 3)
+    got = C.recover_parts(C.transcripts_of(messages), model).orderBy("conv_id", "part").collect()
+    assert [x.n_turns for x in got if x.conv_id is None] == [1, 1]
+    joined, carried = {}, 0
+    for x in got:
+        if x.conv_id is None:
+            continue
+        turns = json.loads(x.rendered)
+        assert len(turns) == x.n_turns + x.continued
+        if x.continued:
+            carried += 1
+            assert turns[0]["role"] == joined[x.conv_id][-1]["role"]
+            joined[x.conv_id][-1]["content"] += "\n\n" + turns.pop(0)["content"]
+        joined.setdefault(x.conv_id, []).extend(turns)
+    assert joined == whole and carried
+
+
+def test_chained_transfers_equal_the_whole_path():
+    r = np.random.default_rng(9)
+    for _ in range(30):
+        m = C.Model.of(r.random(C.STATES), r.random((C.STATES, C.STATES)), r.random((C.STATES, C.SYMBOLS)))
+        parts = [r.integers(0, C.SYMBOLS, r.integers(0, 5)).tolist() for _ in range(5)]
+        ends = C.joints([C.transfer(m, p) if p else None for p in parts])
+        assert sum((C.path(m, p, a, b) for p, (a, b) in zip(parts, ends, strict=True)), []) == C.path(m, sum(parts, []))
+
+
+def test_roles_of_whole_conversations(spark, model):
+    """Accuracy over all conversations, each role held against the one at its place; missing and surplus turns count as wrong."""
+    held = C.transcripts_of(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    got = {r.conv_id: r.roles for r in C.recover_parts(held, model).collect()}
+    want = {r.conv_id: [t.role for t in r.turns] for r in held.collect()}
+    right = sum(a == b for k in want for a, b in zip(got[k], want[k]))
+    assert right >= 0.8 * sum(max(len(got[k]), len(want[k])) for k in want)
