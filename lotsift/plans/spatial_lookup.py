@@ -64,6 +64,10 @@ def _octagon(cut: float = 0.25):
     return F.array(F.array(F.array(*[F.array(*p) for p in points]))).cast(MULTIPOLYGON)
 
 
+# Many areas lie just halfway between two rounded values; a billionth more takes all of these up, in Spark and in SQL alike.
+_UP = 1e-9
+
+
 # An octagon lies below three lines and above three: of two octagons, the height they share at x is the least of six lines less the
 # greatest of six others. It is straight between the places where two of the lines meet, so trapezoids give its area.
 _CLIP_SQL = f"""(with pairs as (select p.pid, z.zid, z.code, greatest(p.x0,z.x0)*1.0::double as lo, least(p.x1,z.x1)*1.0::double as hi,
@@ -83,24 +87,24 @@ _CLIP_SQL = f"""(with pairs as (select p.pid, z.zid, z.code, greatest(p.x0,z.x0)
   select pairs.pid, pairs.zid, pairs.code, area, (a[3]-a[1])*(a[4]-a[2])*0.875 as parcel_area from pairs join areas using (pid, zid))"""
 
 
-@_query(f"select pid, zid, round(area, 6) + 0 as area, round(parcel_area, 6) as parcel_area from {_CLIP_SQL} c")
+@_query(f"select pid, zid, round(area + 1e-9, 6) as area, round(parcel_area + 1e-9, 6) as parcel_area from {_CLIP_SQL} c")
 def q04_polygon_clip_area(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d).withColumn("shape", _octagon())
     z = zones(spark, d).withColumn("shape", _octagon())
     pairs = spatial.touching(p, z, spatial.tile_side(z))
     clipped = spatial.intersection_area("shape", "r_shape")
-    return pairs.select("pid", F.col("r_zid").alias("zid"), F.round(clipped, 6).alias("area"), F.round(area(F.col("shape")), 6).alias("parcel_area"))
+    return pairs.select("pid", F.col("r_zid").alias("zid"), F.round(clipped + _UP, 6).alias("area"), F.round(area(F.col("shape")) + _UP, 6).alias("parcel_area"))
 
 
-@_query(f"""with c as (select * from {_CLIP_SQL} c where area > 1e-9), r as (select *, row_number() over (partition by pid order by round(area, 6) desc, code, zid) as rn from c)
-select p.pid, r.code as actual_code, coalesce(n, 0) as n_codes, round(r.area, 6) as area, round(r.area/r.parcel_area, 6) as share
+@_query(f"""with c as (select * from {_CLIP_SQL} c where area > 1e-9), r as (select *, row_number() over (partition by pid order by round(area + 1e-9, 6) desc, code, zid) as rn from c)
+select p.pid, r.code as actual_code, coalesce(n, 0) as n_codes, round(r.area + 1e-9, 6) as area, round(r.area/r.parcel_area + 1e-9, 6) as share
 from {PARCELS_SQL} p left join r on p.pid = r.pid and rn = 1 left join (select pid, count(distinct code) as n from c group by pid) a on p.pid = a.pid""")
 def q95_polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     """The zone that dominates each parcel, by the areas of real polygons."""
     p, z = (t.withColumn("shape", _octagon()) for t in (parcels(spark, d), zones(spark, d)))
-    pieces = spatial.polygon_overlaps(p, z).where("area > 1e-9").withColumn("area", F.round("area", 6))
+    pieces = spatial.polygon_overlaps(p, z).where("area > 1e-9").withColumn("area", F.round(F.col("area") + _UP, 6))
     out = spatial.dominant(p, pieces)
-    return out.select("pid", "actual_code", F.col("n_codes").cast("bigint").alias("n_codes"), "area", F.round("share", 6).alias("share"))
+    return out.select("pid", "actual_code", F.col("n_codes").cast("bigint").alias("n_codes"), "area", F.round(F.col("share") + _UP, 6).alias("share"))
 
 
 @_query(f"""select c.pid, min(zid) as zid, arg_min(code, zid) as code from {_CENTRES} c left join {ZONES_SQL} z
