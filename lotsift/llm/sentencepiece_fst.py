@@ -36,7 +36,7 @@ MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Bytes that a worker's kept segments take, about.
-KEPT_BYTES = 40 << 20
+KEPT_BYTES = 96 << 20
 #: A longer segment is worked out each time.
 KEPT_LONGEST = 64
 INFINITE = float("inf")
@@ -81,8 +81,12 @@ class Normaliser:
             self.arcs = {(out, True): (gap, ()), (gap, True): (gap, ()), (out, False): (out, (None,)), (gap, False): (out, (MARK, None))}
         else:
             self.arcs = {(out, True): (out, (MARK,)), (out, False): (out, (None,))}
+        #: A machine of one state that writes a character for each is a table.
+        self.table = None if squeeze else {ord(" "): MARK}
 
     def write(self, raw: str) -> str:
+        if self.table is not None:
+            return raw.translate(self.table)
         state, written = self.OUTSIDE, []
         for c in raw:
             state, symbols = self.arcs[state, c == " " or c == MARK]
@@ -159,8 +163,8 @@ class Transducer:
             self.out[i] = bytes([value])
         self.normaliser = Normaliser(self.squeeze)
         self.segments = self._cutter()
-        #: All starts of pieces: the states of the machine that reads them.
-        self.starts = {name[:k] for name in self.ids for k in range(1, len(name) + 1)}
+        #: All starts of pieces, the states of the machine that reads them, each with the piece that it is (-1: none).
+        self.starts = {name[:k]: -1 for name in self.ids for k in range(1, len(name))} | self.ids
         #: Of pieces met so far: how merging makes them at their left and right end.
         self.ends: dict[int, tuple[Spine, Spine] | None] = {}
         self.paths = Kept(self._segment)
@@ -259,7 +263,7 @@ class Transducer:
         No arc weighs less than nothing, so paths are grown lightest first and of equal ones the furthest (Dijkstra). What an arc
         of a merge model weighs, nothing or infinity, is worked out when its turn comes.
         """
-        n, find, starts, lazy = len(text), self.ids.get, self.starts, self.merges
+        n, starts, lazy = len(text), self.starts.get, self.merges
         #: Of each place reached: where the last arc began and its piece (-1: none).
         came: dict[int, tuple[int, int]] = {}
         ahead: list[tuple[float, int, int, int]] = [(0.0, 0, 0, -1)]
@@ -270,9 +274,8 @@ class Transducer:
                 continue
             came[at] = begin, piece
             end = at + 1
-            while end <= n and (part := text[at:end]) in starts:
-                found = find(part)
-                if found is not None and end not in came:
+            while end <= n and (found := starts(text[at:end])) is not None:
+                if found >= 0 and end not in came:
                     heappush(ahead, (here if lazy else here - self.scores[found], -end, at, found))
                 end += 1
             if at < n and text[at] not in self.ids:
@@ -286,7 +289,8 @@ class Transducer:
 
     def _segment(self, raw: str) -> bytes:
         """Packed ids of a segment as it stands in the text: normaliser, then pieces and fallback."""
-        return np.array(self.shortest_path(self.normaliser.write(raw)), dtype="<i4").tobytes()
+        ids = self.shortest_path(self.normaliser.write(raw))
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> bytes:
         if not (text.strip(" " + MARK) if self.squeeze else text):
