@@ -39,6 +39,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 KEPT_BYTES = 96 << 20
 #: A longer segment is worked out each time.
 KEPT_LONGEST = 64
+#: Arcs whose weights a worker keeps, of some 150 bytes each; then it starts anew.
+KEPT_ARCS = 200_000
 INFINITE = float("inf")
 
 
@@ -118,13 +120,26 @@ class Kept(dict):
         self.size += sys.getsizeof(text) + sys.getsizeof(value) + 50
         return value
 
-
     def release(self) -> None:
         """Give back what is kept, as the worker may turn to other stages."""
         self.clear()
         self.old, self.size = {}, 0
 
 
+class Arcs(dict):
+    """Weights of a merge model's arcs by the pieces before and after, each worked out when first asked for."""
+
+    def __init__(self, weight):
+        super().__init__()
+        self.weight = weight
+
+    def __missing__(self, pair: tuple[int, int]) -> float:
+        if len(self) >= KEPT_ARCS:
+            self.clear()
+        found = self[pair] = self.weight(*pair)
+        return found
+
+
 class Transducer:
     """The compiled model; encode() and decode() map a text to packed little-endian 32-bit ids and back."""
 
@@ -167,6 +182,7 @@ class Transducer:
         self.starts = {name[:k]: -1 for name in self.ids for k in range(1, len(name))} | self.ids
         #: Of pieces met so far: how merging makes them at their left and right end.
         self.ends: dict[int, tuple[Spine, Spine] | None] = {}
+        self.arcs = Arcs(self._weight)
         self.paths = Kept(self._segment)
 
     def _cutter(self):
@@ -263,14 +279,14 @@ class Transducer:
         No arc weighs less than nothing, so paths are grown lightest first and of equal ones the furthest (Dijkstra). What an arc
         of a merge model weighs, nothing or infinity, is worked out when its turn comes.
         """
-        n, starts, lazy = len(text), self.starts.get, self.merges
+        n, starts, arcs, lazy = len(text), self.starts.get, self.arcs, self.merges
         #: Of each place reached: where the last arc began and its piece (-1: none).
         came: dict[int, tuple[int, int]] = {}
         ahead: list[tuple[float, int, int, int]] = [(0.0, 0, 0, -1)]
         while n not in came:
             here, at, begin, piece = heappop(ahead)
             at = -at
-            if at in came or (lazy and piece >= 0 and self._weight(came[begin][1], piece) == INFINITE):
+            if at in came or (lazy and piece >= 0 and arcs[came[begin][1], piece] == INFINITE):
                 continue
             came[at] = begin, piece
             end = at + 1
@@ -292,6 +308,11 @@ class Transducer:
         ids = self.shortest_path(self.normaliser.write(raw))
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    def release(self) -> None:
+        """Give back what is kept of inputs."""
+        self.paths.release()
+        self.arcs.clear()
+
     def encode(self, text: str) -> bytes:
         if not (text.strip(" " + MARK) if self.squeeze else text):
             return b""
@@ -356,7 +377,7 @@ def encode_texts(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_
         ids = [None if x is None else t.encode(x) for x in batch.column(text).to_pylist()]
         return [ids, [None if x is None else t.decode(x) for x in ids]] if decoded else [ids]
 
-    return _add(docs, {"ids": pa.binary()} | ({"decoded": pa.string()} if decoded else {}), make, lambda: compiled(model.value).paths.release())
+    return _add(docs, {"ids": pa.binary()} | ({"decoded": pa.string()} if decoded else {}), make, lambda: compiled(model.value).release())
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
