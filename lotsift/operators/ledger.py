@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 # States of a job and the states that may follow.
 TRANSITIONS = {
@@ -46,20 +50,30 @@ def invalid_transitions(events: DataFrame, allowed: DataFrame, key: str, status:
 def admissions(requests: DataFrame, group: str, order: str, priority: str, capacity: int = CAPACITY) -> DataFrame:
     """Requests with `admitted` and the sum reserved after each, taken in order within a group.
 
-    A request is admitted if the sum so far and its priority fit the capacity. Each group is a queue of its own, folded in order.
+    A request is admitted if the sum so far and its priority fit the capacity; a null priority has null `admitted` and reserves nothing.
+    Each group is a queue of its own: its rows lie sorted in one partition and are folded as they pass, so a task holds a batch and one sum, however long the queue.
     """
-    queue = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(priority).cast("bigint").alias("p"))))
-
-    def step(state: Column, item: Column) -> Column:
-        fits = state["sum"] + item["p"] <= capacity
-        total = F.when(fits, state["sum"] + item["p"]).otherwise(state["sum"])
-        entry = F.struct(item["o"].alias("o"), fits.alias("admitted"), total.alias("reserved"))
-        return F.struct(total.alias("sum"), F.concat(state["out"], F.array(entry)).alias("out"))
-
-    kind = requests.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast(f"array<struct<o:{kind},admitted:boolean,reserved:bigint>>").alias("out"))
-    folded = requests.groupBy(group).agg(queue.alias("q")).select(group, F.aggregate("q", start, step)["out"].alias("out"))
-    return folded.select(group, F.inline("out")).withColumnRenamed("o", order)
+    kind, key = requests.schema[order].dataType, requests.schema[group].dataType
+    rows = requests.select(group, F.col(order).alias("o"), F.col(priority).cast("bigint").alias("p"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue: list = []
+        total = 0
+        for batch in batches:
+            fits, sums = [], []
+            for name, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if queue != [name]:
+                    queue, total = [name], 0
+                fit = None if p is None else total + p <= capacity
+                total += p if fit else 0
+                fits.append(fit)
+                sums.append(total)
+            made = [batch.column(0), batch.column(1), pa.array(fits, type=pa.bool_()), pa.array(sums, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["g", "o", "admitted", "reserved"])
+
+    schema = StructType([StructField("g", key), StructField("o", kind), StructField("admitted", BooleanType()), StructField("reserved", LongType())])
+    folded = rows.repartition(group).sortWithinPartitions(group, "o", "p").mapInArrow(fold, schema)
+    return folded.select(F.col("g").alias(group), F.col("o").alias(order), "admitted", "reserved")
 
 
 def first_writers(requests: DataFrame, key: str, *order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 #: The smaller side of a recall is broadcast below this many rows; beyond, both sides meet block by block.
 BROADCAST_ROWS = 20_000
 
@@ -56,6 +58,20 @@ def ranked(rows: DataFrame, key: str, *by: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by)).cast("bigint"))
 
 
+def placed(rows: DataFrame, *by: Column) -> DataFrame:
+    """rows with `place` from 1 in the order of the whole table, which is sorted by ranges; no task holds more than one of them.
+
+    The sorted rows are written once, so that a range's first place, the count of rows before it, fits the rows as they lie.
+    """
+    packed = rows.sort(*by).select(F.struct("*").alias("row")).withColumn("number", F.monotonically_increasing_id())
+    part = F.shiftright("number", 33)
+    lying = checkpoint(packed.select("row", part.alias("part"), F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")))
+    sizes = lying.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # One row a partition, so the window and what is broadcast are as small as the number of partitions.
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return lying.join(F.broadcast(before), "part").select("row.*", (F.col("before") + F.col("inside") + 1).alias("place"))
+
+
 def needs_model(top: DataFrame, key: str = "query", gap: float = 0.16, least_rank: int = 85) -> DataFrame:
     """(key, gap, ask): whether the ranking of (key, place, score, profile_rank, confidence, n_words) is too close to settle.
 

@@ -358,9 +358,9 @@ where regexp_full_match(code, '[0-9]+([.][0-9]+)*') and score >= 0.52""")
 def q55_valid_code_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").selectExpr("vec_id", "case when vec_id % 3 = 0 then concat(label, '.x') else concat(label, '.', vec_id % 7) end as code", "vec_id % 100 / 100.0D as score")
     good = rows.where(is_code("code") & (F.col("score") >= 0.52)).dropDuplicates(["vec_id"])
-    from ..operators.ranking import ranked
+    from ..operators.ranking import placed
 
-    return ranked(good.withColumn("all", F.lit(1)), "all", F.col("vec_id")).select("vec_id", "code", "place")
+    return placed(good, F.col("vec_id")).select("vec_id", "code", "place")
 
 
 @_query("""select p_partkey, case when lower(trim(t)) in ('', '-', 'nan', 'none', 'null') then 'unnamed' else trim(t) end as zone_name, 'unclear' as verdict, null::varchar as reason

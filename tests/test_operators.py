@@ -27,6 +27,28 @@ def test_admission(spark):
     assert got == [("g", 1, True, 8), ("g", 2, False, 8), ("g", 3, True, 10), ("h", 1, False, 0)]
 
 
+def test_admission_over_batches_equals_a_plain_fold(spark):
+    rows = spark.range(25_000).select(F.expr("if(id % 3 = 0, null, concat('q', id % 2))").alias("g"), "id", F.expr("if(id % 7 = 0, null, id % 5)").alias("p"))
+    want, sums = {}, {}
+    for g, i, p in sorted(((r.g, r.id, r.p) for r in rows.collect()), key=lambda r: r[1]):
+        s = sums.get(g, 0)
+        fits = None if p is None else s + p <= 6000
+        sums[g] = s + p if fits else s
+        want[i] = (g, fits, sums[g])
+    got = {r.id: (r.g, r.admitted, r.reserved) for r in ledger.admissions(rows, "g", "id", "p", 6000).collect()}
+    assert got == want
+
+
+def test_places_in_the_whole_table(spark):
+    rows = spark.range(5000, numPartitions=7).select(((F.col("id") * 7919) % 5000).alias("n"), F.lit("x").alias("number"))
+    got = ranking.placed(rows.drop("number"), F.col("n").desc()).collect()
+    assert {r.n: r.place for r in got} == {n: 5000 - n for n in range(5000)}
+    assert sorted(r.place for r in ranking.placed(spark.range(4).select(F.lit(1).alias("n")), F.col("n")).collect()) == [1, 2, 3, 4]
+    assert ranking.placed(rows.drop("number").where("n < 0"), F.col("n")).count() == 0
+    assert ranking.placed(rows, F.col("n")).columns == ["n", "number", "place"]
+    assert {r.number for r in ranking.placed(rows, F.col("n")).collect()} == {"x"}
+
+
 def test_transitions():
     assert "finished" not in ledger.TRANSITIONS["queued"] and "finished" in ledger.TRANSITIONS["running"]
 
