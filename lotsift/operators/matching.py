@@ -138,3 +138,22 @@ def cascade(queries: DataFrame, zones: DataFrame, items: DataFrame, vector: Port
             settle(port(open_keys).withColumn("method", F.lit(method)))
     rest = open_keys.select("key", F.lit("not_allowed").alias("verdict"), F.lit("").alias("code"), F.lit("actual_zone_not_allowed").alias("method"))
     return done.union(rest)
+
+
+def exactish_pairs(names: DataFrame) -> DataFrame:
+    """(one, two), one before two: all pairs of different canonical texts (canon) that are almost exact matches.
+
+    Of two texts that share 0.55 of their words each has one of these among its rarest n - ceil(0.55 n) + 1; a
+    long start meets the text that it equals. So candidates come from joins on words and starts, in any order of words.
+    """
+    texts = names.where("canon <> ''").select("canon").distinct()
+    words = texts.select("canon", F.explode(F.array_distinct(T.split_words("canon"))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.sort_array(F.collect_list(F.struct("n", "word")))
+    kept = "transform(slice(w, 1, cast(size(w) - (size(w) * 11 + 19) div 20 + 1 as int)), x -> x.word)"
+    keyed = words.join(counts, "word").groupBy("canon").agg(rarest.alias("w")).select("canon", F.explode(F.expr(kept)).alias("word"))
+    shared = keyed.withColumnRenamed("canon", "one").join(keyed.withColumnRenamed("canon", "two"), "word").where("one < two").select("one", "two")
+    lengths = "sequence(greatest(10, cast(floor(length(canon) * 0.7) as int)), length(canon) - 1)"
+    starts = texts.where("length(canon) > 10").select(F.col("canon").alias("two"), F.explode(F.expr(lengths)).alias("n")).select("two", F.expr("left(two, n)").alias("one"))
+    started = starts.join(texts.withColumnRenamed("canon", "one"), "one").select("one", "two")
+    return shared.unionByName(started).distinct().where(T.exactish("one", "two"))

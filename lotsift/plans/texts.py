@@ -90,6 +90,12 @@ def q28_exactish_match(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where((F.col("one") < F.col("two")) & T.exactish("one", "two")).select("one", "two")
 
 
+@_query(f"select a.canon as one, b.canon as two from {_NAMES} a, {_NAMES} b where a.canon < b.canon and {exactish_sql('a.canon', 'b.canon')}")
+def q97_exactish_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of names that are almost exact matches, whatever their first words."""
+    return matching.exactish_pairs(_part(spark, d).select(F.concat_ws(" lot ", "canon", F.lower("p_type")).alias("canon")))
+
+
 @_query()
 def q29_sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
     p = _part(spark, d).withColumn("other", F.lower(F.concat_ws(" ", "p_type", "p_name")))

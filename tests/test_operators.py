@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lotsift.functions import text
 from lotsift.functions.rules import FLOOR_BANDS, FLOOR_FALLBACK, TYPE_CODES
 from lotsift.operators import ledger, lookup, matching, ports, ranking
 
@@ -39,6 +40,14 @@ def test_admission_over_batches_equals_a_plain_fold(spark):
     assert got == want
 
 
+def test_exactish_pairs_equal_all_pairs(spark):
+    names = ["", "a b", "b a", "b a c", "a b c d", "d c b a", "x y z", "long start here", "long start", "long start her", "long starts", "a a b", "p q r s t", "t s q u v", "p q r s w"]
+    rows = spark.createDataFrame([(n,) for n in [*names, "a b", None]], "canon string")
+    got = sorted((r.one, r.two) for r in matching.exactish_pairs(rows).collect())
+    pairs = spark.createDataFrame([(x, y) for x in set(names) for y in set(names) if x < y], "one string, two string")
+    assert got == sorted((r.one, r.two) for r in pairs.where(text.exactish("one", "two")).collect()) and len(got) > 6
+
+
 def test_places_in_the_whole_table(spark):
     rows = spark.range(5000, numPartitions=7).select(((F.col("id") * 7919) % 5000).alias("n"), F.lit("x").alias("number"))
     got = ranking.placed(rows.drop("number"), F.col("n").desc()).collect()
