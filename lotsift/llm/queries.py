@@ -14,6 +14,7 @@ from .lm_score import ORDER, score_texts
 from .minmax_dedup import near_duplicates
 from .sentencepiece_fst import encode_texts
 from .substring_dedup import repeated_runs
+from .toxicity import toxicity_of
 from .url_filter import evaluate
 
 
@@ -99,6 +100,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", F.col("n_active").cast("bigint").alias("n_active"), "categories", "blocked")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_of(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_tokens", F.size("passages").cast("bigint").alias("n_passages"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
@@ -110,6 +116,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op13_toxicity": op13_toxicity,
 }
 
 _LIST_SQL = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in URL_LIST)
