@@ -13,6 +13,7 @@ from .license_scan import licences
 from .lm_score import ORDER, score_texts
 from .minmax_dedup import near_duplicates
 from .sentencepiece_fst import encode_texts
+from .spelling import variants
 from .substring_dedup import repeated_runs
 from .toxicity import toxicity_of
 from .url_filter import evaluate
@@ -100,6 +101,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", F.col("n_active").cast("bigint").alias("n_active"), "categories", "blocked")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity_of(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", "n_tokens", F.size("passages").cast("bigint").alias("n_passages"))
@@ -116,6 +121,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_toxicity": op13_toxicity,
 }
 
