@@ -12,6 +12,7 @@ from .language_id import languages_of
 from .license_scan import licences
 from .lm_score import ORDER, score_texts
 from .minmax_dedup import near_duplicates
+from .phrases import collocations
 from .sentencepiece_fst import encode_texts
 from .spelling import variants
 from .substring_dedup import repeated_runs
@@ -101,6 +102,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", F.col("n_active").cast("bigint").alias("n_active"), "categories", "blocked")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_table(spark, sf_dir, "documents"))
 
@@ -121,6 +126,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op11_phrases": op11_phrases,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_toxicity": op13_toxicity,
 }
@@ -164,6 +170,33 @@ kept as (select doc_id, list(w[i] order by i) as k, count(*) as n from
 select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
   sha256(coalesce(array_to_string(k, ' '), '')) as kept_sha256
 from words left join kept using (doc_id)
+""",
+    "op11_phrases": """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+sizes as (select lang, sum(len(w)) as n from words group by lang),
+grams as (select lang, w[i:i + k - 1] as g from (
+  select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k)),
+f as materialized (select lang, g, count(*) as f from grams group by lang, g having count(*) >= 30),
+cands as materialized (select lang, g, f as a from f where len(g) > 1),
+cuts as (
+  select c.lang, c.g, a, k, p.f as l, s.f as r, (cast(2000000 as hugeint) * a) // (p.f + s.f) as score
+  from (select *, unnest(range(1, len(g))) as k from cands) c
+  join f p on p.lang = c.lang and p.g = c.g[1:k] join f s on s.lang = c.lang and s.g = c.g[k + 1:len(c.g)]),
+lowest as (select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+inner_grams as (
+  select lang, a as of_longer, g[i:i + k - 1] as part from (
+    select lang, a, g, k, unnest(range(1, len(g) - k + 2)) as i from cands, (select unnest([2, 3]) as k) where len(g) > k)),
+covered as (select distinct c.lang, c.g from inner_grams i join cands c on c.lang = i.lang and c.g = i.part where 100 * of_longer >= 80 * c.a),
+ranked as (
+  select lang, array_to_string(g, ' ') as phrase, a, l, r, score,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank
+  from lowest anti join covered using (lang, g))
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+  cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join sizes using (lang) where rank <= 2000
 """,
     "op10_url_filter": f"""
 with log as (select * from (values {_LIST_SQL}) t(category, verdict, host, prefix, day, change)),
