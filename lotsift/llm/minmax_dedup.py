@@ -95,9 +95,10 @@ def _similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, held = None, None
     for part in parts:
         keep = []
-        for a, ta, tb in zip(part["a"], part["ta"], part["tb"], strict=True):
-            if a != last:
-                last, held = a, shingle_set(ta, hashes)
+        for ta, tb in zip(part["ta"], part["tb"], strict=True):
+            # An id may have several texts, so it is the text that tells whether the set is at hand.
+            if held is None or ta != last:
+                last, held = ta, shingle_set(ta, hashes)
             other = shingle_set(tb, hashes)
             both = len(np.intersect1d(held, other, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(held) + len(other) - both))

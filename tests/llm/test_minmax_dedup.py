@@ -119,3 +119,11 @@ def test_very_long_text_and_clashing_columns(spark):
     rows = [(1, long, 1, "x", 2), (2, long + " more", 2, "y", 3), (3, "short", 3, None, 4)]
     got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, id int, set_key string, n int")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {1: (59_996, 1), 2: (59_997, 1), 3: (1, 3)}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_an_id_with_different_texts_in_either_order(spark, turned):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(30, a), (30, b)][:: -1 if turned else 1] + [(2, b + " more")]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(30, 2), (2, 2)}
