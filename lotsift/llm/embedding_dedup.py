@@ -183,12 +183,14 @@ def near_vectors(
     good = marked.where("usable")
     # A zero of either sign is the same number.
     same = good.withColumn("vector", F.transform("vector", lambda e: e + F.lit(0.0).cast(number)))
-    classes = checkpoint(same.groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    # A class has a number of its own, as vectors of different values may have one id.
+    classes = checkpoint(
+        same.groupBy("vector").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.monotonically_increasing_id())
+    )
     n = classes.count()
     bits, m, least = plan(n, cosine, recall)
     shared, tables = shared_bits(n, bits), m // PER_TABLE
     own_bits = bits - shared
-    kind = vectors.schema[vec_id].dataType.simpleString()
 
     def spread(parts):
         for part in parts:
@@ -201,7 +203,7 @@ def near_vectors(
                         out["dim"], out["t"], out["cell"] = dim, t, held[:, t]
                         yield out
 
-    dealt = classes.mapInPandas(spread, f"rep {kind}, weight bigint, vector array<{number}>, dim int, t int, cell bigint")
+    dealt = classes.select("rep", "weight", "vector").mapInPandas(spread, f"rep bigint, weight bigint, vector array<{number}>, dim int, t int, cell bigint")
     where = ["dim", "t", "cell"]
     sizes = dealt.groupBy(*where).count().where(F.col("count") > BLOCK)
     chunks = F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int")
@@ -213,16 +215,18 @@ def near_vectors(
     )
     found = checkpoint(
         blocks.groupBy(*where, "i", "j").applyInPandas(
-            frugal_group(_block(shared, own_bits, tables, least, cosine)), f"rep {kind}, links bigint, root {kind}"
+            frugal_group(_block(shared, own_bits, tables, least, cosine)), "rep bigint, links bigint, root bigint"
         )
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = (
+    placed = checkpoint(
         classes.join(links, "rep", "left")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("label", "rep").alias("component"))
+        .select("vector", "low", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("label", "rep").alias("label"))
     )
+    lowest = placed.groupBy("label").agg(F.min("low").alias("component"))
+    named = placed.join(lowest, "label").select("vector", "links", "component")
     linked = same.select("id", "vector").join(named, "vector").select("id", "links", "component")
     alone = marked.where("not usable").select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("component"))
     return linked.union(alone).select(

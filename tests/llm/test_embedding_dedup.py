@@ -122,3 +122,9 @@ def test_long_vectors(spark):
     rows = list(enumerate([r.normal(size=3000).tolist() for _ in range(20)]))
     rows += [(100 + i, v) for i, v in rows[:5]]
     assert found(spark, rows) == exact(rows)
+
+
+def test_an_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 0.0, 1.0])]
+    got = E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
