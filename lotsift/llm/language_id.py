@@ -4,7 +4,7 @@ The network reads segments of 96 bytes from both ends, gives every byte position
 distribution over the languages, and a document's is the mean over its letters. It is trained here,
 in numpy, by backpropagation through time.
 
-Fitting uses a bounded sample: of each language, the documents of lowest hash of their id, at
+Fitting uses a bounded sample: of each language, the different documents of lowest hash of their id and text, at
 most SAMPLE_DOCS of them (less where the languages are so many that SAMPLE_ALL is reached), and of each at most
 SAMPLE_CHARS consecutive characters. Of more than MOST_LANGUAGES labels the most frequent are learned. Prediction reads every byte.
 """
@@ -26,8 +26,8 @@ SEGMENT = 96
 HIDDEN = 8
 SAMPLE_DOCS = 1200
 SAMPLE_CHARS = 384
-#: Languages that are learned, the most frequent ones, and documents of the sample in all.
-MOST_LANGUAGES = 64
+#: Languages that are learned, the most frequent ones, and documents of the sample in all: a dozen for each of so many languages.
+MOST_LANGUAGES = 1000
 SAMPLE_ALL = 12_000
 STEPS = 320
 MINIBATCH = 384
@@ -225,19 +225,22 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     usable = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         (fold != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    frequent = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    # The text is hashed with the id, so that rows of one id don't enter or leave together.
+    hashed = usable.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)))
+    unlike = F.approx_count_distinct("h").alias("unlike")
+    frequent = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), unlike).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in frequent)
     each = min(SAMPLE_DOCS, SAMPLE_ALL // max(1, len(languages)))
     start = F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
-    hashed = usable.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
-    # Only hashes that can be among the lowest are ranked, so tasks send about the sample and no more.
-    least = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], int(min(1.0, (1.5 * each + 100) / r["n"]) * (1 << 40)))])
+    # Only hashes that can be among the lowest are ranked, so tasks send about the sample and no more; a language of few different documents sends all.
+    least = F.create_map(*[F.lit(x) for r in frequent for x in (r["lang"], int(min(1.0, (2.0 * each + 100) / max(1, r["unlike"])) * (1 << 40)))])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "part"))
     sample = []
     if languages:
         sample = (
             hashed.where(F.col("h") <= F.element_at(least, F.col("lang")))
             .select("lang", "h", "id", F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("part"))
+            .dropDuplicates(["lang", "h"])
             .withColumn("rank", rank)
             .where(F.col("rank") <= each)
             .select("lang", "part", "rank")

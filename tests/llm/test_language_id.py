@@ -120,3 +120,17 @@ def test_many_labels_are_bounded(spark, monkeypatch):
     rows = [(i, "the and of that", f"l{min(i % 7, 4)}") for i in range(70)]
     L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert seen[0][0] == 9 and len(seen[0][1]) == 3 and "l4" in seen[0][1]
+
+
+def test_many_rows_of_one_id_do_not_lose_a_language(spark, monkeypatch):
+    from lotsift.llm import language_id as L
+
+    free = next(i for i in range(1000) if not L.held_out(i))
+    english = [(10_000 + i, f"the quick brown fox number {i} jumps over", "en") for i in range(3000)]
+    french = [(free, f"le renard brun saute et la maison {i} est belle", "fr") for i in range(3000)]
+    same = [(free, "der braune Fuchs und das Haus", "de")] * 500
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 40)
+    seen = {}
+    monkeypatch.setattr(L, "fit", lambda x, letters, labels, languages: seen.update(n=[(labels == k).sum() for k in range(len(languages))], names=languages))
+    L.train(spark.createDataFrame(english + french + same, "doc_id long, text string, lang string"))
+    assert seen["names"] == ["de", "en", "fr"] and seen["n"][0] == 1 and seen["n"][1] >= 40 and seen["n"][2] >= 40
