@@ -253,6 +253,7 @@ def recover_parts(parts: DataFrame, model: Model, key: str = "conv_id", place: s
     size; these are chained in order of place, and every part is then parsed between the states that the best path has at its ends. `continued` tells
     that a part's first turn goes on with the last one of the part before; it isn't counted in n_turns. Parts
     without a key are transcripts of their own. Of equally likely paths any may be taken. A marker at a part's end without text after it marks nothing.
+    Other columns stay whatever their names, but for those with the results' names; a part of any length is read whole, and an empty table gives an empty result.
     """
     several = parts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
     long = parts.join(several, key, "left_semi").select(F.col(key).alias("key"), F.col(place).alias("place"), F.col(transcript).alias("t"))
@@ -271,19 +272,21 @@ def recover_parts(parts: DataFrame, model: Model, key: str = "conv_id", place: s
 
     steps = long.mapInArrow(matrices, f"key {kinds[key]}, place {kinds[place]}, chances binary")
     ends = steps.groupBy("key").applyInPandas(chain, f"key {kinds[key]}, place {kinds[place]}, entry int, leave int")
-    ends = ends.select(F.col("key").alias(key), F.col("place").alias(place), F.col("entry").alias("_entry"), F.col("leave").alias("_leave"))
+    # Names that no column of the parts has.
+    entry, leave = (n + "_" * (1 + max(map(len, parts.columns))) for n in ("entry", "leave"))
+    ends = ends.select(F.col("key").alias(key), F.col("place").alias(place), F.col("entry").alias(entry), F.col("leave").alias(leave))
     made = {"roles": pa.list_(pa.string()), "rendered": pa.string(), "n_turns": pa.int32(), "continued": pa.bool_()}
     kept = [c for c in parts.columns if c not in (*made, transcript)]
     schema = parts.select(*kept).schema.add("roles", ArrayType(StringType())).add("rendered", "string").add("n_turns", IntegerType()).add("continued", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_turns(model, *x) for x in zip(*(batch.column(c).to_pylist() for c in (transcript, "_entry", "_leave")), strict=True)]
+            found = [_turns(model, *x) for x in zip(*(batch.column(c).to_pylist() for c in (transcript, entry, leave)), strict=True)]
             new = [[[r for r, _ in t] for t, _ in found], [render(t) for t, _ in found], [len(t) - c for t, c in found], [c for _, c in found]]
             columns = [pa.array(v, k) for v, k in zip(new, made.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *made])
 
-    return parts.select(*kept, transcript).join(ends, [key, place], "left").select(*kept, transcript, "_entry", "_leave").mapInArrow(run, schema)
+    return parts.select(*kept, transcript).join(ends, [key, place], "left").select(*kept, transcript, entry, leave).mapInArrow(run, schema)
 
 
 #: How each style marks the roles of ROLES.

@@ -138,3 +138,15 @@ def test_roles_of_whole_conversations(spark, model):
     want = {r.conv_id: [t.role for t in r.turns] for r in held.collect()}
     right = sum(a == b for k in want for a, b in zip(got[k], want[k]))
     assert right >= 0.8 * sum(max(len(got[k]), len(want[k])) for k in want)
+
+
+def test_columns_with_any_names_stay(spark):
+    from lotsift.llm.chat_format import fit, recover_parts, transcripts_of
+
+    rows = [(1, k, r, f"text {k}") for k in range(600) for r in ["user" if k % 2 else "assistant"]]
+    raw = transcripts_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    odd = raw.drop("turns").selectExpr("*", "7 as _entry", "8 as _leave", "9 as entry", "'x' as t", "1 as chances")
+    got = recover_parts(odd, fit(raw)).collect()
+    assert len(got) == 3 and all((r._entry, r._leave, r.entry, r.t, r.chances) == (7, 8, 9, "x", 1) for r in got)
+    empty = recover_parts(odd.limit(0), fit(raw))
+    assert empty.count() == 0
