@@ -152,16 +152,17 @@ def _clipped(ring: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return out
 
 
-def overlap_areas(one: pa.Array, two: pa.Array) -> np.ndarray:
-    """Area of the intersection of the multipolygons of each row; 0 for null."""
+def overlap_areas(one: pa.Array, two: pa.Array, which: np.ndarray | None = None) -> np.ndarray:
+    """Area of the intersection of the multipolygons of each row; 0 for null. With `which`, row k of one meets row which[k] of two."""
     left, right = _Rings.of(one), _Rings.of(two).pieces()
     out = np.zeros(len(one))
     order = np.argsort(right.row, kind="stable")
-    per_row = np.bincount(right.row, minlength=len(one))
+    per_row = np.bincount(right.row, minlength=len(two))
     first = np.cumsum(per_row) - per_row
-    count = per_row[left.row]
+    partner = left.row if which is None else which[left.row]
+    count = per_row[partner]
     a = np.repeat(np.arange(len(left.row)), count)
-    b = order[np.repeat(first[left.row], count) + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)]
+    b = order[np.repeat(first[partner], count) + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)]
     for wide, some in _by_width(left.size[a]):
         for narrow, own in _by_width(right.size[b[some]]):
             jobs = some[own]

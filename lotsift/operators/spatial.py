@@ -7,14 +7,15 @@ tile's work doesn't grow with the table but with how densely it is covered.
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 from ..functions.clipping import overlap_areas
-from ..functions.geometry import area, box_overlap, contains, inside_point
+from ..functions.geometry import area, box_overlap
+from ..functions.repair import covers, points_inside
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -55,11 +56,11 @@ def overlaps(parcels: DataFrame, zones: DataFrame, side: float | None = None) ->
 def dominant(parcels: DataFrame, fragments: DataFrame) -> DataFrame:
     """One row per parcel: the zone of its largest fragment, its share, and the codes met in order of area.
 
-    Ties go to the smaller code, then zone. Parcels that meet no zone stay, with a count of 0.
+    Ties go to the smaller code, then zone. Zones without a code count for the largest fragment, but not among codes. Parcels that meet no zone stay, with a count of 0.
     """
     rank = F.struct((-F.col("area")).alias("o"), "code", "zid", "area", "parcel_area")
     best = fragments.groupBy("pid").agg(F.min(rank).alias("best"), F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("o"), "code", "zid"))).alias("all"))
-    codes = F.array_distinct(F.transform("all", lambda s: s["code"]))
+    codes = F.array_distinct(F.filter(F.transform("all", lambda s: s["code"]), lambda c: c.isNotNull()))
     share = F.when(F.col("best.parcel_area") > 0, F.col("best.area").cast("double") / F.col("best.parcel_area"))
     found = best.select(
         "pid",
@@ -124,11 +125,14 @@ def intersection_area(one: pa.Array, two: pa.Array) -> pa.Array:
     return pa.array(overlap_areas(one, two))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def representative(geometry: pd.Series) -> pd.Series:
-    return geometry.map(lambda g: None if (p := inside_point(g)) is None else list(p))
+@F.arrow_udf(ArrayType(DoubleType()))
+def representative(geometry: pa.Array) -> pa.Array:
+    """A point inside the multipolygon, null without one."""
+    return pa.array([None if x != x else [x, y] for x, y in points_inside(geometry).tolist()], pa.list_(pa.float64()))
 
 
-@F.pandas_udf(BooleanType())
-def holds(geometry: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([contains(g, a, b) for g, a, b in zip(geometry, x, y, strict=True)], dtype="bool")
+@F.arrow_udf(BooleanType())
+def holds(geometry: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    """Whether the multipolygon holds the point strictly inside."""
+    px, py = (pc.fill_null(v.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) for v in (x, y))
+    return pa.array(covers(geometry, px, py))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import outer_json
-from ..operators import ledger, reports
+from ..operators import admission, ledger, reports
 from ..streaming import events as streams
 from .spatial_lookup import _VERDICTS, _verdicts
 from .views import table
@@ -172,3 +172,21 @@ def q93_stream_status_change(spark: SparkSession, d: str) -> DataFrame:
 @_query("""select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 2) as total from events group by all""")
 def q94_stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_to_table(spark, streams.windowed_counts(streams.event_stream(spark, d)), "hourly", "complete")
+
+
+_CAPACITY_EVENTS = """(select o_custkey % 40 as queue, o_orderdate as moment, 2 * o_orderkey as event_id, 1 + o_orderkey % 6 as amount, false as releases from orders
+union all select o_custkey % 40, o_orderdate + cast(1 + o_orderkey % 5 as integer) * interval 1 day, 2 * o_orderkey + 1, 1 + o_orderkey % 6, true from orders)"""
+
+
+@_query(f"""with recursive e as materialized (select *, row_number() over (partition by queue order by moment, event_id) as i from {_CAPACITY_EVENTS} x),
+walk(queue, i, event_id, admitted, load) as (
+select queue, i, event_id, case when not releases then amount <= 20 end, case when releases then 0 when amount <= 20 then amount else 0 end from e where i = 1
+union all select e.queue, e.i, e.event_id, case when not releases then load + amount <= 20 end,
+case when releases then greatest(load - amount, 0) when load + amount <= 20 then load + amount else load end from walk w join e on e.queue = w.queue and e.i = w.i + 1)
+select event_id, queue, admitted, cast(load as bigint) as load from walk""")
+def q100_admission_with_release(spark: SparkSession, d: str) -> DataFrame:
+    """Each order reserves some of its queue's capacity of 20 and gives it back some days later."""
+    o = table(spark, d, "orders")
+    ask = o.selectExpr("o_custkey % 40 as queue", "o_orderdate as moment", "2 * o_orderkey as event_id", "1 + o_orderkey % 6 as amount", "false as releases")
+    back = o.selectExpr("o_custkey % 40", "o_orderdate + make_interval(0, 0, 0, int(1 + o_orderkey % 5))", "2 * o_orderkey + 1", "1 + o_orderkey % 6", "true")
+    return admission.admissions_with_release(ask.union(back), "queue", ["moment", "event_id"], "amount", "releases").select("event_id", "queue", "admitted", "load")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import MULTIPOLYGON, area, to_utm
 from ..functions.rules import FLOOR_BANDS, FLOOR_FALLBACK, TYPE_CODES
 from ..functions.text import is_code, is_placeholder, normal
-from ..operators import catalog, lookup, reports, spatial
+from ..operators import catalog, lookup, overlay, reports, spatial
 from .views import EDGES_SQL, OVERLAP_SQL, PARCELS_SQL, ZONES_SQL, edges, parcels, table, zones
 
 QUERIES, ORACLES = {}, {}
@@ -49,6 +49,79 @@ def q02_overlay_intersect_codes(spark: SparkSession, d: str) -> DataFrame:
 _CENTRES = f"(select pid, (x0+x1)/2.0 as px, (y0+y1)/2.0 as py from {PARCELS_SQL} p)"
 
 
+def _boxes(of: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    return f"select {of}, {x0}*1.0::double as ax, {y0}*1.0::double as ay, {x1}*1.0::double as cx, {y1}*1.0::double as cy"
+
+
+# What each kind of shape covers, as boxes that don't overlap: whole, with a hole, a corner missing, two quarters that meet in the middle, two overlapping parts.
+_SHAPE_KINDS = [
+    [("x0", "y0", "x1", "y1")],
+    [("x0", "y0", "x0+w", "y1"), ("x1-w", "y0", "x1", "y1"), ("x0+w", "y0", "x1-w", "y0+h"), ("x0+w", "y1-h", "x1-w", "y1")],
+    [("x0", "y0", "x1", "y0+2*h"), ("x0", "y0+2*h", "x0+2*w", "y1")],
+    [("x0", "y0", "x0+2*w", "y0+2*h"), ("x0+2*w", "y0+2*h", "x1", "y1")],
+    [("x0", "y0", "x1", "y1")],
+]
+
+
+def _covered_sql(table_sql: str, of: str, key: str) -> str:
+    rows = f"(select *, (x1-x0)*0.25::double as w, (y1-y0)*0.25::double as h from {table_sql} t)"
+    return "(" + " union all ".join(f"{_boxes(of, *box)} from {rows} t where {key} % 5 = {k}" for k, kind in enumerate(_SHAPE_KINDS) for box in kind) + ")"
+
+
+def _broken(df: DataFrame, key: str) -> DataFrame:
+    """Boxes as shapes of five kinds, some of them invalid: see _SHAPE_KINDS for what they cover."""
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in spatial.BOX)
+    w, h = (x1 - x0) * 0.25, (y1 - y0) * 0.25
+
+    def ring(*points):
+        return F.array(*[F.array(x, y) for x, y in points])
+
+    def box(a, b, c, d):
+        return ring((a, b), (c, b), (c, d), (a, d), (a, b))
+
+    kinds = [
+        F.array(F.array(box(x0, y0, x1, y1))),
+        F.array(F.array(box(x0, y0, x1, y1), box(x0 + w, y0 + h, x1 - w, y1 - h))),
+        F.array(F.array(ring((x0, y0), (x1, y0), (x1, y0 + 2 * h), (x0 + 2 * w, y0 + 2 * h), (x0 + 2 * w, y1), (x0, y1)))),
+        F.array(F.array(ring((x0, y0), (x0 + 2 * w, y0), (x0 + 2 * w, y1), (x1, y1), (x1, y0 + 2 * h), (x0, y0 + 2 * h)))),
+        F.array(F.array(box(x0, y0, x1 - w, y1)), F.array(box(x0 + w, y0, x1, y1))),
+    ]
+    kind = F.col(key) % 5
+    shape = F.when(kind == 0, kinds[0])
+    for k in range(1, 5):
+        shape = shape.when(kind == k, kinds[k])
+    return df.withColumn("shape", shape.cast(MULTIPOLYGON))
+
+
+_PIECES_SQL = f"""(select p.pid, z.zid, z.code, sum(greatest(0, least(p.cx, z.cx) - greatest(p.ax, z.ax)) * greatest(0, least(p.cy, z.cy) - greatest(p.ay, z.ay))) as area
+  from {_covered_sql(PARCELS_SQL, 'pid', 'pid')} p join {_covered_sql(ZONES_SQL, 'zid, code', 'zid')} z
+  on p.ax <= z.cx and z.ax <= p.cx and p.ay <= z.cy and z.ay <= p.cy group by all)"""
+
+
+@_query(f"""with f as materialized (select * from {_PIECES_SQL} f),
+own as (select pid, sum((cx-ax)*(cy-ay)) as own from {_covered_sql(PARCELS_SQL, 'pid', 'pid')} p group by pid),
+best as (select *, row_number() over (partition by pid order by area desc, code, zid) as rn from f),
+codes as (select pid, code, max(area) as area, arg_min(zid, -area) as zid from f group by pid, code),
+listed as (select pid, string_agg(code, ' | ' order by area desc, code) as intersect_codes, count(*) as n from codes group by pid)
+select p.pid, b.code as actual_code, coalesce(n, 0) as n_codes, intersect_codes, round(b.area, 4) as area, round(b.area / own + 1e-9, 4) as share,
+case when n > 1 and b.area / own < 0.5 then 'Dominant zone share is below threshold; parcel intersects multiple PZZ zones.'
+when n > 1 then 'Parcel intersects multiple PZZ zones.' end as note
+from {PARCELS_SQL} p join own using (pid) left join best b on p.pid = b.pid and rn = 1 left join listed l on p.pid = l.pid""")
+def q98_repaired_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """The zone that dominates each parcel, from shapes with holes, corners, crossings and overlapping parts; touching zones count, notes are null where there is nothing to note."""
+    p, z = _broken(parcels(spark, d), "pid"), _broken(zones(spark, d), "zid")
+    out = overlay.zone_attributes(p.select("pid", "shape"), z.select("zid", "code", "shape"))
+    return out.select("pid", "actual_code", F.col("n_codes").cast("bigint").alias("n_codes"), "intersect_codes", F.round("area", 4).alias("area"), F.round(F.col("share") + _UP, 4).alias("share"), "note")
+
+
+@_query(f"""select p.pid, min(zid) as zid, arg_min(code, zid) as code from (select pid, (x0+x1)/2.0 + 0.3 as px, (y0+y1)/2.0 + 0.3 as py from {PARCELS_SQL} p) p
+left join {_covered_sql(ZONES_SQL, 'zid, code', 'zid')} z on px > ax and px < cx and py > ay and py < cy group by p.pid""")
+def q99_point_in_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The first zone that holds each parcel's middle, a little moved, from repaired shapes."""
+    points = parcels(spark, d).selectExpr("pid", "(x0+x1)/2.0D + 0.3D as px", "(y0+y1)/2.0D + 0.3D as py")
+    return overlay.first_holding(points, _broken(zones(spark, d), "zid").select("zid", "code", "shape")).select("pid", "zid", "code")
+
+
 @_query(f"""select c.pid, min(zid) as zid, arg_min(code, zid) as code from {_CENTRES} c left join {ZONES_SQL} z
 on px > x0 and px < x1 and py > y0 and py < y1 group by c.pid""")
 def q03_point_in_zone(spark: SparkSession, d: str) -> DataFrame:
