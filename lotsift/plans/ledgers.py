@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import outer_json
 from ..operators import admission, ledger, reports
 from ..streaming import events as streams
+from ..streaming import lifecycle
 from .spatial_lookup import _VERDICTS, _verdicts
 from .views import table
 
@@ -190,3 +191,41 @@ def q100_admission_with_release(spark: SparkSession, d: str) -> DataFrame:
     ask = o.selectExpr("o_custkey % 40 as queue", "o_orderdate as moment", "2 * o_orderkey as event_id", "1 + o_orderkey % 6 as amount", "false as releases")
     back = o.selectExpr("o_custkey % 40", "o_orderdate + make_interval(0, 0, 0, int(1 + o_orderkey % 5))", "2 * o_orderkey + 1", "1 + o_orderkey % 6", "true")
     return admission.admissions_with_release(ask.union(back), "queue", ["moment", "event_id"], "amount", "releases").select("event_id", "queue", "admitted", "load")
+
+
+_LIVES_SQL = """(with e as materialized (select event_id, ts, user_id || ':' || (event_id % 3) as task, event_type as status from events where ts < (select max(ts) from events) - interval 1 day),
+p as (select *, lag(status) over w as before, lag(ts) over w as seen from e window w as (partition by task order by ts, event_id)),
+s as (select *, sum(case when seen is null or ts - seen > interval 2 days then 1 else 0 end) over (partition by task order by ts, event_id) as life from p),
+d as (select *, min(case when status = 'purchase' then row(ts, event_id) end) over (partition by task, life) as done from s)
+select task, event_id, status, status = 'purchase' as ended from d
+where (before is null or before <> status or seen is null or ts - seen > interval 2 days) and (done is null or row(ts, event_id) <= done))"""
+
+
+def _lives(spark: SparkSession, d: str) -> DataFrame:
+    e = streams.event_stream(spark, d).selectExpr("ts", "event_id", "concat(user_id, ':', event_id % 3) as task", "event_type as status")
+    return lifecycle.lives(e, "task", "status", ("purchase",))
+
+
+@_query(f"select task, event_id, status, ended from {_LIVES_SQL} l")
+def q101_stream_lives(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of status up to each task's purchase, from the stream, in order of time; what lies within a day of the end still waits."""
+    return streams.run_to_table(spark, _lives(spark, d), "lives")
+
+
+@_query(f"select task, status, cast(n as bigint) as n from (select task, status from {_LIVES_SQL} l where ended) l left join (select user_id || ':' || (event_id % 3) as task, count(*) as n from events group by 1) using (task)")
+def q102_stream_reports(spark: SparkSession, d: str) -> DataFrame:
+    """A report, once, for each end that the stream tells."""
+    import uuid
+
+    from ..session import shared_folder
+
+    counts = table(spark, d, "events").groupBy(F.expr("concat(user_id, ':', event_id % 3)").alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    return lifecycle.reports(spark, _lives(spark, d), counts, "task", f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}")
+
+
+@_query("select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all")
+def q103_stream_first_writers(spark: SparkSession, d: str) -> DataFrame:
+    """One event of each kind for a user, from the stream: the first that comes is kept, later ones are answered by it."""
+    keyed = streams.event_stream(spark, d).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
+    kept = streams.run_to_table(spark, streams.first_writers(keyed, "key", "60 days").select("user_id", "event_type"), "first-writers")
+    return kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -38,9 +38,9 @@ def status_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def first_writers(events: DataFrame, key: str) -> DataFrame:
+def first_writers(events: DataFrame, key: str, kept: str = DELAY) -> DataFrame:
     """The first event of each key within the time that state is kept."""
-    return events.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark([key])
+    return events.withWatermark("ts", kept).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
