@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import BRIDGE_BLOCKS, INTENTS, PROFILE_PATTERNS, PROFILE_RULES
-from ..operators import catalog, lookup, matching, ports, ranking, rulebook
+from ..operators import catalog, decisions, lookup, matching, ports, ranking, rulebook
 from ..operators.tfidf import tfidf
 from ..session import shared_folder
 from .views import table
@@ -526,3 +526,121 @@ def q91_classify_only_end_to_end(spark: SparkSession, d: str) -> DataFrame:
 
 #: The rule tables of the domain as they are; tests apply them to Russian texts.
 DOMAIN_RULES = (PROFILE_RULES, PROFILE_PATTERNS, INTENTS, BRIDGE_BLOCKS)
+
+
+# Every distinct name asks in its zone, and all parts' names are items; an item's description is the name of the part after it, and zones are called like two parts.
+_ALL_ASK = f"(select distinct 'N' || (p_partkey % 27) || '|' || canon as key, 'N' || (p_partkey % 27) as zone, canon from {_PART} p)"
+_ALL_ITEMS = f"""(select zone, canon as name_canon, min(k) as pos, arg_min(name, k) as name, arg_min(section, k) as section, arg_min(code, k) as code, arg_min(about, k) as about from (
+select 'N' || (p.p_partkey % 25) as zone, p.canon, p.p_partkey as k, p.p_name as name, case p.p_size % 3 when 0 then 'main' when 1 then 'conditional' else 'auxiliary' end as section,
+p.p_size || '.' || (p.p_partkey % 3) as code, case when p.p_size % 2 = 0 then coalesce(n.canon, '') else '' end as about from {_PART} p left join {_PART} n on n.p_partkey = p.p_partkey + 1) x group by 1, 2)"""
+_ALL_ZONES = f"(select 'N' || a.p_partkey as zone, a.canon as zone_name, coalesce(b.canon, '') as zone_summary from {_PART} a left join {_PART} b on b.p_partkey = a.p_partkey * 7 where a.p_partkey < 23)"
+
+
+def _metric_sql(a: str, b: str) -> tuple[str, str, str]:
+    """SQL of the shared words, their share of a's, and the score of two texts."""
+    x, y = (f"list_distinct(string_split({c}, ' '))" for c in (a, b))
+    both, some = f"len(list_intersect({x}, {y}))", f"{a} <> '' and {b} <> ''"
+    n = f"(case when {some} then {both} else 0 end)"
+    cov = f"(case when {some} then {both} / len({x}) else 0 end)"
+    return n, cov, f"(case when {some} then greatest(least(1.0, {both} / len({x}) * 0.97), least(1.0, {both} / len(list_distinct({x} || {y})) * 1.08)) else 0 end)"
+
+
+_BY_NAME, _BY_DESC = _metric_sql("canon", "name_canon"), _metric_sql("canon", "about")
+_ZONE_SCORE, _SUMMARY_SCORE = _metric_sql("canon", "zone_name")[2], _metric_sql("canon", "zone_summary")[2]
+_DECISIONS_SQL = f"""(with pairs as materialized (select a.key, a.zone, a.canon, i.* exclude (zone), {_BY_NAME[0]} as n_ov, {_BY_NAME[1]} as n_cov, {_BY_NAME[2]} as n_score,
+  {_BY_DESC[0]} as d_ov, {_BY_DESC[1]} as d_cov, {_BY_DESC[2]} as d_score, {exactish_sql('canon', 'name_canon')} as is_exact from {_ALL_ASK} a join {_ALL_ITEMS} i using (zone) where canon <> ''),
+scored as (select *, greatest(n_score, least(1.0, d_score * 0.98)) as score, about <> '' and d_score > 0 and d_cov >= 0.85 and d_ov >= greatest(2, least(4, len(string_split(canon, ' ')))) and length(canon) >= 10 and contains(about, canon) as is_direct from pairs),
+ordered as (select *, lead(score) over w as next_score, row_number() over w as r from scored window w as (partition by key order by score desc, pos)),
+best as (select *, score - coalesce(next_score, -1.0) as margin from ordered where r = 1),
+exact as (select key, arg_min(name, pos) as x_name, arg_min(section, pos) as x_section from pairs where is_exact group by 1),
+direct as (select key, max(row({_PRIO}, d_score, name, code, section)) as m from scored where is_direct group by 1),
+zoned as (select b.*, x_name, x_section, m, {_ZONE_SCORE} as z_score, {_SUMMARY_SCORE} as s_score from best b left join exact using (key) left join direct using (key)
+  left join (select zone as z_zone, zone_name, zone_summary from {_ALL_ZONES} z) on z_zone = zone),
+told as (select *, case when x_name is not null then 'exact_name' when m is not null then 'direct_description'
+  when margin >= 0.035 and (n_score >= 0.93 and n_cov >= 0.6 and n_ov >= 2 or d_score >= 0.9 and d_cov >= 0.5 and d_ov >= 2) then 'high'
+  when score >= 0.46 and (coalesce(z_score, 0) >= 0.91 or coalesce(s_score, 0) >= 0.88) then 'zone_semantic_high'
+  when n_score >= 0.88 and n_cov >= 0.45 or d_score >= 0.84 and d_cov >= 0.4 or score >= 0.46 and (coalesce(z_score, 0) >= 0.86 or coalesce(s_score, 0) >= 0.82) then 'borderline' else 'weak' end as confidence from zoned)
+select key, confidence, confidence not in ('borderline', 'weak') as direct,
+'allowed_' || case confidence when 'exact_name' then x_section when 'direct_description' then m[5] else section end as verdict,
+case confidence when 'exact_name' then x_name when 'direct_description' then m[3] else name end as name, round(margin, 6) as margin from told)"""
+
+
+@_query(f"select * from {_DECISIONS_SQL} d")
+def q104_string_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What strings alone decide about every distinct name in its zone, by all six outcomes; shares of words only, so that SQL can follow."""
+    p = _held(_part(spark, d))
+    asked = p.selectExpr("concat('N', p_partkey % 27) as zone", "canon").distinct().selectExpr("concat(zone, '|', canon) as key", "zone", "canon", "canon as short")
+    after = p.selectExpr("p_partkey - 1 as p_partkey", "canon as about")
+    rows = p.join(after, "p_partkey", "left").selectExpr(
+        "concat('N', p_partkey % 25) as zone", "canon", "p_partkey", "p_name", "case p_size % 3 when 0 then 'main' when 1 then 'conditional' else 'auxiliary' end as section",
+        "concat(p_size, '.', p_partkey % 3) as code", "case when p_size % 2 = 0 then coalesce(about, '') else '' end as about",
+    )
+    first = F.min_by(F.struct("p_name", "section", "code", "about"), "p_partkey").alias("f")
+    items = rows.groupBy("zone", F.col("canon").alias("name_canon")).agg(F.min("p_partkey").alias("pos"), first)
+    text = F.col("f.about")
+    items = items.select("zone", "name_canon", "pos", F.col("f.p_name").alias("name"), F.col("f.section").alias("section"), F.col("f.code").alias("code"), *[text.alias(c) for c in ("desc_canon", "desc_short", "desc_long")])
+    second = p.where("p_partkey % 7 = 0").selectExpr("p_partkey div 7 as p_partkey", "canon as zone_summary")
+    zones = p.where("p_partkey < 23").join(second, "p_partkey", "left").selectExpr("concat('N', p_partkey) as zone", "canon as zone_name", "coalesce(zone_summary, '') as zone_summary", "'' as zone_text")
+    out = decisions.string_decisions(asked, items, zones, ratio=False)
+    return out.select("key", "confidence", "direct", "verdict", "name", F.round("margin", 6).alias("margin"))
+
+
+_REVIEW_ROWS = """(select p_partkey, case when p_partkey % 4 = 0 then 'allowed_main' else 'not_allowed' end as verdict, (p_size % 7) || case when p_partkey % 2 = 0 then '.' || (p_partkey % 5) else '' end || case when p_partkey % 3 = 0 then '.9' else '' end as zone,
+(p_partkey % 13) || '.1 first, ' || (p_partkey % 11) || '.2 second, none, ' || (p_size % 9) || '.1' as top from part)"""
+_REVIEW_CODES = """(select distinct (p_size % 6) || case when p_partkey % 3 <> 0 then '.' || (p_partkey % 4) else '' end as zone, case when p_size % 6 > 0 then (p_partkey % 10) || '.' || (1 + p_partkey % 2) end as code from part where p_partkey % 5 = 0)"""
+
+
+@_query(f"""with sets as materialized (select zone, list(code) filter (where code is not null) as codes from {_REVIEW_CODES} c group by 1),
+rows as (select *, string_split(zone, '.') as parts from {_REVIEW_ROWS} r),
+known as (select r.p_partkey, case when o.codes is not null then o.codes else coalesce(b2.codes, case when b2.zone is null then b1.codes end) end as codes from rows r
+left join sets o on o.zone = r.zone left join sets b2 on len(parts) > 2 and b2.zone = array_to_string(parts[1:2], '.') left join sets b1 on len(parts) > 1 and b1.zone = parts[1]),
+found as (select r.p_partkey, r.verdict, list_filter(list_transform(string_split(top, ','), lambda x: regexp_extract(trim(x), '^([0-9]+(\\.[0-9]+)*)\\b', 1)), lambda y: y <> '' and list_contains(codes, y)) as hits from rows r join known using (p_partkey))
+select p_partkey, verdict, case when verdict = 'not_allowed' and len(hits) > 0 then array_to_string(hits, ', ') end as allowed_codes,
+case when verdict = 'not_allowed' and len(hits) > 0 then 'Требуется ручная проверка' else 'status' end as status from found""")
+def q105_manual_review(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that aren't allowed though one of their candidates is allowed in their zone, or in the zone that its code falls back to."""
+    p = table(spark, d, "part")
+    rows = p.selectExpr(
+        "p_partkey", "case when p_partkey % 4 = 0 then 'allowed_main' else 'not_allowed' end as verdict",
+        "concat(p_size % 7, case when p_partkey % 2 = 0 then concat('.', p_partkey % 5) else '' end, case when p_partkey % 3 = 0 then '.9' else '' end) as zone",
+        "concat(p_partkey % 13, '.1 first, ', p_partkey % 11, '.2 second, none, ', p_size % 9, '.1') as top", "'status' as status", "cast(null as string) as reason",
+    )
+    codes = p.where("p_partkey % 5 = 0").selectExpr("concat(p_size % 6, case when p_partkey % 3 <> 0 then concat('.', p_partkey % 4) else '' end) as zone", "case when p_size % 6 > 0 then concat(p_partkey % 10, '.', 1 + p_partkey % 2) end as code")
+    return decisions.manual_review(rows, codes.distinct(), "zone", "top").select("p_partkey", "verdict", "allowed_codes", "status")
+
+
+def _service(row: dict) -> dict:
+    """A service that fails by rule."""
+    if row["n"] % 7 == 0:
+        raise TimeoutError(f"no answer for {row['n']}")
+    return {"verdict": "allowed_main" if row["n"] % 2 else None, "code": str(row["n"] % 9), "method": "actual_zone_llm"}
+
+
+@_query("""select p_partkey, case when p_partkey % 7 = 0 then 'not_allowed' when p_partkey % 2 = 1 then 'allowed_main' else 'unclear' end as verdict, case when p_partkey % 7 > 0 then cast(p_partkey % 9 as varchar) end as code,
+case when p_partkey % 7 = 0 then 'error' else 'actual_zone' end as scope, case when p_partkey % 7 = 0 then 'error' else 'actual_zone_llm' end as method, case when p_partkey % 7 = 0 then 'Внутренняя ошибка классификации: no answer for ' || p_partkey end as reason from part""")
+def q106_row_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a failing service decides: an error is that row's verdict and no other's."""
+    rows = table(spark, d, "part").selectExpr("p_partkey as key", "p_partkey as n")
+    return decisions.decided(rows, _service).select(F.col("key").alias("p_partkey"), "verdict", "code", "scope", "method", "reason")
+
+
+def _orders(query: str, short: list[dict]) -> list:
+    """A model that puts the last five first, is cut short once on every third query and always on every fifth."""
+    n = int(query)
+    if n % 5 == 0:
+        raise ValueError("finish_reason: length")
+    if n % 3 == 0 and len(short) > 5:
+        return ["only one"]
+    return [c["code"] for c in short][::-1][:5]
+
+
+@_query("""with c as (select l_suppkey % 97 as query, l_partkey as code, row_number() over (partition by l_suppkey % 97 order by l_partkey) as place from (select distinct l_suppkey % 97 as l_suppkey, l_partkey from lineitem)),
+s as (select *, count(*) over (partition by query) as n from c where place <= 20), t as (select *, least(n, case when query % 3 = 0 then 5 else 20 end) as m from s)
+select cast(query as varchar) as query, cast(code as varchar) as code, case when query % 5 = 0 then place else m + 1 - place end as place, case when query % 5 = 0 then 3 when query % 3 = 0 then 2 else 1 end as tries from t
+where case when query % 5 = 0 then place <= 5 else place <= m and m + 1 - place <= 5 end""")
+def q107_model_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Five candidates of each supplier group in a model's order, which is asked again where it is cut short and done without where it fails."""
+    pairs = table(spark, d, "lineitem").selectExpr("l_suppkey % 97 as q", "l_partkey").distinct()
+    placed = ranking.ranked(pairs, "q", F.col("l_partkey")).where("place <= 20")
+    rows = placed.select(F.col("q").cast("string").alias("query"), F.col("l_partkey").cast("string").alias("code"), F.lit("").alias("name"), "place")
+    return decisions.chosen_by_model(rows, _orders).select("query", "code", "place", "tries")
