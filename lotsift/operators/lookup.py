@@ -60,22 +60,23 @@ def by_prefix(rows: DataFrame, table: DataFrame, code: str, value: str, out: str
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(code, descendant) for every code of edges (code, parent), itself included; cycles end by themselves.
 
-    Each round joins the pairs found with themselves, so paths double in length and a tree of any
-    depth takes its logarithm in rounds; a pair is kept once, however many ways lead to it. With a depth, only descendants so many levels down.
+    A pair at level L > span, span a power of two, goes through a code at level span of the first; so each round joins the pairs at just that level with all
+    pairs found, gives the pairs up to twice as far, and leaves out those known. Paths double in length from round to round, a tree of any depth takes its logarithm
+    in rounds, and in a tree every pair is made once. With a depth, only descendants so many levels down, and no round beyond.
     """
     nodes = edges.select("code", F.col("code").alias("descendant"), F.lit(0).alias("level"))
     down = edges.where("parent is not null").select(F.col("parent").alias("code"), F.col("code").alias("descendant"), F.lit(1).alias("level"))
     codes = edges.select("code").distinct()
     reach = checkpoint(nodes.union(down.join(codes, "code", "left_semi")).groupBy("code", "descendant").agg(F.min("level").alias("level")))
-    known = reach.count()
-    while True:
-        on = reach.where("level > 0").select(F.col("code").alias("descendant"), F.col("descendant").alias("_to"), F.col("level").alias("_more"))
-        longer = reach.where("level > 0").join(on, "descendant").select("code", F.col("_to").alias("descendant"), (F.col("level") + F.col("_more")).alias("level"))
-        grown = checkpoint(reach.union(longer).groupBy("code", "descendant").agg(F.min("level").alias("level")))
-        n = grown.count()
-        if n == known:
+    span = 1
+    while depth is None or span < depth:
+        far = reach.where(F.col("level") == span).select("code", F.col("descendant").alias("_via"))
+        on = reach.where("level > 0").select(F.col("code").alias("_via"), "descendant", (F.col("level") + span).alias("level"))
+        longer = far.join(on, "_via").groupBy("code", "descendant").agg(F.min("level").alias("level"))
+        new = checkpoint(longer.join(reach.select("code", "descendant"), ["code", "descendant"], "left_anti"))
+        if new.isEmpty():
             break
-        reach, known = grown, n
+        reach, span = reach.union(new), 2 * span
     return (reach if depth is None else reach.where(F.col("level") <= depth)).select("code", "descendant")
 
 

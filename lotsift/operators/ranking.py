@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import checkpoint
 
-#: The smaller side of a recall is broadcast below this many rows; beyond, both sides meet block by block.
-BROADCAST_ROWS = 20_000
+#: Queries of a block, and bytes of its matrix, at most; cells of one product.
+BROADCAST_ROWS, BLOCK_BYTES, CELLS = 20_000, 64 << 20, 4 << 20
 
 
 def unit(vector: Column | str) -> Column:
@@ -23,19 +29,84 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
 
 
+def _first(query: np.ndarray, score: np.ndarray, code: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` best of each query, ties by code."""
+    order = np.lexsort((np.unique(code, return_inverse=True)[1], -score, query))
+    q = query[order]
+    start = np.flatnonzero(np.diff(q, prepend=-1))
+    within = np.arange(len(q)) - np.repeat(start, np.diff(start, append=len(q)))
+    return order[within < most]
+
+
+def _best_of(vectors: np.ndarray, asked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, score) of entries that can be among the `most` best of a query.
+
+    A matrix product picks them, with a little slack for its rounding; their scores are then summed in the order of the dimensions, as an expression
+    in Spark or SQL sums them, so equal vectors have equal scores.
+    """
+    rough = vectors @ asked.T
+    least = np.partition(rough, max(0, len(rough) - most), axis=0)[max(0, len(rough) - most)] - 1e-9
+    entry, query = np.nonzero(rough >= least)
+    score = np.zeros(len(entry))
+    for k in range(vectors.shape[1]):
+        score += vectors[entry, k] * asked[query, k]
+    return query, entry, score
+
+
 def recall(queries: DataFrame, entries: DataFrame, most: int, key: str = "query", code: str = "code") -> DataFrame:
     """The `most` entries (code, vector) of highest dot product for each query (query, qvector), ties by code.
 
-    A stated set of queries against all entries: queries are few and go to the entries' partitions,
-    each of which sends on no more than `most` rows per query.
+    A stated set of queries against all entries, in blocks of queries of bounded size: each block is a matrix that goes to the entries' tasks, which
+    multiply whole batches of entries with it and send on no more than `most` rows a query. Entries and queries whose vectors are null, or of
+    another length than the other side's, have no products.
     """
     n = queries.count()
-    asked = queries
-    blocks = max(1, -(-n // BROADCAST_ROWS))
+    first = queries.where("qvector is not null").select(F.size("qvector").alias("n")).first()
+    dim = max(1, first["n"]) if first else 1
+    size = max(1, min(BROADCAST_ROWS, BLOCK_BYTES // (8 * dim)))
+    blocks = max(1, -(-n // size))
+    kinds = {key: queries.schema[key].dataType.simpleString(), code: entries.schema[code].dataType.simpleString()}
+    vectors = entries.where("vector is not null").select(code, F.col("vector").cast("array<double>").alias("vector"))
     out = None
     for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        scored = entries.hint("shuffle_replicate_nl").join(F.broadcast(part)).select(key, code, dot("vector", "qvector").alias("score"))
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        # Some `size` rows.
+        held = part.where("qvector is not null").select(key, F.col("qvector").cast("array<double>").alias("qvector")).toArrow()
+        keys = held[key].combine_chunks()
+        by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i, v in enumerate(held["qvector"].to_pylist()):
+            by_length.setdefault(len(v), ([], []))
+            by_length[len(v)][0].append(i)
+            by_length[len(v)][1].append(v)
+        asked = {k: (np.array(i), np.array(v, dtype=np.float64).reshape(len(v), k)) for k, (i, v) in by_length.items()}
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked, keys=keys) -> Iterator[pa.RecordBatch]:
+            query, score, codes = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object)
+            for batch in batches:
+                sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                for k in np.unique(sizes).tolist():
+                    if k not in asked or not k:
+                        continue
+                    own = batch.take(pa.array(np.flatnonzero(sizes == k)))
+                    matrix = own.column(1).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(-1, k)
+                    known = np.flatnonzero(np.isfinite(matrix).all(axis=1))
+                    names = np.array(own.column(0).to_pylist(), dtype=object)
+                    ids, block = asked[k]
+                    step = max(1, CELLS // len(block))
+                    for s in range(0, len(known), step):
+                        at = known[s : s + step]
+                        q, e, x = _best_of(matrix[at], block, most)
+                        query, score, codes = np.concatenate([query, ids[q]]), np.concatenate([score, x]), np.concatenate([codes, names[at[e]]])
+                        if len(query) > 4 * most * len(block) + 10_000:
+                            keep = _first(query, score, codes, most)
+                            query, score, codes = query[keep], score[keep], codes[keep]
+            keep = _first(query, score, codes, most)
+            for s in range(0, len(keep), 50_000):
+                at = keep[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(query[at])), pa.array(codes[at].tolist(), kind), pa.array(score[at])], names=[key, code, "score"])
+
+        kind = to_arrow_type(entries.schema[code].dataType)
+        scored = vectors.mapInArrow(run, f"{key} {kinds[key]}, {code} {kinds[code]}, score double")
         w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(code))
         top = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= most)
         out = top if out is None else out.union(top)
