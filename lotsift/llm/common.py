@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 _U = np.uint64
 #: Bytes of text in one batch handed to Python.
 BATCH_BYTES = 4 << 20
+#: Edges of a graph in one file of a checkpoint.
+EDGES_OF_A_FILE = 100_000
 
 
 _trimmed = [0.0]
@@ -265,10 +267,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Partitions first reduce their edges to stars. Large-star and small-star rounds then join a
     node's neighbours to its smallest one, so that chains shrink quickly and a hub's edges stay spread over
-    rows, until only stars are left.
+    rows, until only stars are left. A round's edges are no more than those before it, so they are written in as few files as these need.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = checkpoint(e.mapInArrow(frugal(_forest), e.schema).distinct())
+    files = max(1, math.ceil(e.count() / EDGES_OF_A_FILE))
     while not _is_star_forest(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -281,6 +284,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .where("u != v")
             .distinct()
+            .coalesce(files)
         )
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
