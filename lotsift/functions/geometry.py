@@ -66,6 +66,29 @@ def to_utm(longitude: Column, latitude: Column, zone: Column) -> tuple[Column, C
     return x, y
 
 
+def from_utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude of easting and northing in a UTM zone, the series of the inverse projection."""
+    ep2, e1 = _E2 / (1 - _E2), (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))
+    north = y - 10_000_000.0 if south else y
+    mu = north / (_K0 * _A * (1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256))
+    phi = (
+        mu
+        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
+        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
+        + (151 * e1**3 / 96) * F.sin(6 * mu)
+        + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    )
+    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+    c, t = ep2 * cos * cos, tan * tan
+    n, r = _A / F.sqrt(1 - _E2 * sin * sin), _A * (1 - _E2) / F.pow(1 - _E2 * sin * sin, F.lit(1.5))
+    d = (x - _E0) / (n * _K0)
+    lat = phi - (n * tan / r) * (
+        d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * d**6 / 720
+    )
+    lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * d**5 / 120) / cos
+    return F.degrees(lon) + (zone * 6 - 183), F.degrees(lat)
+
+
 def from_web_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     """Longitude and latitude of EPSG:3857 metres."""
     return F.degrees(x / _A), F.degrees(2 * F.atan(F.exp(y / _A)) - math.pi / 2)
