@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import BRIDGE_BLOCKS, INTENTS, PROFILE_PATTERNS, PROFILE_RULES
-from ..operators import catalog, decisions, lookup, matching, ports, ranking, rulebook
+from ..operators import catalog, classifier, decisions, lookup, matching, ports, ranking, rulebook
 from ..operators.tfidf import tfidf
 from ..session import shared_folder
 from .views import table
@@ -644,3 +644,28 @@ def q107_model_choice(spark: SparkSession, d: str) -> DataFrame:
     placed = ranking.ranked(pairs, "q", F.col("l_partkey")).where("place <= 20")
     rows = placed.select(F.col("q").cast("string").alias("query"), F.col("l_partkey").cast("string").alias("code"), F.lit("").alias("name"), "place")
     return decisions.chosen_by_model(rows, _orders).select("query", "code", "place", "tries")
+
+
+_CLASSIFIER_SQL = """(with e as (select n_regionkey as doc, case when s_suppkey % 11 = 0 then 'none' else (s_nationkey % 4) || '.' || (s_suppkey % 6) end as code, 'kind ' || (s_suppkey % 9) as name, cast(s_suppkey as varchar) as description, s_suppkey as pos
+from supplier join nation on n_nationkey = s_nationkey) select * from e where code <> 'none')"""
+
+
+@_query(f"""with e as materialized (select * from {_CLASSIFIER_SQL} e), c as (select code, arg_max(description, pos) as description from e group by 1),
+n as (select name, code, arg_min(description, pos) as description from e group by 1, 2), s as (select name, arg_min(code, row(length(code), code)) as code, arg_min(description, row(length(code), code)) as description from n group by 1),
+a as (select p_partkey, (p_partkey % 5) || '.' || (p_size % 8) as code, case when p_partkey % 4 = 0 then 'other' else 'kind ' || (p_size % 12) end as name from part)
+select p_partkey, coalesce(b.code, s.code, c.code) as ref_code, coalesce(b.description, s.description, c.description) as ref_description,
+case when b.code is not null then 'code_and_name' when s.code is not null then 'name' when c.code is not null then 'code' end as how
+from a left join c on c.code = a.code left join n b on b.name = a.name and b.code = a.code left join s on s.name = a.name""")
+def q108_classifier_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Codes and names of parts in a classifier that comes as five documents of three shapes."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"))
+    code = F.expr("case when s_suppkey % 11 = 0 then 'none' else concat(s_nationkey % 4, '.', s_suppkey % 6) end")
+    item = F.struct(code.alias("code"), F.expr("concat('kind ', s_suppkey % 9)").alias("name"), F.col("s_suppkey").cast("string").alias("description"))
+    held = s.groupBy(F.col("n_regionkey").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", item.alias("e")))).alias("a"))
+    listed = F.transform("a", lambda x: x["e"])
+    named = F.map_from_entries(F.transform("a", lambda x: F.struct(F.concat(F.lit("k"), x["s_suppkey"].cast("string")), x["e"])))
+    text = F.when(F.col("doc") % 3 == 0, F.to_json(listed)).when(F.col("doc") % 3 == 1, F.to_json(F.struct(listed.alias("entries")))).otherwise(F.to_json(F.struct(named.alias("by_code"))))
+    # The documents' entries stand in one order by their numbers.
+    entries = classifier.entries_of(held.select("doc", text.alias("value")), key="doc").withColumn("pos", F.col("description").cast("bigint")).drop("doc")
+    asked = table(spark, d, "part").selectExpr("p_partkey", "concat(p_partkey % 5, '.', p_size % 8) as code", "case when p_partkey % 4 = 0 then 'other' else concat('kind ', p_size % 12) end as name")
+    return classifier.meant_entries(asked, entries, "code", "name").select("p_partkey", "ref_code", "ref_description", "how")
