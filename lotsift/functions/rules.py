@@ -351,3 +351,24 @@ BRIDGE_BLOCKS = [
     r"без\s+вновь\s+возводим(?:ых|ого)?\s+окс", r"без\s+размещени[яй]\s+нов(?:ых|ого)\s+объект", r"запреща(?:ет|ется)\s+нов(?:ое|ые)\s+строительств",
 ]
 BRIDGE_EQUIVALENT = {"historical_park", "recreation_public"}
+
+# Families whose descriptions cover a use directly: what the use's text and an item's text must have, and codes that come first.
+COVERAGE = {
+    "communal_engineering": {
+        "query": r"трансформаторн|подстанц|лэп|линия\s+электропередач|газопровод|газорегуляторн\s+пункт|\bгрп\b|\bгру\b|водопровод|котельн|очистн|насосн|станц\s+подкачк|подкачк\s+воды|электроснабж|объект\s+электроснабж|газоснабж|водоснабж|теплоснабж",
+        "item": r"коммунальн\s+обслуживан|предоставлен\s+коммунальн\s+услуг|водозабор|очистн|насосн|котельн|трансформаторн|подстанц|линия\s+электропередач|газопровод|газорегуляторн\s+пункт|водопровод|электричеств|газа|воды|тепла|электроснабж|газоснабж|водоснабж|теплоснабж|подкачк",
+        "codes": ["3.1", "3.1.1", "3.1.2"],
+    },
+    "street_network": {
+        "query": r"уличн\s+дорожн|тротуар|пешеходн\s+переход|проезд|набережн|бульвар|велодорож|автомобильн\s+дорог",
+        "item": r"земельн\s+участк.*общ\s+пользован|общ\s+пользован|уличн\s+дорожн|автомобильн\s+дорог|пешеходн\s+тротуар|пешеходн\s+переход|набережн|берегов[а-я]*\s+полос|бульвар|площад|проезд|велодорож",
+        "codes": ["12.0", "12.0.1", "7.2", "7.2.1"],
+    },
+    "household_outbuilding": {
+        "query": r"подсобн\s+сооруж|вспомогательн\s+сооруж|хозяйственн\s+постро|надворн\s+постро",
+        "item": r"подсобн\s+сооруж|вспомогательн\s+сооруж|хозяйственн\s+постро|надворн\s+постро|гараж",
+        "codes": ["2.1", "2.2", "2.3", "2.1.1", "13.2", "2.7.2"],
+    },
+}
+# Words of a zone's text that link the equivalent intents.
+BRIDGE_HINTS = ["историческ", "культурн", "парк", "сквер", "рекреаци", r"общ\s+пользован"]

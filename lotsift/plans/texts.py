@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import BRIDGE_BLOCKS, INTENTS, PROFILE_PATTERNS, PROFILE_RULES
-from ..operators import catalog, classifier, decisions, lookup, matching, ports, ranking, rulebook
+from ..operators import catalog, classifier, compiled, decisions, lookup, matching, ports, ranking, rulebook
 from ..operators.tfidf import tfidf
 from ..session import shared_folder
 from .views import table
@@ -669,3 +669,57 @@ def q108_classifier_lookup(spark: SparkSession, d: str) -> DataFrame:
     entries = classifier.entries_of(held.select("doc", text.alias("value")), key="doc").withColumn("pos", F.col("description").cast("bigint")).drop("doc")
     asked = table(spark, d, "part").selectExpr("p_partkey", "concat(p_partkey % 5, '.', p_size % 8) as code", "case when p_partkey % 4 = 0 then 'other' else concat('kind ', p_size % 12) end as name")
     return classifier.meant_entries(asked, entries, "code", "name").select("p_partkey", "ref_code", "ref_description", "how")
+
+
+# Uses as a register has them, with the family, confidence and type that the domain's rules give them, and whether they may be decided without a person.
+_USES = [
+    ("Трансформаторная подстанция", "communal_engineering", "strong", None, False),
+    ("Школа", "education_school", "strong", None, False),
+    ("Детский сад", "education_preschool", "strong", None, False),
+    ("Магазин", "retail", "strong", None, False),
+    ("Гараж", "garage", "strong", None, False),
+    ("Гостиница", "hotel", "strong", None, False),
+    ("Индивидуальное жилищное строительство", "residential_individual", "strong", "individual", True),
+    ("Многоквартирный дом", "residential_multifamily", "strong", "multifamily", True),
+    ("Склад", "industrial", "medium", None, False),
+    ("Жилая застройка", "residential_unspecified", "weak", "unspecified", False),
+    ("Офис", "business", "medium", None, False),
+    ("Стадион", "sport", "strong", None, False),
+    ("Тротуар", "street_network", "strong", None, False),
+    ("nan", "unknown", "none", None, False),
+    ("Прочее", "unknown", "weak", None, False),
+]
+_USES_SQL = "(values " + ", ".join(f"({k}, '{u}', '{f}', '{c}', {'null' if t is None else repr(t)}, {str(a).lower()})" for k, (u, f, c, t, a) in enumerate(_USES)) + ") u(k, use, family, confidence, subtype, auto)"
+
+
+@_query(f"select p_partkey, use, family, confidence, subtype, auto from part join {_USES_SQL} on k = p_partkey % {len(_USES)}")
+def q109_domain_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of registered uses by the domain's own rules."""
+    uses = F.array(*[F.lit(u) for u, *_ in _USES])
+    rows = table(spark, d, "part").select("p_partkey", F.element_at(uses, (F.col("p_partkey") % len(_USES) + 1).cast("int")).alias("use"))
+    out = compiled.profiles(T.canonical(rows, "use", "canon"), "canon")
+    return out.select("p_partkey", "use", *[F.col(f"profile.{c}").alias(c) for c in ("family", "confidence", "subtype", "auto")])
+
+
+# Items by number, with the families whose rule they serve: utilities, streets and outbuildings.
+_COVER_ITEMS = [("Коммунальное обслуживание", "communal_engineering"), ("Проезд и тротуар", "street_network"), ("Гаражи", "household_outbuilding"), ("Торговля", "none")]
+_COVER_ITEMS_SQL = "(values " + ", ".join(f"({k}, '{n}', '{f}')" for k, (n, f) in enumerate(_COVER_ITEMS)) + ") t(k, item, serves)"
+
+
+@_query(f"""with items as (select s_suppkey % 25 as zone, s_suppkey, case s_suppkey % 3 when 0 then 'main' when 1 then 'conditional' else 'auxiliary' end as section, item || ' ' || s_suppkey as name,
+case s_suppkey % 5 when 0 then '3.1' when 1 then '7.2' else '9.9' end as code, serves, item from supplier join {_COVER_ITEMS_SQL} on k = s_suppkey % {len(_COVER_ITEMS)}),
+asks as (select p_partkey as key, p_partkey % 25 as zone, family from part join {_USES_SQL} on k = p_partkey % {len(_USES)} where family in ('communal_engineering', 'street_network')),
+pairs as (select key, name, code, section, {_PRIO} as p, {_PRIO} * 100 + case when (family = 'communal_engineering' and code = '3.1') or (family = 'street_network' and code = '7.2') then 25 else 0 end
+ + case when family = 'street_network' then 10 else 0 end as score from asks a join items i using (zone) where serves = family)
+select key, 'allowed_' || (max(row(score, p, name, code, section)))[5] as verdict, (max(row(score, p, name, code, section)))[3] as name, cast((max(row(score, p, name, code, section)))[1] as integer) as score from pairs group by 1""")
+def q110_domain_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Uses that an item of their zone covers by the domain's narrow rules."""
+    uses = F.array(*[F.lit(u) for u, *_ in _USES])
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 25).alias("zone"), F.element_at(uses, (F.col("p_partkey") % len(_USES) + 1).cast("int")).alias("use"))
+    named = F.element_at(F.array(*[F.lit(n) for n, _ in _COVER_ITEMS]), (F.col("s_suppkey") % len(_COVER_ITEMS) + 1).cast("int"))
+    items = table(spark, d, "supplier").select(
+        (F.col("s_suppkey") % 25).alias("zone"), F.expr("case s_suppkey % 3 when 0 then 'main' when 1 then 'conditional' else 'auxiliary' end").alias("section"),
+        F.concat_ws(" ", named, F.col("s_suppkey").cast("string")).alias("name"), F.expr("case s_suppkey % 5 when 0 then '3.1' when 1 then '7.2' else '9.9' end").alias("code"),
+    )
+    out = compiled.covered(T.canonical(rows, "use", "canon").select("key", "zone", "canon"), T.canonical(items, "name", "canon"))
+    return out.select("key", "verdict", "name", "score")
