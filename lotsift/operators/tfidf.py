@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 
-def tfidf(rows: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, word, weight): count times ln((1 + n) / (1 + df)) + 1, divided by the row's length."""
-    counts = rows.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
+
+def tfidf(rows: DataFrame, key: str, words: Column, every: bool = False) -> DataFrame:
+    """(key, word, weight): count times ln((1 + n) / (1 + df)) + 1, divided by the row's length.
+
+    n counts the keys with a word, or with `every` all keys, those without words too, as a vectoriser does that is fitted on all texts.
+    """
+    counts = checkpoint(rows.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf")))
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = counts.select(key).distinct().agg(F.count(F.lit(1)).alias("n"))
-    raw = counts.join(df, "word").crossJoin(F.broadcast(n)).withColumn("v", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    n = (rows if every else counts).select(key).distinct().count()
+    raw = checkpoint(counts.join(df, "word").withColumn("v", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)))
     length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     return raw.join(length, key).select(key, "word", (F.col("v") / F.col("length")).alias("weight"))

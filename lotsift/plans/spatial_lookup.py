@@ -41,6 +41,7 @@ a as (select pid, string_agg(code, ' | ' order by area desc, code) as intersect_
 select p.pid, intersect_codes, case when n > 1 and share < 0.5 then 'Dominant zone share is below threshold; parcel intersects multiple PZZ zones.'
 when n > 1 then 'Parcel intersects multiple PZZ zones.' else '' end as note from {PARCELS_SQL} p left join a using (pid)""")
 def q02_overlay_intersect_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes by boxes, empty where there is nothing to note; superseded by q98_repaired_overlay, whose notes are null there."""
     p = parcels(spark, d)
     out = spatial.dominant(p, spatial.overlaps(p, zones(spark, d)))
     return out.select("pid", "intersect_codes", spatial.overlay_note(F.col("share"), F.col("n_codes")).alias("note"))
@@ -173,7 +174,7 @@ def q04_polygon_clip_area(spark: SparkSession, d: str) -> DataFrame:
 select p.pid, r.code as actual_code, coalesce(n, 0) as n_codes, round(r.area + 1e-9, 6) as area, round(r.area/r.parcel_area + 1e-9, 6) as share
 from {PARCELS_SQL} p left join r on p.pid = r.pid and rn = 1 left join (select pid, count(distinct code) as n from c group by pid) a on p.pid = a.pid""")
 def q95_polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
-    """The zone that dominates each parcel, by the areas of real polygons."""
+    """The zone that dominates each parcel, by the areas of real polygons; zones that only touch are left out here, q98_repaired_overlay counts them."""
     p, z = (t.withColumn("shape", _octagon()) for t in (parcels(spark, d), zones(spark, d)))
     pieces = spatial.polygon_overlaps(p, z).where("area > 1e-9").withColumn("area", F.round(F.col("area") + _UP, 6))
     out = spatial.dominant(p, pieces)

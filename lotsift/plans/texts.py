@@ -180,6 +180,7 @@ df as materialized (select w, count(*) as df from tf group by 1), x as (select d
 l as (select doc_id, sqrt(sum(v * v)) as len from x group by 1)
 select doc_id, count(*) as n_terms, round(max(v / len), 6) as top_weight from x join l using (doc_id) group by 1""")
 def q51_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    """Superseded by q115_tfidf_every: here documents without words don't count in n."""
     weights = tfidf(table(spark, d, "documents"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)))
     return weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"))
 
@@ -233,8 +234,8 @@ _ZITEMS = f"""(select zone, canon as name_canon, min(p_partkey) as pos, arg_min(
 _ASK = f"(select p_partkey as key, 'N' || (p_partkey % 27) as zone, canon, canon as short from {_PART} p where p_partkey % 3 = 0)"
 
 
-def _zone_items(spark: SparkSession, d: str) -> DataFrame:
-    p = _part(spark, d).where("p_partkey % 3 <> 0").selectExpr(
+def _zone_items(spark: SparkSession, d: str, which: str = "p_partkey % 3 <> 0") -> DataFrame:
+    p = _part(spark, d).where(which).selectExpr(
         "concat('N', p_partkey % 25) as zone", "canon", "p_partkey", "p_name", "case p_size % 3 when 0 then 'main' when 1 then 'conditional' else 'auxiliary' end as section",
         "case when p_size % 10 = 0 then '2.0' else concat(p_size, '.', p_partkey % 3) end as code",
     )
@@ -243,8 +244,8 @@ def _zone_items(spark: SparkSession, d: str) -> DataFrame:
     return g.select("zone", "name_canon", "pos", F.col("f.p_name").alias("name"), F.col("f.section").alias("section"), F.col("f.code").alias("code"), F.lit("").alias("desc_short"))
 
 
-def _ask(spark: SparkSession, d: str) -> DataFrame:
-    return _part(spark, d).where("p_partkey % 3 = 0").selectExpr("p_partkey as key", "concat('N', p_partkey % 27) as zone", "canon", "canon as short")
+def _ask(spark: SparkSession, d: str, which: str = "p_partkey % 3 = 0") -> DataFrame:
+    return _part(spark, d).where(which).selectExpr("p_partkey as key", "concat('N', p_partkey % 27) as zone", "canon", "canon as short")
 
 
 _PRIO = "case section when 'main' then 3 when 'conditional' then 2 else 1 end"
@@ -254,6 +255,7 @@ _EXACT = f"""(select key, name, code, section from (select key, name, code, sect
 
 @_query(f"select key, name, code, section from {_EXACT} e")
 def q59_zone_exact_match(spark: SparkSession, d: str) -> DataFrame:
+    """Over two thirds of the parts as items and a third that asks; superseded by q111_exact_match_whole."""
     return matching.exact_matches(_ask(spark, d), _zone_items(spark, d))
 
 
@@ -265,6 +267,7 @@ _MARGIN = f"""(select key, pos, section, code, ov, cov, score, coalesce(lead(sco
 
 @_query(f"select key, pos, round(score, 6) as score, round(second, 6) as second, score >= 0.93 and cov >= 0.6 and ov >= 2 and score - second >= 0.035 as strong from {_MARGIN} m where r = 1")
 def q60_string_margin(spark: SparkSession, d: str) -> DataFrame:
+    """Over two thirds of the parts as items and a third that asks; superseded by q112_string_margin_whole."""
     best = matching.with_margin(matching.scored_items(_ask(spark, d), _zone_items(spark, d), ratio=False))
     return best.select("key", "pos", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"), matching.strong_string(best).alias("strong"))
 
@@ -430,6 +433,7 @@ def q86_coverage_and_bridge_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""select key, case when e.key is not null then 'allowed_' || section else 'unclear' end as verdict, coalesce(e.code, '') as code from {_ASK} a left join {_EXACT} e using (key)""")
 def q87_no_model_heuristics(spark: SparkSession, d: str) -> DataFrame:
+    """Over two thirds of the parts as items and a third that asks; superseded by q113_no_model_whole."""
     asked, found = _ask(spark, d), matching.exact_matches(_ask(spark, d), _zone_items(spark, d))
     rows = asked.select("key").join(found, "key", "left")
     return rows.select("key", F.when(F.col("section").isNull(), "unclear").otherwise(matching.allowed("section")).alias("verdict"), F.coalesce("code", F.lit("")).alias("code"))
@@ -443,6 +447,7 @@ case when not known then 'no_zone_metadata' when g.key is not null then case whe
 when e.key is not null then 'actual_zone_exact' when m.key is not null then 'actual_zone_fast_string' else 'actual_zone_not_allowed' end as method
 from a left join g on a.key = g.key left join e on a.key = e.key left join m on a.key = m.key""")
 def q49_cascade_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Over two thirds of the parts as items and a third that asks; superseded by q114_cascade_whole."""
     zones = table(spark, d, "nation").selectExpr("concat('N', n_nationkey) as zone_code", "cast(null as string) as base_code")
     out = matching.cascade(_ask(spark, d), zones, _zone_items(spark, d), ratio=False, **_PATTERNS)
     return out.select("key", "verdict", "method")
@@ -723,3 +728,44 @@ def q110_domain_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
     out = compiled.covered(T.canonical(rows, "use", "canon").select("key", "zone", "canon"), T.canonical(items, "name", "canon"))
     return out.select("key", "verdict", "name", "score")
+
+
+def _whole(sql: str) -> str:
+    """SQL over all parts, as items and as those that ask."""
+    return sql.replace(" where p_partkey % 3 <> 0", "").replace(" where p_partkey % 3 = 0", "")
+
+
+@_query(_whole(ORACLES["q59_zone_exact_match"]))
+def q111_exact_match_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The best exact item of each part's zone, all parts asking and all their names being items."""
+    return matching.exact_matches(_ask(spark, d, "true"), _zone_items(spark, d, "true"))
+
+
+@_query(_whole(ORACLES["q60_string_margin"]))
+def q112_string_margin_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The best item by shared words of each part's zone, with its margin, over all parts."""
+    best = matching.with_margin(matching.scored_items(_ask(spark, d, "true"), _zone_items(spark, d, "true"), ratio=False))
+    return best.select("key", "pos", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"), matching.strong_string(best).alias("strong"))
+
+
+@_query(_whole(ORACLES["q87_no_model_heuristics"]))
+def q113_no_model_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What exact names alone decide about all parts."""
+    asked = _held(_ask(spark, d, "true"))
+    rows = asked.select("key").join(matching.exact_matches(asked, _zone_items(spark, d, "true")), "key", "left")
+    return rows.select("key", F.when(F.col("section").isNull(), "unclear").otherwise(matching.allowed("section")).alias("verdict"), F.coalesce("code", F.lit("")).alias("code"))
+
+
+@_query(_whole(ORACLES["q49_cascade_end_to_end"]))
+def q114_cascade_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of the cascade for all parts."""
+    zones = table(spark, d, "nation").selectExpr("concat('N', n_nationkey) as zone_code", "cast(null as string) as base_code")
+    out = matching.cascade(_held(_ask(spark, d, "true")), zones, _zone_items(spark, d, "true"), ratio=False, **_PATTERNS)
+    return out.select("key", "verdict", "method")
+
+
+@_query(ORACLES["q51_tfidf"].replace("(select count(distinct doc_id) as n from tf)", "(select count(distinct doc_id) as n from documents)"))
+def q115_tfidf_every(spark: SparkSession, d: str) -> DataFrame:
+    """The number of terms and the top weight of each document with words, all documents counting."""
+    weights = tfidf(table(spark, d, "documents"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)), every=True)
+    return weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"))
