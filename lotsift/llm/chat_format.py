@@ -230,7 +230,8 @@ def recover(transcripts: DataFrame, model: Model, transcript: str = "transcript"
     """transcripts with roles (array, in order), rendered (canonical JSON) and n_turns in place of the transcript.
 
     All other columns stay, but for those with the results' names. A null or blank transcript has no
-    turns and renders as []. Rows are independent, so repeated rows get equal results.
+    turns and renders as []. Rows are independent, so repeated rows get equal results; of equally likely paths one is taken,
+    the same for equal transcripts. A transcript of any length is parsed whole; an empty table gives an empty result.
     """
     made = {"roles": pa.list_(pa.string()), "rendered": pa.string(), "n_turns": pa.int32()}
     kept = [c for c in transcripts.columns if c not in (*made, transcript)]

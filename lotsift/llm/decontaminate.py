@@ -145,8 +145,9 @@ def contaminations(
     """A row for each row of docs and item found in it: id, item_id, distance, start, end.
 
     Start and end are places in the text with A-Z in lower case and white space squeezed. An
-    item that is null or blank is found nowhere, as is anything in a null text. Repeated
-    rows are each reported; repeated items as often as they occur. Other columns are ignored.
+    item that is null or blank is found nowhere, as is anything in a null or empty text. Repeated
+    rows are each reported; repeated items as often as they occur. Of places of one item that are equally near the first is told. A text of any length is
+    searched whole. Other columns, whatever their names, are ignored; an empty table of documents or items gives an empty result.
     """
     wanted = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -261,8 +261,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with lang_pred, a language that the network learned or `und`, and score, from 0 to 1; all columns stay.
 
-    Null text and text without a letter are `und` with score 0. Rows are independent of
-    each other, so repeated rows get equal results. Columns of docs that have the names of results are replaced.
+    Null and empty text and text without a letter are `und` with score 0; a text of any length is read whole. Rows are independent of
+    each other, so repeated rows get equal results; of equally likely languages the first by name is told. Columns of docs that have the
+    names of results are replaced, all others stay; an empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")

@@ -381,7 +381,10 @@ def encode_texts(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """rows with decoded, the text of the packed ids; null for null."""
+    """rows with decoded, the text of the packed ids; null for null, empty for none.
+
+    Ids of any number are decoded; repeated rows are decoded alike. A column `decoded` is replaced, all others stay; an empty table gives an empty one.
+    """
     model = rows.sparkSession.sparkContext.broadcast(_read(model_path))
 
     def make(batch: pa.RecordBatch) -> list[list]:

@@ -90,3 +90,15 @@ def test_slices_nulls_and_columns(spark, monkeypatch):
     assert got == [(0, 4, 0), (1, 1, 0), (1, 1, 0), (3, 4, 1)]
     assert contaminations(docs.where("false"), items).count() == 0
     assert contaminations(docs, items.where("false")).count() == 0
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    from lotsift.llm.decontaminate import contaminations
+
+    item = "the quick brown fox jumps over the lazy dog while nobody looks at it"
+    long = "filler words stand here " * 40_000
+    docs = spark.createDataFrame([(1, long + item + " " + long), (2, long), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = contaminations(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.distance) for r in got] == [(1, 7, 0)]
+    assert contaminations(docs.limit(0), items).count() == 0 == contaminations(docs, items.limit(0)).count()

@@ -134,3 +134,15 @@ def test_many_rows_of_one_id_do_not_lose_a_language(spark, monkeypatch):
     monkeypatch.setattr(L, "fit", lambda x, letters, labels, languages: seen.update(n=[(labels == k).sum() for k in range(len(languages))], names=languages))
     L.train(spark.createDataFrame(english + french + same, "doc_id long, text string, lang string"))
     assert seen["names"] == ["de", "en", "fr"] and seen["n"][0] == 1 and seen["n"][1] >= 40 and seen["n"][2] >= 40
+
+
+def test_empty_table_repeated_and_long_rows(spark):
+    from lotsift.llm import language_id as L
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert L.languages_of(empty).count() == 0
+    net = L._new(["de", "en"])
+    rows = [(1, "ab " * 60_000), (1, "ab " * 60_000), (2, "12 !"), (3, "")]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()
+    assert len(got) == 4 and len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in got if r.doc_id > 1)

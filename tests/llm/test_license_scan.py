@@ -138,3 +138,9 @@ def test_compression_loses_nothing_that_differences_confirm():
 def test_very_long_text():
     text = f"{PROSE} " * 40_000 + S.TEMPLATES["MIT"][-1] + f" {PROSE}" * 1000
     assert [x[1] for x in S.passages(text)] == ["MIT"]
+
+
+def test_empty_table(spark):
+    from lotsift.llm.license_scan import licences
+
+    assert licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -162,3 +162,21 @@ def test_very_long_text_and_hot_id(spark):
     rows = [(1, "a b c d " * 50_000)] + [(7, "x y z")] * 300
     got = score_texts(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()
     assert len(got) == 301 and {r.n_tokens for r in got} == {200_001, 4} and len({r.score for r in got}) == 2
+
+
+def test_scores_tell_texts_from_their_words_shuffled(spark):
+    """Of held-out texts of twenty words or more, at least 0.9 score above the same words in another order, by the query's order."""
+    import random
+
+    from lotsift.llm.lm_score import ORDER
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    r = random.Random(1)
+    held = [(i, t) for i, t in rows if held_out(i) and t and len(t.split()) >= 20]
+    # Ids that are held out as well: a shuffled text must not be learned from.
+    free = (i for i in range(10**6, 2 * 10**6) if held_out(i))
+    mixed = {next(free): (i, " ".join(r.sample(t.split(), len(t.split())))) for i, t in held}
+    table = spark.createDataFrame([*rows, *((k, t) for k, (_, t) in mixed.items())], "doc_id long, text string")
+    score = {x.doc_id: x.score for x in score_texts(table, order=ORDER).collect()}
+    better = sum(score[i] > score[k] for k, (i, _) in mixed.items())
+    assert len(mixed) > 50 and better >= 0.9 * len(mixed), (better, len(mixed))

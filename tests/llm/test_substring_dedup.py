@@ -62,3 +62,13 @@ def test_empty_and_clashing_columns(spark):
     assert repeated_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b", 3, "x", 4)], "doc_id long, text string, g int, id string, bucket int")
     assert [tuple(r) for r in repeated_runs(odd).collect()] == [(1, 2, 0, "a b")]
+
+
+def test_very_long_texts(spark):
+    from lotsift.llm.substring_dedup import repeated_runs
+
+    long = " ".join(f"w{i}" for i in range(120_000))
+    shared = " ".join(f"s{i}" for i in range(50))
+    rows = [(1, f"{long} {shared}"), (2, f"{shared} tail")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (120_050, 50), 2: (51, 50)}

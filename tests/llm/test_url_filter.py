@@ -65,3 +65,11 @@ def test_hosts_of_the_list_take_the_form_of_captures(spark):
     log = spark.createDataFrame([("c", "block", "WWW.Bad.com.", "/", day(1), "add")], LOG)
     rows = spark.createDataFrame([(1, "http://www.bad.com/x", day(2), "q"), (2, "http://a.bad.com/" + "y" * 100_000, day(2), "q"), (3, "http://notbad.com/", day(2), "q")], "page_id int, url string, fetched_on date, domain string")
     assert {r.page_id: r.blocked for r in evaluate(rows, log).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_empty_tables(spark):
+    from lotsift.llm.url_filter import evaluate
+
+    captures = spark.createDataFrame([], "page_id long, url string, fetched_on date")
+    entries = spark.createDataFrame([], "category string, verdict string, host string, prefix string, day date, change string")
+    assert evaluate(captures, entries).count() == 0
