@@ -28,7 +28,11 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number that tells its rows apart, and that column's name."""
+    """docs with a number that tells its rows apart, and that column's name.
+
+    The numbers follow the rows' places, and a stage computes them more than once: docs must lie in the same order each time they are read, as files do, which is how
+    run() hands them on. A table that comes out of a shuffle has to be written first.
+    """
     row = _free(docs, "row_number")
     return docs.withColumn(row, F.monotonically_increasing_id()), row
 
