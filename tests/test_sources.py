@@ -67,3 +67,19 @@ def test_uploads_and_zones(spark, tmp_path):
     zones.write.partitionBy("year", "source").parquet(str(tmp_path / "z"))
     assert tables.functional_zones(spark, str(tmp_path / "z"), 2020, "A", 2).count() == 1
     assert tables.available_sources(spark, str(tmp_path / "z")).count() == 2
+
+
+def test_ledger_tables_and_listing(spark, tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    tasks = [(k, f"t{k}", "c", "z", "l", "v", None if k == 1 else False, "use", None, None, None if k == 1 else 5, None if k == 1 else "finished", None, None, None, at + dt.timedelta(hours=k % 3), None, None) for k in range(1, 6)]
+    spark.createDataFrame(tasks, tables.LEDGER["pipeline_tasks"]).write.parquet(str(tmp_path / "pipeline_tasks.parquet"))
+    spark.createDataFrame([(1, "sc:7:2024:OSM", "t2"), (2, "user:1", "t3")], tables.LEDGER["task_idempotency_keys"]).write.parquet(str(tmp_path / "task_idempotency_keys.parquet"))
+    spark.createDataFrame([(1, "max_priority", "20", None)], tables.LEDGER["config"]).write.parquet(str(tmp_path / "config.parquet"))
+    assert tables.read_ledger(spark, str(tmp_path), "config").first().py_type == "str"
+    rows = tables.task_listing(spark, str(tmp_path)).collect()
+    assert [r.external_id for r in rows] == ["t5", "t4", "t1", "t3"] and len(rows[0]) == 19
+    first = next(r for r in rows if r.id == 1)
+    assert (first.include_pzz_check, first.pzz_zone_code_col, first.pzz_zone_name_col, first.priority, first.status) == (True, "Индекс_зоны", "Код_объекта", 1, "queued")
+    assert {r.external_id: r.key for r in rows}["t3"] == "user:1"
