@@ -32,7 +32,7 @@ from {PARCELS_SQL} p left join {_RANKED} r on p.pid=r.pid and rn=1
 left join (select pid, count(distinct code) as n from {OVERLAP_SQL} o group by pid) a on p.pid=a.pid""")
 def q01_overlay_dominant_zone(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d)
-    out = spatial.dominant(p, spatial.overlaps(p, zones(spark, d)))
+    out = spatial.dominant_alike(p, zones(spark, d), spatial.overlaps, *spatial.BOX)
     return out.select("pid", "actual_code", F.col("n_codes").cast("bigint").alias("n_codes"), "area", F.round("share", 6).alias("share"))
 
 
@@ -43,7 +43,7 @@ when n > 1 then 'Parcel intersects multiple PZZ zones.' else '' end as note from
 def q02_overlay_intersect_codes(spark: SparkSession, d: str) -> DataFrame:
     """Notes by boxes, empty where there is nothing to note; superseded by q98_repaired_overlay, whose notes are null there."""
     p = parcels(spark, d)
-    out = spatial.dominant(p, spatial.overlaps(p, zones(spark, d)))
+    out = spatial.dominant_alike(p, zones(spark, d), spatial.overlaps, *spatial.BOX)
     return out.select("pid", "intersect_codes", spatial.overlay_note(F.col("share"), F.col("n_codes")).alias("note"))
 
 
@@ -163,11 +163,15 @@ _CLIP_SQL = f"""(with pairs as (select p.pid, z.zid, z.code, greatest(p.x0,z.x0)
 
 @_query(f"select pid, zid, round(area + 1e-9, 6) as area, round(parcel_area + 1e-9, 6) as parcel_area from {_CLIP_SQL} c")
 def q04_polygon_clip_area(spark: SparkSession, d: str) -> DataFrame:
-    p = parcels(spark, d).withColumn("shape", _octagon())
-    z = zones(spark, d).withColumn("shape", _octagon())
-    pairs = spatial.touching(p, z, spatial.tile_side(z))
+    """All pairs, as many as there are; each pair of different boxes is clipped once."""
+    p, z = parcels(spark, d), zones(spark, d)
+    one, two = (spatial.alike(t, key, *spatial.BOX).withColumn("shape", _octagon()) for t, key in ((p, "pid"), (z, "zid")))
+    pairs = spatial.touching(one, two, spatial.tile_side(two))
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pid", "r_zid")
     clipped = spatial.intersection_area("shape", "r_shape")
-    return pairs.select("pid", F.col("r_zid").alias("zid"), F.round(clipped + _UP, 6).alias("area"), F.round(area(F.col("shape")) + _UP, 6).alias("parcel_area"))
+    cut = pairs.select(*spatial.BOX, *[f"r_{c}" for c in spatial.BOX], F.round(clipped + _UP, 6).alias("area"), F.round(area(F.col("shape")) + _UP, 6).alias("parcel_area"))
+    z = z.select("zid", *[F.col(c).alias(f"r_{c}") for c in spatial.BOX])
+    return cut.join(z, [f"r_{c}" for c in spatial.BOX]).join(p, spatial.BOX).select("pid", "zid", "area", "parcel_area")
 
 
 @_query(f"""with c as (select * from {_CLIP_SQL} c where area > 1e-9), r as (select *, row_number() over (partition by pid order by round(area + 1e-9, 6) desc, code, zid) as rn from c)
@@ -175,9 +179,12 @@ select p.pid, r.code as actual_code, coalesce(n, 0) as n_codes, round(r.area + 1
 from {PARCELS_SQL} p left join r on p.pid = r.pid and rn = 1 left join (select pid, count(distinct code) as n from c group by pid) a on p.pid = a.pid""")
 def q95_polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     """The zone that dominates each parcel, by the areas of real polygons; zones that only touch are left out here, q98_repaired_overlay counts them."""
-    p, z = (t.withColumn("shape", _octagon()) for t in (parcels(spark, d), zones(spark, d)))
-    pieces = spatial.polygon_overlaps(p, z).where("area > 1e-9").withColumn("area", F.round(F.col("area") + _UP, 6))
-    out = spatial.dominant(p, pieces)
+
+    def meet(p: DataFrame, z: DataFrame) -> DataFrame:
+        pieces = spatial.polygon_overlaps(*(t.withColumn("shape", _octagon()) for t in (p, z)))
+        return pieces.where("area > 1e-9").withColumn("area", F.round(F.col("area") + _UP, 6))
+
+    out = spatial.dominant_alike(parcels(spark, d), zones(spark, d), meet, *spatial.BOX)
     return out.select("pid", "actual_code", F.col("n_codes").cast("bigint").alias("n_codes"), "area", F.round(F.col("share") + _UP, 6).alias("share"))
 
 
@@ -192,7 +199,9 @@ def q96_point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"select p.pid from {PARCELS_SQL} p where pid not in (select pid from {OVERLAP_SQL} o)")
 def q05_overlay_no_match(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d)
-    return p.join(spatial.overlaps(p, zones(spark, d)).select("pid"), "pid", "left_anti").select("pid")
+    one, two = spatial.alike(p, "pid", *spatial.BOX), spatial.alike(zones(spark, d), "zid", *spatial.BOX)
+    met = spatial.touching(one, two, spatial.tile_side(two)).select(spatial.BOX).distinct()
+    return p.join(met, spatial.BOX, "left_anti").select("pid")
 
 
 _ZONE_CODES = """(select n_regionkey || '.' || n_nationkey as zone_code, case when n_nationkey % 3 = 0 then 'B' || n_nationkey else 'G' || n_regionkey end as base_code from nation)"""
@@ -449,7 +458,7 @@ def q56_blank_and_defaults(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""select p.pid as "Номер", r.code as "Код_зоны", round(r.area / r.parea, 6) as "Доля" from {PARCELS_SQL} p left join {_RANKED} r on p.pid = r.pid and rn = 1""")
 def q57_result_projection(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d)
-    out = spatial.dominant(p, spatial.overlaps(p, zones(spark, d))).withColumn("share", F.round("share", 6))
+    out = spatial.dominant_alike(p, zones(spark, d), spatial.overlaps, *spatial.BOX).withColumn("share", F.round("share", 6))
     names = {"pid": "Номер", "actual_code": "Код_зоны", "share": "Доля", "verdict": "Вердикт_ПЗЗ"}
     return out.select([F.col(a).alias(b) for a, b in names.items() if a in out.columns])
 

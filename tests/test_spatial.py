@@ -151,3 +151,29 @@ def test_geojson(spark, tmp_path):
     back = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(b["properties"]["ord"] for b in back) == [0, 1, 2] and back[0]["geometry"]["type"] == "MultiPolygon"
     assert features.format_of("X.GPKG") == "gpkg" and features.format_of(None) == "geojson"
+
+
+def test_places_are_compared_once_whatever_their_copies(spark):
+    p = spark.range(300).selectExpr("id as pid", "id % 3 * 10 as x0", "0L as y0", "id % 3 * 10 + 8 as x1", "8L as y1")
+    z = spark.range(200).selectExpr("id as zid", "concat('Z', id % 5) as code", "id % 2 * 5 as x0", "0L as y0", "id % 2 * 5 + 10 as x1", "6L as y1")
+    compared = []
+
+    def meet(one, two):
+        out = spatial.overlaps(one, two)
+        compared.append((one.count(), two.count(), out.count()))
+        return out
+
+    got = spatial.dominant_alike(p, z, meet, *spatial.BOX)
+    assert compared == [(3, 2, 4)], "three places of parcels, two of zones"
+    want = spatial.dominant(p, spatial.overlaps(p, z))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert {r["actual_zid"] for r in got.collect() if r["pid"] % 3 == 0} == {0}, "the first zone of the place stands for its copies"
+
+
+def test_points_at_one_place_meet_zones_once(spark):
+    points = spark.range(400).selectExpr("id as pid", "id % 2 * 50.0D + 5 as px", "5.0D as py").union(spark.sql("select 400L, cast(null as double), 1.0D"))
+    z = spark.range(300).selectExpr("id as zid", "concat('Z', id) as code", "0L as x0", "0L as y0", "10L as x1", "10L as y1")
+    placed = spatial.containing(points, z)
+    assert placed.count() == 401
+    assert {(r["pid"] % 2 if r["pid"] < 400 else None, r["zid"], r["code"]) for r in placed.collect()} == {(0, 0, "Z0"), (1, None, None), (None, None, None)}
+    assert spatial.first_alike(z, *spatial.BOX).count() == 1
