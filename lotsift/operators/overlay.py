@@ -21,7 +21,7 @@ from ..functions.clipping import SHAPES, overlap_areas
 from ..functions.geometry import area
 from ..functions.text import canonical, normal
 from ..session import checkpoint
-from .spatial import BELOW_SHARE, BOX, MULTIPLE, _box_of, dominant
+from .spatial import BELOW_SHARE, BOX, MULTIPLE, _box_of, alike, dominant_alike, first_alike, placed
 
 #: What is told of every parcel of a layer of which no parcel meets a zone.
 NONE_AT_ALL = "No intersection with PZZ"
@@ -97,6 +97,13 @@ def _whole(table: pa.Table, name: str) -> pa.Array:
     return (column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)).cast(SHAPES) if len(table) else pa.array([], SHAPES)
 
 
+def _settled(size: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Areas on a grid of a power of two, a billionth of the parcel at most: equal ones come out equal, whatever way they were clipped."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = 2.0 ** np.floor(np.log2(1e-9 * own))
+        return np.where(step > 0, np.round(size / step) * step, size)
+
+
 def fragments(parcels: DataFrame, zones: DataFrame) -> DataFrame:
     """(pid, zid, code, area, parcel_area) of each parcel (pid, shape) and zone (zid, code, shape) that have a point in common.
 
@@ -112,7 +119,8 @@ def fragments(parcels: DataFrame, zones: DataFrame) -> DataFrame:
         one, two = _whole(a, "shape"), _whole(b, "shape")
         cut = overlap_areas(one, two, which) if len(a) else np.zeros(0)
         own = a["own"].to_numpy()
-        # Less than a billionth of the parcel is what rounding leaves of a touch.
+        # Less than a billionth of the parcel is what rounding leaves of a touch, and no difference between two areas.
+        cut = _settled(cut, own)
         cut[cut <= 1e-9 * own] = 0.0
         apart = np.flatnonzero(cut == 0)
         met = cut > 0
@@ -128,7 +136,10 @@ def fragments(parcels: DataFrame, zones: DataFrame) -> DataFrame:
 
 def first_holding(points: DataFrame, zones: DataFrame) -> DataFrame:
     """points (pid, px, py) with the first zone (zid, code, shape), by order of zid, that holds them strictly inside; null if none does."""
-    right = checkpoint(zones.select("zid", "code", repaired("shape").alias("shape")).where("shape is not null"))
+    # Of zones with one shape the first stands for all, of points at one place the one of least id.
+    shapes_of = first_alike(zones.where("shape is not null"), "shape")
+    right = checkpoint(shapes_of.select("zid", "code", repaired("shape").alias("shape")).where("shape is not null"))
+    every, points = points, checkpoint(alike(points.select("pid", "px", "py"), "pid", "px", "py"))
     dots = points.select("pid", *[F.col(p).alias(c) for c, p in zip(BOX, ("px", "py", "px", "py"), strict=True)])
     pairs = meeting(dots, right.select("zid", *_box_of("shape")))
     kinds = {c: t for f in (points, right) for c, t in f.dtypes}
@@ -141,8 +152,7 @@ def first_holding(points: DataFrame, zones: DataFrame) -> DataFrame:
         return pa.table({"pid": picked["pid"], "zid": picked["z"], "code": code})
 
     hits = _beside(pairs, points.select("pid", "px", "py"), right, work, f"pid {kinds['pid']}, zid {kinds['zid']}, code {kinds['code']}")
-    first = hits.groupBy("pid").agg(F.min_by(F.struct("zid", "code"), "zid").alias("z"))
-    return points.join(first, "pid", "left").select(*points.columns, F.col("z.zid").alias("zid"), F.col("z.code").alias("code"))
+    return placed(every, points.join(hits, "pid").drop("pid"))
 
 
 def notes(rows: DataFrame, met: DataFrame, least: float = 0.5) -> DataFrame:
@@ -160,13 +170,18 @@ def zone_attributes(parcels: DataFrame, zones: DataFrame, use: str | None = None
     the parcels with the text of their use, also the keys for checks: zone_key (canonical use, code) and comparison_key (and the codes met).
     """
     layer = zones.withColumn("code", normal("code"))
-    met = checkpoint(fragments(parcels, layer))
-    found = dominant(parcels.select("pid"), met.withColumn("code", F.nullif("code", F.lit(""))))
+    met: list[DataFrame] = []
+
+    def meet(one: DataFrame, two: DataFrame) -> DataFrame:
+        met.append(checkpoint(fragments(one, two)))
+        return met[0]
+
+    found = dominant_alike(parcels, layer.withColumn("code", F.nullif("code", F.lit(""))), meet, "shape")
     if name:
         named = layer.select(F.col("zid").alias("actual_zid"), F.nullif(normal(name), F.lit("")).alias("actual_name"))
         found = found.join(named, "actual_zid", "left")
     blank = F.nullif(F.col("intersect_codes"), F.lit(""))
-    out = parcels.join(notes(found.withColumn("intersect_codes", blank), met), "pid", "left")
+    out = parcels.join(notes(found.withColumn("intersect_codes", blank), met[0]), "pid", "left")
     if use:
         out = canonical(out, use, "canonical_use")
         head = F.concat_ws(" || ", F.coalesce("canonical_use", F.lit("")), F.coalesce("actual_code", F.lit("")))

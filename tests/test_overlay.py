@@ -185,3 +185,20 @@ def test_zones_of_many_pairs_are_split(spark, monkeypatch):
     got = {(x.px, x.py): x.zid for x in overlay.first_holding(dots, z).collect()}
     for (x, y), zid in got.items():
         assert zid == min((k for k, _, s in ZONES if G.contains(s, x, y)), default=15)
+
+
+def test_equal_areas_tie_whatever_way_they_are_clipped(spark):
+    # Both zones cover the whole parcel; one is clipped in triangles, whose areas add up to a little more or less.
+    parcel = [[[(0.1, 0.1), (13.4, 0.1), (13.4, 7.3), (0.1, 7.3)]]]
+    box = [[[(-1.0, -1.0), (20.0, -1.0), (20.0, 9.0), (-1.0, 9.0)]]]
+    stepped = [[[(-3.0, -3.0), (33.0, -3.0), (33.0, 7.7), (29.1, 7.7), (29.1, 31.0), (-3.0, 31.0)]]]
+    p = spark.createDataFrame([(k, parcel) for k in range(3)], f"pid bigint, shape {G.MULTIPOLYGON}")
+    for codes in (("A", "B"), ("B", "A")):
+        z = spark.createDataFrame([(1, codes[0], box), (2, codes[1], stepped)], f"zid bigint, code string, shape {G.MULTIPOLYGON}")
+        rows = overlay.zone_attributes(p, z).collect()
+        assert {(r["actual_code"], r["intersect_codes"]) for r in rows} == {("A", "A | B")} and len(rows) == 3
+
+
+def test_areas_settle_on_a_grid_that_keeps_exact_ones():
+    own = np.array([760.0, 760.0, 0.0])
+    assert overlay._settled(np.array([418.5000000001, 0.0625, 3.0]), own).tolist() == [418.5, 0.0625, 3.0]
