@@ -155,3 +155,18 @@ def test_streams_read_folders_and_single_files(spark, tmp_path):
     for name in ("q93_stream_status_change", "q94_stream_hourly_counts"):
         want, got = (sorted(map(tuple, QUERIES[name](spark, d).collect())) for d in ("/root/testdata/sf0.001", str(tmp_path)))
         assert want and got == want
+
+
+def test_queries_alike_are_compared_once(spark):
+    from lotsift.operators import matching
+
+    queries = spark.range(90).selectExpr("id as key", "concat('N', id % 2) as zone", "concat('red plate ', id % 3) as canon", "case when id % 3 > 0 then 'x' end as short")
+    seen = []
+
+    def answer(asked):
+        seen.append(asked.count())
+        return asked.selectExpr("key", "concat(zone, canon) as told")
+
+    got = matching.answered_once(queries, answer, "zone", "canon", "short")
+    assert seen == [6]
+    assert sorted(map(tuple, got.select("key", "told").collect())) == [(k, f"N{k % 2}red plate {k % 3}") for k in range(90)]
