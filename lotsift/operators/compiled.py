@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from ..functions.rules import BRIDGE_BLOCKS, BRIDGE_EQUIVALENT, BRIDGE_HINTS, COVERAGE, INTENTS, PROFILE_INTENTS, PROFILE_RULES
 from ..functions.text import canonical, normal
 from .lookup import section_priority
-from .matching import allowed
+from .matching import allowed, answered_once
 from .rulebook import WEIGHTS
 
 #: Literals shorter than this would occur in nearly every text.
@@ -139,8 +139,12 @@ def covered(queries: DataFrame, items: DataFrame, children: DataFrame | None = N
     """(key, family, verdict, name, code, score) of queries (key, zone, canon) whose family's rule and an item of the zone cover them.
 
     items: (zone, section, name, code, canon), canon of all of an item's texts. The best item: by section, a code that the family prefers (or a child of one,
-    by children (parent, code)), and whether its text would be asked about too; of equals the last name.
+    by children (parent, code)), and whether its text would be asked about too; of equals the last name. Queries with one zone and text meet the items once.
     """
+    return answered_once(queries, lambda asked: _covered(asked, items, children), "zone", "canon").drop("zone", "canon")
+
+
+def _covered(queries: DataFrame, items: DataFrame, children: DataFrame | None) -> DataFrame:
     families = list(COVERAGE)
     asked = profiles(queries, "canon").withColumn("family", F.col("profile.family")).where(F.col("family").isin(*families))
     asked = with_found(asked, "canon", [COVERAGE[f]["query"] for f in families], "_q")
