@@ -53,12 +53,12 @@ def _best_of(vectors: np.ndarray, asked: np.ndarray, most: int) -> tuple[np.ndar
     return query, entry, score
 
 
-def recall(queries: DataFrame, entries: DataFrame, most: int, key: str = "query", code: str = "code") -> DataFrame:
+def recall(queries: DataFrame, entries: DataFrame, most: int, key: str = "query", code: str = "code", group: str | None = None) -> DataFrame:
     """The `most` entries (code, vector) of highest dot product for each query (query, qvector), ties by code.
 
     A stated set of queries against all entries, in blocks of queries of bounded size: each block is a matrix that goes to the entries' tasks, which
     multiply whole batches of entries with it and send on no more than `most` rows a query. Entries and queries whose vectors are null, or of
-    another length than the other side's, have no products.
+    another length than the other side's, have no products. With `group`, a column of both sides, only rows whose groups are equal meet.
     """
     n = queries.count()
     first = queries.where("qvector is not null").select(F.size("qvector").alias("n")).first()
@@ -66,38 +66,41 @@ def recall(queries: DataFrame, entries: DataFrame, most: int, key: str = "query"
     size = max(1, min(BROADCAST_ROWS, BLOCK_BYTES // (8 * dim)))
     blocks = max(1, -(-n // size))
     kinds = {key: queries.schema[key].dataType.simpleString(), code: entries.schema[code].dataType.simpleString()}
-    vectors = entries.where("vector is not null").select(code, F.col("vector").cast("array<double>").alias("vector"))
+    among = F.col(group) if group else F.lit(0)
+    vectors = entries.where("vector is not null").select(code, F.col("vector").cast("array<double>").alias("vector"), among.alias("group")).where("group is not null")
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
         # Some `size` rows.
-        held = part.where("qvector is not null").select(key, F.col("qvector").cast("array<double>").alias("qvector")).toArrow()
+        held = part.where("qvector is not null").select(key, F.col("qvector").cast("array<double>").alias("qvector"), among.alias("group")).toArrow()
         keys = held[key].combine_chunks()
-        by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i, v in enumerate(held["qvector"].to_pylist()):
-            by_length.setdefault(len(v), ([], []))
-            by_length[len(v)][0].append(i)
-            by_length[len(v)][1].append(v)
-        asked = {k: (np.array(i), np.array(v, dtype=np.float64).reshape(len(v), k)) for k, (i, v) in by_length.items()}
+        alike: dict[tuple, tuple[list, list]] = {}
+        for i, (v, g) in enumerate(zip(held["qvector"].to_pylist(), held["group"].to_pylist(), strict=True)):
+            ids, own = alike.setdefault((g, len(v)), ([], []))
+            ids.append(i)
+            own.append(v)
+        asked = {(g, k): (np.array(i), np.array(v, dtype=np.float64).reshape(len(v), k)) for (g, k), (i, v) in alike.items()}
 
         def run(batches: Iterator[pa.RecordBatch], asked=asked, keys=keys) -> Iterator[pa.RecordBatch]:
             query, score, codes = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object)
             for batch in batches:
                 sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-                for k in np.unique(sizes).tolist():
-                    if k not in asked or not k:
+                kinds_of = batch.column(2).dictionary_encode()
+                numbers, groups = kinds_of.indices.to_numpy(zero_copy_only=False), kinds_of.dictionary.to_pylist()
+                for n, k in np.unique(np.stack([numbers, sizes], axis=1), axis=0).tolist() if len(batch) else ():
+                    if (groups[n], k) not in asked or not k:
                         continue
-                    own = batch.take(pa.array(np.flatnonzero(sizes == k)))
+                    own = batch.take(pa.array(np.flatnonzero((sizes == k) & (numbers == n))))
                     matrix = own.column(1).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(-1, k)
                     known = np.flatnonzero(np.isfinite(matrix).all(axis=1))
                     names = np.array(own.column(0).to_pylist(), dtype=object)
-                    ids, block = asked[k]
+                    ids, block = asked[groups[n], k]
                     step = max(1, CELLS // len(block))
                     for s in range(0, len(known), step):
                         at = known[s : s + step]
                         q, e, x = _best_of(matrix[at], block, most)
                         query, score, codes = np.concatenate([query, ids[q]]), np.concatenate([score, x]), np.concatenate([codes, names[at[e]]])
-                        if len(query) > 4 * most * len(block) + 10_000:
+                        if len(query) > 2 * most * len(keys) + 10_000:
                             keep = _first(query, score, codes, most)
                             query, score, codes = query[keep], score[keep], codes[keep]
             keep = _first(query, score, codes, most)

@@ -158,8 +158,6 @@ def test_streams_read_folders_and_single_files(spark, tmp_path):
 
 
 def test_queries_alike_are_compared_once(spark):
-    from lotsift.operators import matching
-
     queries = spark.range(90).selectExpr("id as key", "concat('N', id % 2) as zone", "concat('red plate ', id % 3) as canon", "case when id % 3 > 0 then 'x' end as short")
     seen = []
 
@@ -170,3 +168,16 @@ def test_queries_alike_are_compared_once(spark):
     got = matching.answered_once(queries, answer, "zone", "canon", "short")
     assert seen == [6]
     assert sorted(map(tuple, got.select("key", "told").collect())) == [(k, f"N{k % 2}red plate {k % 3}") for k in range(90)]
+
+
+def test_recall_within_groups_against_all_pairs(spark):
+    rows = [(k, k % 3 if k != 7 else None, [float((k * 7 + d * 5) % 11 - 5) for d in range(4)]) for k in range(60)]
+    v = spark.createDataFrame(rows, "id bigint, label int, vector array<double>")
+    asked = v.where("id % 5 = 0 or id = 7").selectExpr("id as query", "label", "vector as qvector")
+    got = {(r.query, r.code, r["rank"]) for r in ranking.recall(asked, v.withColumnRenamed("id", "code"), 3, group="label").collect()}
+    want = set()
+    for k, g, q in rows:
+        if k % 5 == 0 and g is not None:
+            scored = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), c) for c, h, x in rows if h == g)
+            want |= {(k, c, n + 1) for n, (_, c) in enumerate(scored[:3])}
+    assert got == want
