@@ -21,10 +21,10 @@ def entries_of(documents: DataFrame, text: str = "value", key: str | None = None
     v = F.try_parse_json(text)
     docs = documents.select(*keep, F.col(text).alias("_text"), v.alias("_doc"))
     listed, inner = F.try_variant_get("_doc", "$", "array<variant>"), F.try_variant_get("_doc", "$.entries", "array<variant>")
-    named = F.try_variant_get("_doc", "$.by_code", "map<string,variant>")
-    # A variant's members lie in the order of their names; their place in the document is that of its text.
-    order = F.map_keys(F.from_json(F.get_json_object("_text", "$.by_code"), "map<string,string>"))
-    in_order = F.transform(order, lambda k: F.try_element_at(named, k))
+    # A variant's members lie in the order of their names; their place in the document is that of its text. A map of the text is read once, whereas to look up each name
+    # in the variant's map would read that map once a name.
+    named = F.try_variant_get("_doc", "$.by_code", "map<string,variant>").isNotNull()
+    in_order = F.when(named, F.map_values(F.from_json(F.get_json_object("_text", "$.by_code"), "map<string,variant>")))
     chosen = F.when(listed.isNotNull(), listed).when(F.size(inner) > 0, inner).otherwise(in_order)
     rows = docs.select(*keep, F.posexplode(chosen).alias("pos", "_entry"))
     own = rows.select(*keep, "pos", *[T.normal(F.try_variant_get("_entry", f"$.{f}", "string")).alias(f) for f in FIELDS])
@@ -51,7 +51,7 @@ def meant_entries(rows: DataFrame, entries: DataFrame, code: str, name: str) ->
     An entry of the name with the code is meant before all; else the entry of the name of the shortest, then smallest code, even if the code says
     another; else the code's. Of entries of one name and code the first of the document counts. A code that has no valid form means nothing.
     """
-    asked = T.canonical(rows.withColumn("_code", T.normal(code)).withColumn("_name", T.normal(name)), "_name", "_canon")
+    asked = T.canonical(rows.withColumn("_code", T.normal(code)), name, "_canon")
     shape = F.struct("code", "name", "description")
     known = by_code(entries).select(F.col("code").alias("_code"), shape.alias("_coded"))
     first = by_name(entries).groupBy("name_key", "code").agg(F.min_by(shape, "pos").alias("e"))

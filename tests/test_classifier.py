@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from lotsift.operators import classifier as C
 
@@ -68,3 +69,24 @@ def test_lookup_by_code_and_name(spark):
     for x in rows:
         e, how = meant(x.code, x.name or "", entries)
         assert (x.how, x.ref_code, x.ref_description) == (how, e and e["code"], e and e["description"]), x
+
+
+def test_a_document_of_many_names_is_read_once(spark):
+    named = {f"k{k * 7919 % 12_000}": entry(f"1.{k}", f"n{k}") for k in range(12_000)}
+    began = time.monotonic()
+    rows = read(spark, {"large": {"by_code": named}})["large"]
+    # Reading the map once for each name took minutes.
+    assert time.monotonic() - began < 60
+    assert [(pos, name) for pos, _, name, _ in rows] == [(k, f"n{k}") for k in range(12_000)]
+
+
+def test_named_entries_of_odd_documents(spark):
+    got = read(
+        spark,
+        {
+            "odd": '{"by_code": {"b": null, "\\u044f \\"q\\"": {"code": "1", "name": "\\u044f \\\\ \\"q\\""}, "a": [1], "": {"code": 2.50, "name": "n"}}}',
+            "twice": '{"by_code": {"a": {"code": "1", "name": "x"}, "a": {"code": "2", "name": "y"}}}',
+            "not": '{"by_code": [{"code": "1", "name": "x"}]}',
+        },
+    )
+    assert got == {"odd": [(1, "1", 'я \\ "q"', 'я \\ "q"'), (3, "2.5", "n", "n")]}
