@@ -95,3 +95,19 @@ def test_each_end_has_one_report(spark, tmp_path):
     ends = [t for t, _, _, e in plain(rows) if e]
     assert sorted(r.task for r in got) == sorted(ends)
     assert all(r.share == (int(r.task[1:]) * 1.5 if int(r.task[1:]) < 5 else None) for r in got)
+
+
+def test_waiting_rows_are_packed(spark, tmp_path):
+    rows = events(3000, 40, 5, 20)
+    got, progress = streamed(spark, tmp_path, [rows])
+    assert got == plain(rows)
+    # One row of state for a bucket's rows of a batch, not one for each of 3000.
+    assert max(p.stateOperators[0].numRowsTotal for p in progress) < 500
+
+
+def test_few_buckets_of_many_tasks(spark, tmp_path):
+    rows = events(400, 60, 8, 12 * 24)
+    rows.sort(key=lambda r: r[0] + dt.timedelta(hours=random.Random(r[1]).randrange(20)))
+    got, progress = streamed(spark, tmp_path, [rows[i : i + 100] for i in range(0, 400, 100)], buckets=3)
+    assert got == plain(rows) and len(got) > 100
+    assert progress[-1].stateOperators[0].numRowsTotal <= 4
