@@ -15,6 +15,8 @@ from ..session import checkpoint
 
 #: Queries of a block, and bytes of its matrix, at most; cells of one product.
 BROADCAST_ROWS, BLOCK_BYTES, CELLS = 20_000, 64 << 20, 4 << 20
+#: Of blocks that meet each other: rows, from and to, bytes at most; cells of one product.
+PAIR_ROWS, PAIR_BYTES, PAIR_CELLS = (512, 16_384), 16 << 20, 1 << 20
 
 
 def unit(vector: Column | str) -> Column:
@@ -30,8 +32,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def _first(query: np.ndarray, score: np.ndarray, code: np.ndarray, most: int) -> np.ndarray:
-    """Places of the `most` best of each query, ties by code."""
-    order = np.lexsort((np.unique(code, return_inverse=True)[1], -score, query))
+    """Places of the `most` best of each query, ties by code; nan comes before all numbers, as in SQL."""
+    order = np.lexsort((np.unique(code, return_inverse=True)[1], -score, ~np.isnan(score), query))
     q = query[order]
     start = np.flatnonzero(np.diff(q, prepend=-1))
     within = np.arange(len(q)) - np.repeat(start, np.diff(start, append=len(q)))
@@ -47,10 +49,16 @@ def _best_of(vectors: np.ndarray, asked: np.ndarray, most: int) -> tuple[np.ndar
     rough = vectors @ asked.T
     least = np.partition(rough, max(0, len(rough) - most), axis=0)[max(0, len(rough) - most)] - 1e-9
     entry, query = np.nonzero(rough >= least)
-    score = np.zeros(len(entry))
-    for k in range(vectors.shape[1]):
-        score += vectors[entry, k] * asked[query, k]
-    return query, entry, score
+    return query, entry, _summed(vectors, entry, asked, query)
+
+
+def _summed(one: np.ndarray, i: np.ndarray, two: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of rows i of one and rows j of two, added dimension by dimension."""
+    score = np.zeros(len(i))
+    with np.errstate(invalid="ignore"):
+        for k in range(one.shape[1]):
+            score += one[i, k] * two[j, k]
+    return score
 
 
 def recall(queries: DataFrame, entries: DataFrame, most: int, key: str = "query", code: str = "code", group: str | None = None) -> DataFrame:
@@ -116,6 +124,117 @@ def recall(queries: DataFrame, entries: DataFrame, most: int, key: str = "query"
     return out
 
 
+def _few_alike(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows that can be among the `most` best others of any row: of equal vectors the first `most` + 1 ids, of each id `most` rows."""
+    n, k = vectors.shape
+    shape = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, 8 * k))).ravel(), return_inverse=True)[1] if k else np.zeros(n, dtype=np.int64)
+    order = np.lexsort((ids, shape))
+    other = np.diff(shape[order], prepend=-1) != 0
+    fresh = other | (np.diff(ids[order], prepend=-1) != 0)
+    nth, at = np.cumsum(fresh), np.arange(n)
+    start, shown = np.flatnonzero(other), np.flatnonzero(fresh)
+    nth_id = nth - np.repeat(nth[start], np.diff(start, append=n))
+    within = at - np.repeat(shown, np.diff(shown, append=n))
+    return np.sort(order[(nth_id <= most) & (within < most)])
+
+
+def _best_others(asked: np.ndarray, keys: np.ndarray, entries: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, score) of the `most` best entries of each query whose ids differ from its key, ties by id.
+
+    As in _best_of a product picks what can be among them: one in single precision of queries of length 1 and entries of length 1 at most, with a slack above its
+    rounding. A vector that isn't finite is compared with all; what a zero vector finds depends on ids alone.
+    """
+    few = _few_alike(entries, ids, most)
+    entries, ids = entries[few], ids[few]
+    with np.errstate(over="ignore", invalid="ignore"):
+        long, wide = (np.sqrt((v * v).sum(axis=1)) for v in (asked, entries))
+        odd = ~np.isfinite(wide)
+        near = (asked / np.where(long > 0, long, 1)[:, None]).astype(np.float32)
+        far = (entries / (wide.max(initial=0, where=~odd) or 1)).astype(np.float32).T
+    slack = 2 * (asked.shape[1] + 2) * np.finfo(np.float32).eps
+    plain = odd.copy()
+    plain[_few_alike(entries[:, :0], ids, most)] = True
+    shared = np.isin(keys, ids)
+    step, found = max(1, PAIR_CELLS // max(1, len(ids))), [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    cells = np.empty((step, len(ids)), dtype=np.float32)
+    for s in range(0, len(asked) if len(ids) else 0, step):
+        part, own, length = asked[s : s + step], keys[s : s + step], long[s : s + step]
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = np.matmul(near[s : s + step], far, out=cells[: len(part)])
+        rough[:, odd] = -np.inf
+        among = np.flatnonzero(shared[s : s + step])
+        if len(among):
+            row, column = np.nonzero(own[among, None] == ids)
+            rough[among[row], column] = -np.inf
+        rows, taken = np.arange(len(part)), []
+        for _ in range(most):
+            at = rough.argmax(axis=1)
+            taken.append((at, rough[rows, at]))
+            rough[rows, at] = -np.inf
+        for at, best in reversed(taken):
+            rough[rows, at] = best
+        hits = rough >= (taken[-1][1] - slack)[:, None]
+        hits[:, odd] = True
+        hits[~np.isfinite(length)] = True
+        hits[~part.any(axis=1)] = plain
+        query, entry = np.divmod(np.flatnonzero(hits), len(ids))
+        other = own[query] != ids[entry]
+        query, entry = query[other], entry[other]
+        score = _summed(entries, entry, part, query)
+        keep = _first(query, score, ids[entry], most)
+        found.append((query[keep] + s, few[entry[keep]], score[keep]))
+    query, entry, score = (np.concatenate(v) for v in zip(*found, strict=True))
+    return query, entry, score
+
+
+def best_others(rows: DataFrame, most: int, group: str, key: str = "key", code: str = "pos") -> DataFrame:
+    """(key, code, score): for each row (key, group, vector) the `most` others of its group of highest dot product, ties by code; others are those with another key.
+
+    All rows ask and all are asked, so the work grows with the square of a group. Rows are dealt to blocks of bounded size, and two blocks of a group meet in one
+    task for both ways; a group is sent as often as it has blocks. There are as few as give each task of a shuffle some pairs of blocks, or as their size allows.
+    A row without a product, as its vector or those of all others are null, comes with its first other and a null score. A vector that holds nulls counts as null.
+    """
+    spark, kind = rows.sparkSession, rows.schema[key].dataType
+    rows = rows.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(key, F.col(group).alias("group"), "vector")
+    held = rows.where("vector is not null and not exists(vector, x -> x is null)")
+    sizes = held.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"))
+    told = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n"), F.max("dim")).first()
+    all_pairs, n, dim = (int(v or 0) for v in told)
+    least, largest = PAIR_ROWS
+    # Tasks go by pairs and rows: bytes alone would put too many products into one.
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(all_pairs // (16 * PAIR_CELLS), n // largest)))
+    side = max(1, min(max(least, int((all_pairs / tasks) ** 0.5)), largest, PAIR_BYTES // (8 * max(1, dim))))
+    # Groups of more than `side` rows, so one row for as many rows of the table at most.
+    large = sizes.where(F.col("n") > side).select("group", F.ceil(F.col("n") / side).alias("blocks"))
+    dealt = held.join(F.broadcast(large), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("blocks")))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(key, "group", "vector", F.size("vector").alias("dim"), "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+
+    def run(cell: tuple, table: pa.Table) -> pa.Table:
+        _, k, low, high = (c.as_py() for c in cell)
+        block, names = table["block"].to_numpy(), table[key].combine_chunks()
+        vectors = table["vector"].combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(block), k)
+        ids = np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        out = []
+        for i, j in ((one, two),) if low == high else ((one, two), (two, one)):
+            q, e, x = _best_others(vectors[i], ids[i], vectors[j], ids[j], most)
+            out.append(pa.table({key: names.take(pa.array(i[q])), code: names.take(pa.array(j[e])), "score": x}))
+        return pa.concat_tables(out)
+
+    name = kind.simpleString()
+    cells = ["group", "dim", "low", "high"]
+    scored = met.repartition(tasks, *cells).groupBy(*cells).applyInArrow(run, f"{key} {name}, {code} {name}, score double")
+    # The first two keys of each group: one of them is another than a row's own, if there is any.
+    ends = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("group").orderBy(key))).where("nth <= 2")
+    ends = ends.groupBy("group").agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    first = rows.join(ends, "group").select(key, F.when(F.col(key) == F.col("a"), F.col("b")).otherwise(F.col("a")).alias(code), F.lit(None).cast("double").alias("score"))
+    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(code))
+    every = scored.unionByName(first.where(F.col(key) != F.col(code)))
+    return every.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
+
+
 def rerank_score(score: Column, name_overlap: Column, text_overlap: Column, profile_rank: Column, exactish: Column, code: Column) -> Column:
     """The weighted sum of recall, common words, profile, near-equality and how specific the code is."""
     dots = F.length(code) - F.length(F.regexp_replace(code, r"\.", ""))

@@ -46,16 +46,13 @@ def q35_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query", "code", "rank", F.round("score", 6).alias("score"))
 
 
-@_query(f"""with s as (select q.vec_id as key, e.vec_id as pos, {_DOT} as score from embeddings q join embeddings e on q.label = e.label and q.vec_id <> e.vec_id where q.vec_id % {EACH} = 0),
+@_query(f"""with s as (select q.vec_id as key, e.vec_id as pos, {_DOT} as score from embeddings q join embeddings e on q.label = e.label and q.vec_id <> e.vec_id),
 r as (select *, coalesce(lead(score) over w, -1.0) as second, row_number() over w as r from s window w as (partition by key order by score desc, pos))
 select key, pos, round(score, 6) as score, round(score - second, 6) as margin, score >= 0.4 and score - second >= 0.035 as direct from r where r = 1""")
 def q36_vector_in_zone_margin(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings")
-    asked = v.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("qvector"))
-    entries = v.select(F.col("vec_id").alias("pos"), "label", F.col("embedding").alias("vector"))
-    # The query itself is one of the three at most; the two best others are among them.
-    top = ranking.recall(asked, entries, 3, "key", "pos", group="label").where("key <> pos")
-    best = matching.with_margin(top.select("key", "pos", "score"))
+    """Every vector asks all others of its label."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("vector"))
+    best = matching.with_margin(ranking.best_others(v, 2, "label"))
     return best.select("key", "pos", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), ((F.col("score") >= 0.4) & (F.col("margin") >= 0.035)).alias("direct"))
 
 

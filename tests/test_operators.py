@@ -181,3 +181,37 @@ def test_recall_within_groups_against_all_pairs(spark):
             scored = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), c) for c, h, x in rows if h == g)
             want |= {(k, c, n + 1) for n, (_, c) in enumerate(scored[:3])}
     assert got == want
+
+
+def test_every_vector_asks_all_others_of_its_zone(spark, sf_dir):
+    from lotsift.plans.vectors import q36_vector_in_zone_margin
+
+    asked = [r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r.key for r in q36_vector_in_zone_margin(spark, sf_dir).collect()) == sorted(asked)
+
+
+@pytest.mark.parametrize(("rows_of_block", "cells"), [((512, 16_384), 1 << 20), ((5, 5), 20)])
+def test_best_others_against_all_pairs(rows_of_block, cells, spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PAIR_ROWS", rows_of_block)
+    monkeypatch.setattr(ranking, "PAIR_CELLS", cells)
+    rows = [(k, k % 3 if k != 7 else None, [float((k * 7 + d * 5) % 11 - 5) for d in range(4)]) for k in range(60)]
+    # Copies, a repeated id and row, zero vectors, one that isn't finite, none at all, nulls, a zone with one row and one without vectors.
+    rows += [(k, 1, [1.0, 2.0, 3.0, 4.0]) for k in range(60, 75)] + [(3, 0, [9.0, 0.0, 0.0, 1.0]), (6, 0, rows[6][2]), (None, 0, rows[6][2])]
+    rows += [(k, 2, [0.0] * 4) for k in range(80, 86)] + [(90, 2, [float("nan")] * 4), (91, 2, None), (92, 2, [1.0, None, 0.0, 0.0]), (93, 5, [1.0] * 4), (94, 6, None), (95, 6, None)]
+    got = ranking.best_others(spark.createDataFrame(rows, "key bigint, label int, vector array<float>"), 2, "label").collect()
+
+    def order(r):
+        return (r[1] is None, r[1] == r[1], -r[1] if r[1] is not None and r[1] == r[1] else 0, r[0])
+
+    for k in {r[0] for r in rows} - {None}:
+        pairs = []
+        for a, g, q in rows:
+            for b, h, x in rows if a == k and g is not None else ():
+                if b is not None and b != k and g == h:
+                    pairs.append((b, None if q is None or x is None or None in q + x else sum(i * j for i, j in zip(q, x, strict=True))))
+        scored = sorted(pairs, key=order)
+        # Others without a product count only where there is no one else, and then the first.
+        want = [s for n, s in enumerate(scored[:2]) if n == 0 or s[1] is not None]
+        own = sorted(((r.pos, r.score) for r in got if r.key == k), key=order)
+        assert [o[0] for o in own][: len(want)] == [w[0] for w in want] and [repr(o[1]) for o in own][: len(want)] == [repr(w[1]) for w in want], k
+    assert len({r.key for r in got}) == len({r[0] for r in rows} - {None, 7, 93})
