@@ -193,7 +193,9 @@ on px > x0 and px < x1 and py > y0 and py < y1 and 4*(px-x0)*(y1-y0) + 4*(py-y0)
 and 4*(px-x0)*(y1-y0) + 4*(y1-py)*(x1-x0) > (x1-x0)*(y1-y0) and 4*(x1-px)*(y1-y0) + 4*(y1-py)*(x1-x0) > (x1-x0)*(y1-y0) group by c.pid""")
 def q96_point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     points = parcels(spark, d).selectExpr("pid", "(x0+x1)/2.0D as px", "(y0+y1)/2.0D as py")
-    return spatial.containing_polygons(points, zones(spark, d).withColumn("shape", _octagon())).select("pid", "zid", "code")
+    found = spatial.containing_polygons(points, zones(spark, d).withColumn("shape", _octagon()))
+    # Parcels of one key are one row, with the first zone of any of them.
+    return found.groupBy("pid").agg(F.min("zid").alias("zid"), F.min_by("code", "zid").alias("code"))
 
 
 @_query(f"select p.pid from {PARCELS_SQL} p where pid not in (select pid from {OVERLAP_SQL} o)")
